@@ -9,6 +9,7 @@ from datasteward.functions import text as tx
 from datasteward.operators import ranks
 from datasteward.operators.cells import cells
 from datasteward.operators.profile import KEYS, numeric_values, spread
+from datasteward.sources.shared import materialize
 
 REASONS = {"iqr": "fuera de rango IQR", "zscore": "zscore > 3.0"}
 
@@ -39,7 +40,7 @@ def _outside(method: str):
 
 def numeric_anomalies(cell_rows: DataFrame, method: str = "iqr") -> DataFrame:
     """Bounds, count and share of outliers per column."""
-    numbers = numeric_values(cell_rows, drop_missing=False)
+    numbers = materialize(numeric_values(cell_rows, drop_missing=False))
     b = bounds(numbers, method)
     return (numbers.join(F.broadcast(b), KEYS)
             .groupBy(*KEYS, "n_num", "lower", "upper")

@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from datasteward.functions import text as tx
 from datasteward.operators import ranks
 from datasteward.operators.cells import cells, value_counts
+from datasteward.sources.shared import materialize
 
 KEYS = ["source", "column"]
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """Value counts of cells; value counts pass through, so that callers can share them."""
+    return rows if "cnt" in rows.columns else value_counts(rows)
+
+
 def column_facts(cell_rows: DataFrame) -> DataFrame:
     """One row per column with every counter the profiles need.
 
@@ -19,7 +25,7 @@ def column_facts(cell_rows: DataFrame) -> DataFrame:
     per distinct value; each level combines map-side before it shuffles.
     """
     v = F.col("value")
-    vf = value_counts(cell_rows)
+    vf = counted(cell_rows)
     flags = tx.value_type_flags(v)
     low = F.lower(tx.strip(v))
     ok = ~tx.is_missing(v)
@@ -86,7 +92,7 @@ def majority_type() -> Column:
 
 def sample_values(cell_rows: DataFrame, n: int = 20) -> DataFrame:
     """First n distinct non-missing values in sort order (WindowGroupLimit before the shuffle)."""
-    vf = value_counts(cell_rows).filter(~tx.is_missing(F.col("value")))
+    vf = counted(cell_rows).filter(~tx.is_missing(F.col("value")))
     w = Window.partitionBy(*KEYS).orderBy("value")
     top = vf.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
     return top.groupBy(*KEYS).agg(
@@ -95,6 +101,7 @@ def sample_values(cell_rows: DataFrame, n: int = 20) -> DataFrame:
 
 
 def profile_cells(cell_rows: DataFrame, samples: int = 20) -> DataFrame:
+    cell_rows = materialize(counted(cell_rows)) if "cnt" not in cell_rows.columns else cell_rows
     f = column_facts(cell_rows)
     base = f.select(
         *KEYS, strict_type().alias("data_type"), (F.col("n") < F.col("total")).alias("nullable"),
@@ -139,7 +146,7 @@ def spelling_variants(cell_rows: DataFrame) -> DataFrame:
 
 def numeric_values(cell_rows: DataFrame, drop_missing: bool = True) -> DataFrame:
     """(source, column, x, cnt) of the parsed numbers, one row per distinct number."""
-    vf = value_counts(cell_rows)
+    vf = counted(cell_rows)
     if drop_missing:
         vf = vf.filter(~tx.is_missing(F.col("value")))
     return (vf.select(*KEYS, tx.parse_number(F.col("value")).alias("x"), "cnt")
@@ -159,13 +166,14 @@ def spread(numbers: DataFrame) -> DataFrame:
 
 def top_values(cell_rows: DataFrame, k: int = 5) -> DataFrame:
     """Most frequent non-missing raw values; ties in value order."""
-    vf = value_counts(cell_rows).filter(~tx.is_missing(F.col("value")))
+    vf = counted(cell_rows).filter(~tx.is_missing(F.col("value")))
     w = Window.partitionBy(*KEYS).orderBy(F.desc("cnt"), "value")
     return vf.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def distribution_summary(cell_rows: DataFrame) -> DataFrame:
     """Counts for every column, moments and quartiles for the numeric ones."""
+    cell_rows = materialize(counted(cell_rows)) if "cnt" not in cell_rows.columns else cell_rows
     f = column_facts(cell_rows)
     base = f.select(*KEYS, F.col("total").alias("count"), F.col("d_upper").alias("unique"),
                     (F.col("total") - F.col("n")).alias("missing"),
@@ -182,6 +190,7 @@ def distribution_summary(cell_rows: DataFrame) -> DataFrame:
 
 def dataset_profile(cell_rows: DataFrame) -> DataFrame:
     """Distribution and quality of each column."""
+    cell_rows = materialize(counted(cell_rows))
     quality = column_quality(cell_rows).select(*KEYS, "score", "grade")
     return distribution_summary(cell_rows).join(F.broadcast(quality), KEYS)
 
@@ -194,7 +203,7 @@ def dataset_rollup(profile: DataFrame) -> DataFrame:
 
 def rare_values(cell_rows: DataFrame, share: float = 0.01, k: int = 20) -> DataFrame:
     """Values below ``share`` of a column with more than 10 values, rarest first, top k."""
-    vf = (value_counts(cell_rows).filter(~tx.is_missing(F.col("value")))
+    vf = (counted(cell_rows).filter(~tx.is_missing(F.col("value")))
           .withColumn("value", tx.strip(F.col("value")))
           .groupBy(*KEYS, "value").agg(F.sum("cnt").alias("cnt")))
     total = vf.groupBy(*KEYS).agg(F.sum("cnt").alias("n"))
@@ -207,12 +216,13 @@ def rare_values(cell_rows: DataFrame, share: float = 0.01, k: int = 20) -> DataF
 def high_cardinality(cell_rows: DataFrame, approximate: bool = False) -> DataFrame:
     """Flag columns whose distinct values exceed 90 % of more than 20 values."""
     v = F.col("value")
-    kept = cell_rows.filter(~tx.is_missing(v)).select(*KEYS, tx.strip(v).alias("value"))
     if approximate:
+        kept = cell_rows.filter(~tx.is_missing(v)).select(*KEYS, tx.strip(v).alias("value"))
         agg = kept.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"),
                                       F.approx_count_distinct("value").alias("cardinality"))
     else:
-        agg = (kept.groupBy(*KEYS, "value").agg(F.count(F.lit(1)).alias("c"))
+        kept = counted(cell_rows).filter(~tx.is_missing(v)).select(*KEYS, tx.strip(v).alias("value"), "cnt")
+        agg = (kept.groupBy(*KEYS, "value").agg(F.sum("cnt").alias("c"))
                .groupBy(*KEYS).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("cardinality")))
     return agg.withColumn("high_cardinality",
                           (F.col("cardinality") > F.col("n") * 0.9) & (F.col("n") > 20))
@@ -221,7 +231,7 @@ def high_cardinality(cell_rows: DataFrame, approximate: bool = False) -> DataFra
 def suspicious_values(cell_rows: DataFrame) -> DataFrame:
     """Distinct values with non-ASCII text, outer white space or repeated spaces."""
     v = F.col("value")
-    vf = value_counts(cell_rows).filter(~tx.is_missing(v))
+    vf = counted(cell_rows).filter(~tx.is_missing(v))
     reasons = F.array_compact(F.array(
         F.when(v.rlike(r"[^\x00-\x7F]"), "mojibake"),
         F.when(tx.strip(v) != v, "whitespace"),
@@ -248,11 +258,12 @@ def field_quality(cell_rows: DataFrame, mapping: DataFrame, standard_values: Dat
     codes, gets consistency 1.
     """
     v = F.col("value")
+    cell_rows = materialize(counted(cell_rows)) if "cnt" not in cell_rows.columns else cell_rows
     f = column_facts(cell_rows)
     codes = (standard_values.select("standard_id", F.upper(tx.strip(F.col("code"))).alias("key"))
              .distinct().withColumn("_hit", F.lit(1)))
     filled = codes.select("standard_id").distinct().withColumn("_has_codes", F.lit(1))
-    vf = value_counts(cell_rows).filter(~tx.is_missing(v, extended=True))
+    vf = counted(cell_rows).filter(~tx.is_missing(v, extended=True))
     hits = (vf.join(F.broadcast(mapping), KEYS)
             .withColumn("key", tx.value_key(v))
             .join(F.broadcast(codes), ["standard_id", "key"], "left")

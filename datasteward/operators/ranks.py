@@ -1,80 +1,98 @@
 """Exact ranks and quantiles over weighted values without one task seeing a whole column.
 
-Values are cut into buckets at approximate quantiles (a fixed number of bounds per group
-reaches the driver). The counts per bucket are a tiny table; their running total gives
-the rank at which every bucket starts. Only the rank inside a bucket needs a sort, and
-each bucket is one window partition of about 1/buckets of the distinct values. The
+A group with few distinct values is ranked in one window partition. A larger one is cut
+into buckets at approximate quantiles; only the bounds and the count per bucket (a fixed
+number of figures per group) reach the driver. The running total of those counts gives
+the rank at which each bucket starts, and each bucket is one window partition. The
 bounds only balance the work: the results are exact whatever they are.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+ONE_TASK = 1_000_000  # distinct values that one window partition may hold
 
 
-def bucketed(values: DataFrame, keys: list[str], x: str = "x", cnt: str = "cnt",
-             buckets: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Return (values with _bucket, bucket table with _offset and _size per key)."""
+def _cut(values: DataFrame, keys: list[str], x: str, cnt: str, limit: int, buckets: int):
+    """(values with _bucket, {key: [(bucket, offset, size), ...]})."""
     spark = values.sparkSession
+    totals = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"), F.sum(cnt).alias("_n")).collect()
+    if max((r["_d"] for r in totals), default=0) <= limit:
+        return (values.withColumn("_bucket", F.lit(0)),
+                {tuple(r[k] for k in keys): [(0, 0, r["_n"])] for r in totals})
     probs = [i / buckets for i in range(1, buckets)]
     bounds = (values.groupBy(*keys)
               .agg(F.percentile_approx(x, F.lit(probs), F.lit(1000)).alias("_bounds")))
-    schema = bounds.schema
-    rows = bounds.collect()  # one row of bounds per key; keys are column names
-    local = F.broadcast(spark.createDataFrame(rows, schema))
+    local = F.broadcast(spark.createDataFrame(bounds.collect(), bounds.schema))
     tagged = (values.join(local, keys)
               .withColumn("_bucket", F.expr(f"size(filter(_bounds, b -> b < {x}))"))
               .drop("_bounds"))
-    sizes = tagged.groupBy(*keys, "_bucket").agg(F.sum(cnt).alias("_size"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    return tagged, sizes
+    parts: dict[tuple, list] = {}
+    sizes = tagged.groupBy(*keys, "_bucket").agg(F.sum(cnt).alias("_size")).collect()
+    for r in sorted(sizes, key=lambda r: r["_bucket"]):
+        row = parts.setdefault(tuple(r[k] for k in keys), [])
+        start = row[-1][1] + row[-1][2] if row else 0
+        row.append((r["_bucket"], start, r["_size"]))
+    return tagged, parts
+
+
+def _local(values: DataFrame, keys: list[str], rows: list[tuple], rest: list[tuple]) -> DataFrame:
+    schema = T.StructType([values.schema[k] for k in keys]
+                          + [T.StructField(n, t) for n, t in rest])
+    return values.sparkSession.createDataFrame(rows, schema)
+
+
+def _before(keys: list[str], x: str, cnt: str):
+    w = (Window.partitionBy(*keys, "_bucket").orderBy(x)
+         .rowsBetween(Window.unboundedPreceding, -1))
+    return F.col("_offset") + F.coalesce(F.sum(cnt).over(w), F.lit(0))
 
 
 def rank_values(values: DataFrame, keys: list[str], x: str = "x", cnt: str = "cnt",
-                buckets: int = 64) -> DataFrame:
+                limit: int = ONE_TASK, buckets: int = 256) -> DataFrame:
     """Add ``before`` (rows with a smaller x) and ``avg_rank`` (1-based, ties averaged)."""
-    tagged, sizes = bucketed(values, keys, x, cnt, buckets)
-    inner = (Window.partitionBy(*keys, "_bucket").orderBy(x)
-             .rowsBetween(Window.unboundedPreceding, -1))
-    out = (tagged.join(F.broadcast(sizes.drop("_size")), [*keys, "_bucket"])
-           .withColumn("before", F.col("_offset") + F.coalesce(F.sum(cnt).over(inner), F.lit(0))))
+    tagged, parts = _cut(values, keys, x, cnt, limit, buckets)
+    rows = [(*k, b, o) for k, ps in parts.items() for b, o, _ in ps]
+    starts = _local(values, keys, rows, [("_bucket", T.IntegerType()), ("_offset", T.LongType())])
+    out = tagged.join(F.broadcast(starts), [*keys, "_bucket"]).withColumn("before", _before(keys, x, cnt))
     return (out.withColumn("avg_rank", F.col("before") + (F.col(cnt) + 1) / 2)
             .drop("_bucket", "_offset"))
 
 
 def quantiles(values: DataFrame, keys: list[str], probs: dict[str, float], x: str = "x",
-              cnt: str = "cnt", buckets: int = 64) -> DataFrame:
+              cnt: str = "cnt", limit: int = ONE_TASK, buckets: int = 256) -> DataFrame:
     """One row per key with a column per name in ``probs``: linear interpolation at (n-1)p."""
     values = values.filter(F.col(x).isNotNull())
-    tagged, sizes = bucketed(values, keys, x, cnt, buckets)
-    n = sizes.groupBy(*keys).agg(F.sum("_size").alias("_n"))
-    wanted = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("name"), F.lit(p).alias("p")) for name, p in probs.items()]))
-    t = n.withColumn("_w", wanted).select(*keys, "_n", F.col("_w.name").alias("_name"),
-                                          ((F.col("_n") - 1) * F.col("_w.p")).alias("_at"))
-    t = t.withColumns({"_lo": F.floor("_at"), "_frac": F.col("_at") - F.floor("_at")})
-    t = t.withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1))
-    spots = (t.select(*keys, F.explode(F.array("_lo", "_hi")).alias("_pos")).distinct()
-             .join(sizes, keys)
-             .filter((F.col("_pos") >= F.col("_offset"))
-                     & (F.col("_pos") < F.col("_offset") + F.col("_size")))
-             .select(*keys, "_bucket", "_pos", "_offset"))
-    needed = spots.select(*keys, "_bucket", "_offset").distinct()
-    inner = (Window.partitionBy(*keys, "_bucket").orderBy(x)
-             .rowsBetween(Window.unboundedPreceding, -1))
+    tagged, parts = _cut(values, keys, x, cnt, limit, buckets)
+    spots = []
+    for key, ps in parts.items():
+        n = ps[-1][1] + ps[-1][2]
+        for name, p in probs.items():
+            at = (n - 1) * p
+            lo = math.floor(at)
+            for end, pos in (("lo", lo), ("hi", min(lo + 1, n - 1))):
+                b, o, _ = next(t for t in ps if t[1] <= pos < t[1] + t[2])
+                spots.append((*key, b, o, name, end, pos, at - lo))
+    spot = _local(values, keys, spots, [
+        ("_bucket", T.IntegerType()), ("_offset", T.LongType()), ("_name", T.StringType()),
+        ("_end", T.StringType()), ("_pos", T.LongType()), ("_frac", T.DoubleType())])
+    needed = spot.select(*keys, "_bucket", "_offset").distinct()
     ranked = (tagged.join(F.broadcast(needed), [*keys, "_bucket"])
-              .withColumn("_before", F.col("_offset") + F.coalesce(F.sum(cnt).over(inner), F.lit(0)))
+              .withColumn("_before", _before(keys, x, cnt))
               .select(*keys, "_bucket", F.col(x).alias("_x"), F.col(cnt).alias("_c"), "_before"))
-    found = (ranked.join(F.broadcast(spots.drop("_offset")), [*keys, "_bucket"])
+    found = (ranked.join(F.broadcast(spot.drop("_offset")), [*keys, "_bucket"])
              .filter((F.col("_pos") >= F.col("_before"))
-                     & (F.col("_pos") < F.col("_before") + F.col("_c")))
-             .select(*keys, "_pos", "_x"))
-    lo = found.select(*keys, F.col("_pos").alias("_lo"), F.col("_x").alias("_xlo"))
-    hi = found.select(*keys, F.col("_pos").alias("_hi"), F.col("_x").alias("_xhi"))
-    q = (t.join(lo, [*keys, "_lo"]).join(hi, [*keys, "_hi"])
-         .withColumn("_q", F.col("_xlo") + F.col("_frac") * (F.col("_xhi") - F.col("_xlo"))))
-    return q.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_name") == name, F.col("_q"))).alias(name) for name in probs])
+                     & (F.col("_pos") < F.col("_before") + F.col("_c"))))
+
+    def value(name: str):
+        lo = F.max(F.when((F.col("_name") == name) & (F.col("_end") == "lo"), F.col("_x")))
+        hi = F.max(F.when((F.col("_name") == name) & (F.col("_end") == "hi"), F.col("_x")))
+        frac = F.max(F.when(F.col("_name") == name, F.col("_frac")))
+        return (lo + frac * (hi - lo)).alias(name)
+
+    return found.groupBy(*keys).agg(*[value(name) for name in probs])
