@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normal_cdf(z: float) -> float:
@@ -41,13 +42,13 @@ def chi_square_upper(chi2: float, df: int) -> float:
     return min(1.0, max(0.0, 1.0 - normal_cdf(z)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([1.0 if pd.isna(a) or pd.isna(b) else student_two_sided(a, int(b))
                       for a, b in zip(t, df)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p_value(chi2: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([1.0 if pd.isna(a) or pd.isna(b) else chi_square_upper(a, int(b))
                       for a, b in zip(chi2, df)])
