@@ -76,8 +76,8 @@ def mapping_source(concepts: DataFrame, edge_mapping: DataFrame, codes: DataFram
 
     ``concepts`` is (concept_id, classifier_id, standard); the lowest-numbered edge target wins.
     """
-    out_edges = edge_mapping.select(F.col("src").alias("classifier_id"), F.struct(F.lit(0), F.col("dst")).alias("e"), "code_src", "code_dst")
-    in_edges = edge_mapping.select(F.col("dst").alias("classifier_id"), F.struct(F.lit(1), F.col("src")).alias("e"), "code_src", "code_dst")
+    out_edges = edge_mapping.select(F.col("src").alias("classifier_id"), F.struct(F.lit(0).alias("back"), F.col("dst").alias("other")).alias("e"), "code_src", "code_dst")
+    in_edges = edge_mapping.select(F.col("dst").alias("classifier_id"), F.struct(F.lit(1).alias("back"), F.col("src").alias("other")).alias("e"), "code_src", "code_dst")
     both = out_edges.unionByName(in_edges)
     pick = both.groupBy("classifier_id").agg(F.min("e").alias("e"))
     chosen = both.join(pick, ["classifier_id", "e"]).drop("e")
