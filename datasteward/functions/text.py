@@ -47,19 +47,22 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 INTEGER = r"^[+-]?\d+$"
 DATE_START = r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})"
 
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# every white-space character that a text can start or end with
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+               + "\u2028\u2029\u202f\u205f\u3000")
 _ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
 _PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
 
 
 def strip(v: Column) -> Column:
     """Remove every kind of white space at both ends (``trim`` only removes blanks)."""
-    return F.regexp_replace(v, _EDGE_SPACE, "")
+    return F.btrim(v, F.lit(WHITE_SPACE))
 
 
-def is_missing(v: Column, extended: bool = False) -> Column:
+def is_missing(v: Column, extended: bool = False, s: Column | None = None) -> Column:
+    """``s`` may pass the stripped text when it is at hand as a column."""
     words = MISSING_WORDS_EXTENDED if extended else MISSING_WORDS
-    return v.isNull() | F.lower(strip(v)).isin(words)
+    return v.isNull() | F.lower(strip(v) if s is None else s).isin(words)
 
 
 def is_blank(v: Column) -> Column:
@@ -81,11 +84,10 @@ def normalize_text(v: Column) -> Column:
     return F.regexp_replace(strip_accents(F.lower(strip(v))), r"(?U)\s+", " ")
 
 
-def parse_number(v: Column) -> Column:
+def parse_number(v: Column, s: Column | None = None) -> Column:
     """Finite number or null. The guard keeps out 'nan', 'inf', '1.5d' and '1_000'."""
-    s = strip(v)
-    n = F.expr("try_cast(null as double)")
-    return F.when(s.rlike(NUMBER), s.try_cast("double")).otherwise(n)
+    s = strip(v) if s is None else s
+    return F.when(s.rlike(NUMBER), s.try_cast("double"))
 
 
 def fix_encoding(v: Column, repairs=ENCODING_REPAIRS) -> Column:
@@ -118,8 +120,8 @@ def auto_clean(v: Column) -> Column:
     return F.struct(cleaned.alias("cleaned"), fixes.alias("fixes"))
 
 
-def value_type_flags(v: Column) -> dict[str, Column]:
-    s = strip(v)
+def value_type_flags(v: Column, s: Column | None = None) -> dict[str, Column]:
+    s = strip(v) if s is None else s
     return {
         "is_int": s.rlike(INTEGER),
         "is_float": s.rlike(NUMBER),
@@ -129,8 +131,8 @@ def value_type_flags(v: Column) -> dict[str, Column]:
     }
 
 
-def match_patterns(v: Column) -> dict[str, Column]:
-    s = strip(v)
+def match_patterns(v: Column, s: Column | None = None) -> dict[str, Column]:
+    s = strip(v) if s is None else s
     return {name: s.rlike(p) for name, p in VALUE_PATTERNS.items()}
 
 

@@ -21,7 +21,7 @@ def assess_table(cell_rows: DataFrame, standards: list[semantic.Standard], stand
 
     The cells are counted once and written; the facts are one row per column.
     """
-    vf = materialize(profile.counted(cell_rows))
+    vf = profile.settled(cell_rows)
     f = materialize(profile.column_facts(vf))
     total = F.col("total")
     nulls = (total - F.col("n")) / F.greatest(total, F.lit(1))
@@ -68,7 +68,7 @@ def assessment_rollup(assessed: DataFrame) -> DataFrame:
 def register_sources(cell_rows: DataFrame, standards: list[semantic.Standard], standard_values: DataFrame, concepts: DataFrame,
                      lists: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, mappings): source, field, concept, classifier and issue nodes with their edges."""
-    vf = materialize(profile.counted(cell_rows))
+    vf = profile.settled(cell_rows)
     f = materialize(profile.column_facts(vf))
     facts = f.select(*KEYS, F.col("d_lower_ext").alias("unique_count"))
     maps = materialize(semantic.match_to_concepts(vf, facts, standards, standard_values, concepts, lists))

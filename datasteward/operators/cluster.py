@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datasteward.sources.shared import materialize
+from datasteward.sources.shared import is_materialized, materialize
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -79,8 +79,7 @@ def _round(points: DataFrame, centroids: np.ndarray, previous: np.ndarray | None
 
 def _prepared(points: DataFrame) -> DataFrame:
     """Id and features only, written once so that no round repeats the work before it."""
-    if points.columns == ["id", "features"] and points.inputFiles() and all(
-            f.split("/")[-2].startswith("table-") for f in points.inputFiles()):
+    if is_materialized(points):
         return points
     return materialize(points.select("id", F.col("features").cast("array<double>").alias("features")))
 

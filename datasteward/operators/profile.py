@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from datasteward.functions import text as tx
 from datasteward.operators import ranks
 from datasteward.operators.cells import cells, value_counts
-from datasteward.sources.shared import materialize
+from datasteward.sources.shared import is_materialized, materialize
 
 KEYS = ["source", "column"]
 
@@ -18,25 +18,31 @@ def counted(rows: DataFrame) -> DataFrame:
     return rows if "cnt" in rows.columns else value_counts(rows)
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """Value counts as a written table, for operators that read them several times."""
+    vf = counted(rows)
+    return vf if is_materialized(vf) else materialize(vf)
+
+
 def column_facts(cell_rows: DataFrame) -> DataFrame:
     """One row per column with every counter the profiles need.
 
     cells -> distinct raw values -> distinct upper-case keys -> columns. Patterns run once
     per distinct value; each level combines map-side before it shuffles.
     """
-    v = F.col("value")
-    vf = counted(cell_rows)
-    flags = tx.value_type_flags(v)
-    low = F.lower(tx.strip(v))
-    ok = ~tx.is_missing(v)
-    ok_ext = ~tx.is_missing(v, extended=True)
+    v, s = F.col("value"), F.col("s")
+    vf = counted(cell_rows).withColumn("s", tx.strip(v))
+    flags = tx.value_type_flags(v, s)
+    low = F.lower(s)
+    ok = ~tx.is_missing(v, s=s)
+    ok_ext = ~tx.is_missing(v, extended=True, s=s)
     is_date = flags["is_iso_date"] | flags["is_latino_date"]
     kind = (F.when(~ok_ext, F.lit(None)).when(flags["is_int"], "int").when(flags["is_float"], "float")
             .when(is_date, "date").when(flags["is_boolean"], "bool"))
     d = vf.select(
         *KEYS, "cnt", v.alias("value"), ok.alias("ok"), ok_ext.alias("ok_ext"),
-        tx.value_key(v).alias("ukey"), low.alias("lkey"), kind.alias("kind"),
-        tx.parse_number(v).alias("x"),
+        F.upper(s).alias("ukey"), low.alias("lkey"), kind.alias("kind"),
+        tx.parse_number(v, s).alias("x"),
         v.rlike(r"^-?\d+$").alias("s_int"), v.rlike(r"^-?\d+\.\d+$").alias("s_float"),
         v.rlike(r"^\d{4}-\d{2}-\d{2}").alias("s_date"),
         (v.rlike(r"[^\x00-\x7F]") & ~v.rlike(r"(?U)^[\w\s\-.,()]")).alias("weird"),
@@ -101,7 +107,7 @@ def sample_values(cell_rows: DataFrame, n: int = 20) -> DataFrame:
 
 
 def profile_cells(cell_rows: DataFrame, samples: int = 20) -> DataFrame:
-    cell_rows = materialize(counted(cell_rows)) if "cnt" not in cell_rows.columns else cell_rows
+    cell_rows = settled(cell_rows)
     f = column_facts(cell_rows)
     base = f.select(
         *KEYS, strict_type().alias("data_type"), (F.col("n") < F.col("total")).alias("nullable"),
@@ -173,7 +179,7 @@ def top_values(cell_rows: DataFrame, k: int = 5) -> DataFrame:
 
 def distribution_summary(cell_rows: DataFrame) -> DataFrame:
     """Counts for every column, moments and quartiles for the numeric ones."""
-    cell_rows = materialize(counted(cell_rows)) if "cnt" not in cell_rows.columns else cell_rows
+    cell_rows = settled(cell_rows)
     f = column_facts(cell_rows)
     base = f.select(*KEYS, F.col("total").alias("count"), F.col("d_upper").alias("unique"),
                     (F.col("total") - F.col("n")).alias("missing"),
@@ -190,7 +196,7 @@ def distribution_summary(cell_rows: DataFrame) -> DataFrame:
 
 def dataset_profile(cell_rows: DataFrame) -> DataFrame:
     """Distribution and quality of each column."""
-    cell_rows = materialize(counted(cell_rows))
+    cell_rows = settled(cell_rows)
     quality = column_quality(cell_rows).select(*KEYS, "score", "grade")
     return distribution_summary(cell_rows).join(F.broadcast(quality), KEYS)
 
@@ -258,7 +264,7 @@ def field_quality(cell_rows: DataFrame, mapping: DataFrame, standard_values: Dat
     codes, gets consistency 1.
     """
     v = F.col("value")
-    cell_rows = materialize(counted(cell_rows)) if "cnt" not in cell_rows.columns else cell_rows
+    cell_rows = settled(cell_rows)
     f = column_facts(cell_rows)
     codes = (standard_values.select("standard_id", F.upper(tx.strip(F.col("code"))).alias("key"))
              .distinct().withColumn("_hit", F.lit(1)))

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from datasteward.functions import text as tx
-from datasteward.operators.profile import KEYS, counted
+from datasteward.operators.profile import KEYS, counted, settled
+from datasteward.sources.shared import materialize
 
 # Words of a binary column.
 BINARY_WORDS = ["s", "n", "si", "no", "y", "t", "f", "true", "false", "verdadero", "falso", "0", "1"]
@@ -84,7 +85,9 @@ def _local(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def _present(vf: DataFrame) -> DataFrame:
-    return counted(vf).filter(~tx.is_missing(F.col("value")))
+    """Non-missing distinct values with their stripped text."""
+    s = counted(vf).withColumn("s", tx.strip(F.col("value")))
+    return s.filter(~tx.is_missing(F.col("value"), s=F.col("s")))
 
 
 def detect_standard(vf: DataFrame, standards: list[Standard], standard_values: DataFrame) -> DataFrame:
@@ -94,6 +97,7 @@ def detect_standard(vf: DataFrame, standards: list[Standard], standard_values: D
     codes that cover at least half of the distinct values (medium). Rank 1 is the candidate
     found first in that order.
     """
+    vf = settled(vf)
     v = _present(vf)
     cols = counted(vf).select(*KEYS).distinct()
     hint_rows = [(s.standard_id, i, h.lower()) for i, s in enumerate(standards) for h in s.hints] or [("", 0, "\x00")]
@@ -102,14 +106,14 @@ def detect_standard(vf: DataFrame, standards: list[Standard], standard_values: D
              .select(*KEYS, "standard_id", "ord", F.lit(1).alias("branch"), F.lit("high").alias("confidence")).distinct()]
     patterns = [(i, s) for i, s in enumerate(standards) if s.regex]
     if patterns:
-        key = F.upper(tx.strip(F.col("value")))
+        key = F.upper("s")
         hit = v.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), *[
             F.sum(key.rlike(f"^(?:{s.regex})").cast("long")).alias(f"m{i}") for i, s in patterns])
         each = F.explode(F.array_compact(F.array(*[
             F.when(F.col(f"m{i}") > F.col("n") * 0.5, F.struct(F.lit(s.standard_id).alias("standard_id"), F.lit(i).alias("ord")))
             for i, s in patterns])))
         found.append(hit.select(*KEYS, each.alias("s")).select(*KEYS, "s.*", F.lit(2).alias("branch"), F.lit("high").alias("confidence")))
-    keys = v.select(*KEYS, F.upper(tx.strip(F.col("value"))).alias("k")).distinct()
+    keys = v.select(*KEYS, F.upper("s").alias("k")).distinct()
     n = keys.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
     codes = standard_values.select("standard_id", F.upper("code").alias("k")).distinct()
     order = F.broadcast(_local(vf, [(s.standard_id, i) for i, s in enumerate(standards)], "standard_id string, ord int"))
@@ -161,10 +165,10 @@ def pattern_type(vf: DataFrame, min_ratio: float = 0.0) -> DataFrame:
     Formats of identifiers, dates and addresses fire when any distinct value fits; with
     ``min_ratio`` that share of the distinct values must fit.
     """
-    v = _present(vf).withColumn("s", tx.strip(F.col("value")))
+    v = _present(vf)
     s, p = F.col("s"), {k: F.col("s").rlike(x) for k, x in tx.VALUE_PATTERNS.items()}
     digits, commas = s.rlike(r"^-?[\d.]+$"), s.rlike(r"^-?[\d.,]+$")
-    x = tx.parse_number(s)
+    x = tx.parse_number(s, s)
 
     def n(c: Column) -> Column:
         return F.sum(F.coalesce(c, F.lit(False)).cast("long"))
@@ -197,7 +201,8 @@ def _lookup(c: Column, table: dict[str, str | None]) -> Column:
 def infer_semantic_type(vf: DataFrame, lists: DataFrame, concepts: DataFrame | None = None,
                         concept_names: DataFrame | None = None, min_ratio: float = 0.0) -> DataFrame:
     """Type of each column: definite pattern, then reference list, then fingerprint, then candidate."""
-    cols = counted(vf).select(*KEYS).distinct()
+    vf = settled(vf)
+    cols = vf.select(*KEYS).distinct()
     t = pattern_type(vf, min_ratio)
     r = match_reference_list(vf, lists).select(*KEYS, F.col("list_name").alias("_list"), F.col("overlap").alias("_lo"), F.col("confidence").alias("_lc"))
     out = cols.join(t, KEYS, "left").join(r, KEYS, "left")
@@ -253,7 +258,9 @@ def match_to_concepts(vf: DataFrame, facts: DataFrame, standards: list[Standard]
     inferred type, none. ``facts`` is (source, column, unique_count); ``concepts`` is
     (concept_id, name, standard); ``fields`` adds fingerprints (concept_id, sample_values).
     """
+    vf = settled(vf)
     cols = facts.select(*KEYS, "unique_count", tx.clean_column_name(F.col("column")).alias("clean_name"))
+    cols = materialize(cols)  # one row per column
     none = F.lit(None).cast("string")
 
     def step(df: DataFrame, no: int, concept: Column, standard: Column, confidence: Column, method: Column) -> DataFrame:
@@ -261,7 +268,8 @@ def match_to_concepts(vf: DataFrame, facts: DataFrame, standards: list[Standard]
             concept.alias("proposed_concept"), standard.alias("standard"), confidence.alias("confidence"), method.alias("method")).alias("r"))
 
     named = {s.standard_id: s.hints[0].lower().replace(" ", "_") for s in standards if s.kind == "classifier" and s.hints}
-    clean_vf = counted(vf).join(F.broadcast(cols.select(*KEYS, "clean_name")), KEYS).select("source", F.col("clean_name").alias("column"), "value", "cnt")
+    names = F.broadcast(cols.select(*KEYS, "clean_name"))
+    clean_vf = settled(vf.join(names, KEYS).select("source", F.col("clean_name").alias("column"), "value", "cnt"))
     rule = detect_standard(clean_vf, standards, standard_values).filter("rank = 1").withColumnRenamed("column", "clean_name")
     rule = cols.join(rule, ["source", "clean_name"])
     concept = _lookup(F.col("standard_id"), named) if named else none
@@ -274,7 +282,7 @@ def match_to_concepts(vf: DataFrame, facts: DataFrame, standards: list[Standard]
                       F.when(fits, "exact_name_match").otherwise("exact_name_match_cardinality_mismatch")))
 
     # share of a column's values among the codes of each standard in use; one concept stands for a standard
-    keys = _present(vf).select(*KEYS, F.upper(tx.strip(F.col("value"))).alias("k")).distinct()
+    keys = _present(vf).select(*KEYS, F.upper("s").alias("k")).distinct()
     n = keys.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
     codes = standard_values.select(F.col("standard_id").alias("standard"), F.upper("code").alias("k")).distinct()
     share = (keys.join(codes, "k").groupBy(*KEYS, "standard").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(n), KEYS)

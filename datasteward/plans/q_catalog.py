@@ -98,12 +98,12 @@ for _name, _kind, _dir in (("fields", "implementa", "in"), ("classifier", "usa_c
 
 
 @R.add("c14_quality_summary", f"""{W}, f AS (SELECT id, source_db, quality_score AS s FROM fields UNION ALL SELECT id, 'legacy', 0.0 FROM orphans)
-SELECT source_db, count(*) AS total_fields, round(avg(s), 6) AS avg_quality, count(*) FILTER (s < 0.5) AS low_quality,
+SELECT source_db, count(*) AS total_fields, round(avg(s) + 1e-9, 6) AS avg_quality, count(*) FILTER (s < 0.5) AS low_quality,
  (SELECT count(*) FROM issues i WHERE i.source_db = f.source_db AND severity = 'error') AS errors,
  (SELECT count(*) FROM issues i WHERE i.source_db = f.source_db AND severity = 'warning') AS warnings, 0 AS infos FROM f GROUP BY source_db""")
 def c14(spark, sf):
     n, e, _, _ = catalog(spark, sf)
-    return _round(cat.quality_summary(n, e), "avg_quality")
+    return cat.quality_summary(n, e).withColumn("avg_quality", F.round(F.col("avg_quality") + 1e-9, 6))
 
 
 @R.add("c15_graph_stats", f"""{W} SELECT 'node' AS kind, coalesce(type, 'total') AS type, count(*) AS n FROM nodes GROUP BY ROLLUP(type)
@@ -138,10 +138,10 @@ def i17(spark, sf):
     return cat.governance_gaps(n, e)
 
 
-@R.add("i15_source_insights", f"{W} SELECT source_id, round(avg(quality_score), 6) AS avg_quality, count(*) AS field_count, count(*) FILTER (quality_score < 0.4) AS low_quality_count FROM fields GROUP BY 1")
+@R.add("i15_source_insights", f"{W} SELECT source_id, round(avg(quality_score) + 1e-9, 6) AS avg_quality, count(*) AS field_count, count(*) FILTER (quality_score < 0.4) AS low_quality_count FROM fields GROUP BY 1")
 def i15(spark, sf):
     n, e, _, _ = catalog(spark, sf)
-    return _round(cat.source_insights(n, e), "avg_quality")
+    return cat.source_insights(n, e).withColumn("avg_quality", F.round(F.col("avg_quality") + 1e-9, 6))
 
 
 @R.add("i15_cross_source_concepts", f"{W} SELECT concept_id, count(DISTINCT source_db) AS sources FROM fields GROUP BY 1 HAVING count(DISTINCT source_db) > 1")
@@ -171,17 +171,17 @@ def i13b(spark, sf):
 
 
 @R.add("e21_concept_context", f"""{W}, m AS (SELECT concept_id FROM contexts GROUP BY 1 HAVING count(*) > 1)
-SELECT concept_id, 'field' AS section, id AS ref_id, source_db AS detail, round(quality_score, 6) AS score FROM fields
+SELECT concept_id, 'field' AS section, id AS ref_id, source_db AS detail, round(quality_score + 1e-9, 6) AS score FROM fields
 UNION ALL SELECT f.concept_id, 'quality_issue', i.id, i.severity, NULL FROM issues i JOIN fields f ON f.id = i.field_id
 UNION ALL SELECT id, 'classifier', 'classifier:' || standard, standard[6:], NULL FROM concepts WHERE standard IS NOT NULL
 UNION ALL SELECT id, 'normative', 'normative:' || p_brand, p_brand, NULL FROM concepts WHERE p_size >= 20
 UNION ALL SELECT concept_id, 'context_conflict', id, r_name, NULL FROM contexts WHERE concept_id IN (SELECT concept_id FROM m)
 UNION ALL SELECT dst, 'composite', src, operation, NULL FROM edges WHERE type = 'compone'
 UNION ALL SELECT e.dst, 'derived_from', e.src, c.name, NULL FROM edges e JOIN concepts c ON c.id = e.src WHERE e.type = 'deriva_de'
-UNION ALL SELECT concept_id, 'quality_summary', concept_id, CAST(count(*) AS VARCHAR), round(coalesce(avg(quality_score) FILTER (quality_score > 0), 0), 6) FROM fields GROUP BY concept_id""")
+UNION ALL SELECT concept_id, 'quality_summary', concept_id, CAST(count(*) AS VARCHAR), round(coalesce(avg(quality_score) FILTER (quality_score > 0), 0) + 1e-9, 6) FROM fields GROUP BY concept_id""")
 def e21(spark, sf):
     n, e, _, _ = catalog(spark, sf)
-    return _round(cat.concept_context(n, e), "score")
+    return cat.concept_context(n, e).withColumn("score", F.round(F.col("score") + 1e-9, 6))
 
 
 @R.add("e22_impact", f"""{W}, s AS (SELECT concept_id, source_db, count(*) AS k FROM fields GROUP BY 1, 2), f AS (SELECT concept_id, sum(k) AS n, sum(k * k) AS q FROM s GROUP BY 1),

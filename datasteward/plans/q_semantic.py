@@ -13,6 +13,7 @@ from datasteward.plans.base import (DIRTY_SQL, Registry, dirty, q_cells, q_grade
 from datasteward.plans.catalog_data import CATALOG_SQL, catalog
 from datasteward.plans.q_profile import _INGEST_SQL, _IQR, _Q, _STRICT
 from datasteward.sources.readers import normalized_lists
+from datasteward.sources.shared import materialize
 
 R = Registry()
 
@@ -199,7 +200,7 @@ _MAPS = f"{_CELLS}, {_CODES}, {_DVC}, {_std_sql()}, {_NV}, {_LISTS}, {_LM}, {_TY
 
 
 def _maps(spark, sf):
-    vf = value_counts(_cells(spark, sf))
+    vf = profile.settled(_cells(spark, sf))
     return semantic.match_to_concepts(vf, _facts(vf), STANDARDS, _codes(spark, sf), _concepts(spark), _lists(spark, sf))
 
 
@@ -212,8 +213,8 @@ def e13(spark, sf):
 SELECT m.source, m."column", coalesce(i.suggested_concept, m.clean_name) AS suggested_concept, coalesce(s.standard_id, i.suggested_standard) AS detected_standard,
  CASE WHEN coalesce(i.confidence, 'low') <> 'low' THEN i.confidence ELSE m.confidence END AS confidence FROM maps m LEFT JOIN inf i ON i.source = m.source AND i.col = m.clean_name LEFT JOIN std_raw s ON s.source = m.source AND s."column" = m."column" WHERE proposed_concept IS NULL""")
 def e26(spark, sf):
-    m = _maps(spark, sf)
-    vf = value_counts(_cells(spark, sf))
+    m = materialize(_maps(spark, sf))
+    vf = profile.settled(_cells(spark, sf))
     names = m.select("source", "column", "clean_name")
     clean = vf.join(F.broadcast(names), ["source", "column"]).select("source", F.col("clean_name").alias("column"), "value", "cnt")
 
@@ -356,14 +357,14 @@ ck AS (SELECT DISTINCT cid, w FROM (SELECT id AS cid, unnest(string_split(name |
 m5 AS (SELECT name, arg_min(cid, (-n, cid)) AS cid, 5 AS step FROM (SELECT name, cid, count(*) AS n FROM vk JOIN ck USING (w) GROUP BY 1, 2) JOIN (SELECT name, count(*) AS nv FROM vk GROUP BY 1) USING (name) WHERE n / nv >= 0.15 GROUP BY 1),
 mm AS (SELECT name, arg_min(cid, step) AS concept_id, min(step) AS step FROM (SELECT * FROM m0 UNION ALL SELECT * FROM m5) GROUP BY 1),
 cq AS (SELECT concept_id, coalesce(avg(quality_score) FILTER (quality_score > 0), 0) AS q, count(*) AS n, count(DISTINCT source_db) AS s FROM fields GROUP BY 1),
-fe AS (SELECT vr.name, CASE WHEN mm.concept_id IS NULL THEN 'gap' ELSE 'available' END AS status, mm.concept_id, step, coalesce(n, 0) AS field_count, coalesce(s, 0) AS sources, round(coalesce(q, 0), 6) AS quality_score,
+fe AS (SELECT vr.name, CASE WHEN mm.concept_id IS NULL THEN 'gap' ELSE 'available' END AS status, mm.concept_id, step, coalesce(n, 0) AS field_count, coalesce(s, 0) AS sources, round(coalesce(q, 0) + 1e-9, 6) AS quality_score,
   coalesce(n > 0 AND q >= 0.4 AND c.review_status NOT IN ('proposed', 'rejected'), false) AS usable FROM vr LEFT JOIN mm USING (name) LEFT JOIN concepts c ON c.id = mm.concept_id LEFT JOIN cq ON cq.concept_id = mm.concept_id)"""
 
 
 @R.add("e24_feasibility", f"WITH {_FEAS} SELECT * FROM fe")
 def e24(spark, sf):
     n, e, _, _ = catalog(spark, sf)
-    return feasibility.feasibility(_variables(spark, sf), n, e).withColumn("quality_score", r6(F.col("quality_score")))
+    return feasibility.feasibility(_variables(spark, sf), n, e).withColumn("quality_score", F.round(F.col("quality_score") + 1e-9, 6))
 
 
 @R.add("e24_coverage", f"WITH {_FEAS} SELECT count(*) AS total, count(*) FILTER (status = 'available') AS available, count(*) FILTER (status = 'gap') AS gaps, round(count(*) FILTER (status = 'available') / count(*) * 100, 6) AS percentage FROM fe")

@@ -26,4 +26,11 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._datasteward_table = True
+    return out
+
+
+def is_materialized(df: DataFrame) -> bool:
+    """True for a plain read of a table that ``materialize`` wrote."""
+    return getattr(df, "_datasteward_table", False)

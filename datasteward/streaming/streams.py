@@ -106,4 +106,4 @@ def heartbeat_sessions_stream(runs: DataFrame, key: str, gap_seconds: int, delay
         batch.write.mode("overwrite").parquet(f"{work}/sessions/n={number}")
 
     _run(s, "append", work, each)
-    return spark.read.schema(s.schema).parquet(f"{work}/sessions")
+    return spark.read.schema(s.schema).parquet(f"{work}/sessions").select(*s.columns)
