@@ -8,25 +8,19 @@ from pyspark.sql import functions as F
 from datasteward.functions import text as tx
 from datasteward.operators import ranks
 from datasteward.operators.cells import cells
-from datasteward.operators.profile import KEYS, numeric_values, spread
-from datasteward.sources.shared import materialize
+from datasteward.operators.profile import KEYS, numeric_values, settled, spread
 
 REASONS = {"iqr": "fuera de rango IQR", "zscore": "zscore > 3.0"}
 
 
-def bounds(numbers: DataFrame, method: str = "iqr", approximate: bool = False) -> DataFrame:
+def bounds(numbers: DataFrame, method: str = "iqr") -> DataFrame:
     """(source, column, n_num, lower, upper); columns with fewer than four numbers have none."""
     if method == "zscore":
         s = spread(numbers).filter(F.col("n_num") >= 4)
         return s.select(*KEYS, "n_num", (F.col("mean") - 3 * F.col("std")).alias("lower"),
                         (F.col("mean") + 3 * F.col("std")).alias("upper"))
     n = numbers.groupBy(*KEYS).agg(F.sum("cnt").alias("n_num"))
-    if approximate:
-        q = (numbers.groupBy(*KEYS)
-             .agg(F.percentile_approx("x", F.lit([0.25, 0.75]), F.lit(10000)).alias("_q"))
-             .select(*KEYS, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3")))
-    else:
-        q = ranks.quantiles(numbers, KEYS, {"q1": 0.25, "q3": 0.75})
+    q = ranks.quantiles(numbers, KEYS, {"q1": 0.25, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     return (n.join(q, KEYS).filter(F.col("n_num") >= 4)
             .select(*KEYS, "n_num", (F.col("q1") - 1.5 * iqr).alias("lower"),
@@ -40,7 +34,7 @@ def _outside(method: str):
 
 def numeric_anomalies(cell_rows: DataFrame, method: str = "iqr") -> DataFrame:
     """Bounds, count and share of outliers per column."""
-    numbers = materialize(numeric_values(cell_rows, drop_missing=False))
+    numbers = numeric_values(settled(cell_rows), drop_missing=False)
     b = bounds(numbers, method)
     return (numbers.join(F.broadcast(b), KEYS)
             .groupBy(*KEYS, "n_num", "lower", "upper")
@@ -51,7 +45,7 @@ def numeric_anomalies(cell_rows: DataFrame, method: str = "iqr") -> DataFrame:
 def anomaly_rows(df: DataFrame, source: str, ids: list[str], columns: list[str],
                  method: str = "iqr") -> DataFrame:
     """The offending rows: ids, column, value and reason."""
-    b = bounds(numeric_values(cells(df, source, columns), drop_missing=False), method)
+    b = bounds(numeric_values(settled(cells(df, source, columns)), drop_missing=False), method)
     rows = cells(df, source, columns, ids).withColumn("x", tx.parse_number(F.col("value")))
     return (rows.join(F.broadcast(b), KEYS).filter(_outside(method))
             .select(*ids, "column", "x", F.lit(REASONS[method]).alias("reason")))

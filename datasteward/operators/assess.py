@@ -27,7 +27,7 @@ def assess_table(cell_rows: DataFrame, standards: list[semantic.Standard], stand
     nulls = (total - F.col("n")) / F.greatest(total, F.lit(1))
     base = f.select(
         *KEYS, profile.strict_type().alias("data_type"), total.alias("total_count"), (total - F.col("n")).alias("null_count"),
-        F.col("d_raw").alias("unique_count"), "min_value", "max_value",
+        F.col("d_raw").alias("unique_count"),
         *[c for c in profile.quality_columns()],
         F.array_compact(F.array(
             F.when(nulls > 0.5, "alta_nulidad"), F.when((F.col("d_raw") == 1) & (total > 5), "columna_constante"),
@@ -38,7 +38,8 @@ def assess_table(cell_rows: DataFrame, standards: list[semantic.Standard], stand
         *KEYS, F.coalesce("semantic_type", "reference_match").alias("inferred_type"), "matched_concept", "suggested_concept",
         F.col("confidence").alias("inferred_confidence"), "suggested_standard")
     std = semantic.detect_standard(vf, standards, standard_values).filter("rank = 1").select(*KEYS, "standard_id")
-    t = (privacy.sensitivity(base).join(F.broadcast(out), KEYS, "left").join(F.broadcast(inf), KEYS, "left")
+    ends = profile.value_range(vf)
+    t = (privacy.sensitivity(base).join(F.broadcast(ends), KEYS, "left").join(F.broadcast(out), KEYS, "left").join(F.broadcast(inf), KEYS, "left")
          .join(F.broadcast(std), KEYS, "left"))
     numeric = F.col("data_type").isin("integer", "float")
     status = (F.when(F.col("matched_concept").isNotNull(), "matched")

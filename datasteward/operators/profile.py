@@ -28,7 +28,9 @@ def column_facts(cell_rows: DataFrame) -> DataFrame:
     """One row per column with every counter the profiles need.
 
     cells -> distinct raw values -> distinct upper-case keys -> columns. Patterns run once
-    per distinct value; each level combines map-side before it shuffles.
+    per distinct value; each level combines map-side before it shuffles. All figures are
+    numbers, so that both levels are hash aggregates; extremes of text come from
+    ``value_range``, which sorts.
     """
     v, s = F.col("value"), F.col("s")
     vf = counted(cell_rows).withColumn("s", tx.strip(v))
@@ -41,7 +43,7 @@ def column_facts(cell_rows: DataFrame) -> DataFrame:
             .when(is_date, "date").when(flags["is_boolean"], "bool"))
     d = vf.select(
         *KEYS, "cnt", v.alias("value"), ok.alias("ok"), ok_ext.alias("ok_ext"),
-        F.upper(s).alias("ukey"), low.alias("lkey"), kind.alias("kind"),
+        F.upper(s).alias("ukey"), F.xxhash64(low).alias("lkey"), kind.alias("kind"),
         tx.parse_number(v, s).alias("x"),
         v.rlike(r"^-?\d+$").alias("s_int"), v.rlike(r"^-?\d+\.\d+$").alias("s_float"),
         v.rlike(r"^\d{4}-\d{2}-\d{2}").alias("s_date"),
@@ -57,8 +59,6 @@ def column_facts(cell_rows: DataFrame) -> DataFrame:
         F.sum(ok.cast("long")).alias("d_raw"),
         F.max(ok.cast("int")).alias("has"), F.max(ok_ext.cast("int")).alias("has_ext"),
         F.min(F.when(ok, F.col("lkey"))).alias("l0"), F.max(F.when(ok, F.col("lkey"))).alias("l1"),
-        F.min(F.when(ok, F.col("value"))).alias("min_value"),
-        F.max(F.when(ok, F.col("value"))).alias("max_value"),
         F.min(F.when(ok, F.col("s_int"))).alias("all_int"),
         F.min(F.when(ok, F.col("s_float"))).alias("all_float"),
         F.min(F.when(ok, F.col("s_date"))).alias("all_date"),
@@ -75,8 +75,7 @@ def column_facts(cell_rows: DataFrame) -> DataFrame:
                                       "k_date", "k_bool", "n_weird", "n_dated", "sum_len")],
         F.sum("has").alias("d_upper"), F.sum("has_ext").alias("d_lower_ext"),
         F.sum(spellings).alias("d_lower"),
-        *[F.min(c).alias(c) for c in ("min_value", "min_x")],
-        *[F.max(c).alias(c) for c in ("max_value", "max_x")],
+        F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"),
         *[F.coalesce(F.min(c), F.lit(True)).alias(c) for c in ("all_int", "all_float", "all_date")])
     return f.withColumn("is_numeric", (F.col("n") > 0) & (F.col("n_num") > F.col("n") * 0.8))
 
@@ -106,14 +105,26 @@ def sample_values(cell_rows: DataFrame, n: int = 20) -> DataFrame:
         .alias("sample_values"))
 
 
+def value_range(cell_rows: DataFrame) -> DataFrame:
+    """Smallest and largest non-missing value of each column in text order."""
+    vf = counted(cell_rows).filter(~tx.is_missing(F.col("value")))
+    ends = []
+    for name, order in (("min_value", F.col("value")), ("max_value", F.desc("value"))):
+        w = Window.partitionBy(*KEYS).orderBy(order)
+        ends.append(vf.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
+                    .select(*KEYS, F.col("value").alias(name)))
+    return ends[0].join(ends[1], KEYS)
+
+
 def profile_cells(cell_rows: DataFrame, samples: int = 20) -> DataFrame:
     cell_rows = settled(cell_rows)
     f = column_facts(cell_rows)
     base = f.select(
         *KEYS, strict_type().alias("data_type"), (F.col("n") < F.col("total")).alias("nullable"),
         F.col("total").alias("total_count"), (F.col("total") - F.col("n")).alias("null_count"),
-        F.col("d_raw").alias("unique_count"), "min_value", "max_value")
-    return base.join(F.broadcast(sample_values(cell_rows, samples)), KEYS, "left")
+        F.col("d_raw").alias("unique_count"))
+    return (base.join(F.broadcast(value_range(cell_rows)), KEYS, "left")
+            .join(F.broadcast(sample_values(cell_rows, samples)), KEYS, "left"))
 
 
 def profile_columns(df: DataFrame, source: str) -> DataFrame:
@@ -151,12 +162,11 @@ def spelling_variants(cell_rows: DataFrame) -> DataFrame:
 
 
 def numeric_values(cell_rows: DataFrame, drop_missing: bool = True) -> DataFrame:
-    """(source, column, x, cnt) of the parsed numbers, one row per distinct number."""
+    """(source, column, x, cnt) of the parsed numbers, one row per distinct text."""
     vf = counted(cell_rows)
     if drop_missing:
         vf = vf.filter(~tx.is_missing(F.col("value")))
-    return (vf.select(*KEYS, tx.parse_number(F.col("value")).alias("x"), "cnt")
-            .filter(F.col("x").isNotNull()).groupBy(*KEYS, "x").agg(F.sum("cnt").alias("cnt")))
+    return vf.select(*KEYS, tx.parse_number(F.col("value")).alias("x"), "cnt").filter(F.col("x").isNotNull())
 
 
 def spread(numbers: DataFrame) -> DataFrame:
