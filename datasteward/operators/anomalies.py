@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from datasteward.functions import text as tx
 from datasteward.operators import ranks
 from datasteward.operators.cells import cells
-from datasteward.operators.profile import KEYS, numeric_values, settled, spread
+from datasteward.operators.profile import KEYS, numeric_values, spread
+from datasteward.sources.shared import materialize
 
 REASONS = {"iqr": "fuera de rango IQR", "zscore": "zscore > 3.0"}
 
@@ -34,7 +35,7 @@ def _outside(method: str):
 
 def numeric_anomalies(cell_rows: DataFrame, method: str = "iqr") -> DataFrame:
     """Bounds, count and share of outliers per column."""
-    numbers = numeric_values(settled(cell_rows), drop_missing=False)
+    numbers = materialize(numeric_values(cell_rows, drop_missing=False))
     b = bounds(numbers, method)
     return (numbers.join(F.broadcast(b), KEYS)
             .groupBy(*KEYS, "n_num", "lower", "upper")
@@ -45,7 +46,7 @@ def numeric_anomalies(cell_rows: DataFrame, method: str = "iqr") -> DataFrame:
 def anomaly_rows(df: DataFrame, source: str, ids: list[str], columns: list[str],
                  method: str = "iqr") -> DataFrame:
     """The offending rows: ids, column, value and reason."""
-    b = bounds(numeric_values(settled(cells(df, source, columns)), drop_missing=False), method)
+    b = bounds(materialize(numeric_values(cells(df, source, columns), drop_missing=False)), method)
     rows = cells(df, source, columns, ids).withColumn("x", tx.parse_number(F.col("value")))
     return (rows.join(F.broadcast(b), KEYS).filter(_outside(method))
             .select(*ids, "column", "x", F.lit(REASONS[method]).alias("reason")))

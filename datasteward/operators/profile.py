@@ -27,24 +27,20 @@ def settled(rows: DataFrame) -> DataFrame:
 def column_facts(cell_rows: DataFrame) -> DataFrame:
     """One row per column with every counter the profiles need.
 
-    cells -> distinct raw values -> distinct upper-case keys -> columns. Patterns run once
-    per distinct value; each level combines map-side before it shuffles. All figures are
-    numbers, so that both levels are hash aggregates; extremes of text come from
+    Patterns run once per distinct value. The counters are one aggregate with a row per
+    column and task before its shuffle; only the distinct keys are shuffled by value. All
+    figures are numbers, so both are hash aggregates; extremes of text come from
     ``value_range``, which sorts.
     """
     v, s = F.col("value"), F.col("s")
-    vf = counted(cell_rows).withColumn("s", tx.strip(v))
+    vf = settled(cell_rows).withColumn("s", tx.strip(v))
     flags = tx.value_type_flags(v, s)
-    low = F.lower(s)
-    ok = ~tx.is_missing(v, s=s)
-    ok_ext = ~tx.is_missing(v, extended=True, s=s)
+    ok, ok_ext = ~tx.is_missing(v, s=s), ~tx.is_missing(v, extended=True, s=s)
     is_date = flags["is_iso_date"] | flags["is_latino_date"]
     kind = (F.when(~ok_ext, F.lit(None)).when(flags["is_int"], "int").when(flags["is_float"], "float")
             .when(is_date, "date").when(flags["is_boolean"], "bool"))
     d = vf.select(
-        *KEYS, "cnt", v.alias("value"), ok.alias("ok"), ok_ext.alias("ok_ext"),
-        F.upper(s).alias("ukey"), F.xxhash64(low).alias("lkey"), kind.alias("kind"),
-        tx.parse_number(v, s).alias("x"),
+        *KEYS, "cnt", ok.alias("ok"), ok_ext.alias("ok_ext"), kind.alias("kind"), tx.parse_number(v, s).alias("x"),
         v.rlike(r"^-?\d+$").alias("s_int"), v.rlike(r"^-?\d+\.\d+$").alias("s_float"),
         v.rlike(r"^\d{4}-\d{2}-\d{2}").alias("s_date"),
         (v.rlike(r"[^\x00-\x7F]") & ~v.rlike(r"(?U)^[\w\s\-.,()]")).alias("weird"),
@@ -53,31 +49,29 @@ def column_facts(cell_rows: DataFrame) -> DataFrame:
     def n(cond: Column) -> Column:
         return F.sum(F.when(cond, F.col("cnt")).otherwise(0))
 
-    ok, ok_ext, x = F.col("ok"), F.col("ok_ext"), F.col("x")
-    by_key = d.groupBy(*KEYS, "ukey").agg(
-        F.sum("cnt").alias("total"), n(ok).alias("n"), n(ok_ext).alias("n_ext"),
-        F.sum(ok.cast("long")).alias("d_raw"),
-        F.max(ok.cast("int")).alias("has"), F.max(ok_ext.cast("int")).alias("has_ext"),
-        F.min(F.when(ok, F.col("lkey"))).alias("l0"), F.max(F.when(ok, F.col("lkey"))).alias("l1"),
-        F.min(F.when(ok, F.col("s_int"))).alias("all_int"),
-        F.min(F.when(ok, F.col("s_float"))).alias("all_float"),
-        F.min(F.when(ok, F.col("s_date"))).alias("all_date"),
-        n(ok & x.isNotNull()).alias("n_num"),
-        F.sum(F.when(ok, x * F.col("cnt"))).alias("sum_x"),
-        F.min(F.when(ok, x)).alias("min_x"), F.max(F.when(ok, x)).alias("max_x"),
+    def every(c: str) -> Column:
+        return F.coalesce(F.min(F.when(F.col("ok"), F.col(c))), F.lit(True)).alias(f"all_{c[2:]}")
+
+    is_ok, x = F.col("ok"), F.col("x")
+    sums = d.groupBy(*KEYS).agg(
+        F.sum("cnt").alias("total"), n(is_ok).alias("n"), n(F.col("ok_ext")).alias("n_ext"),
+        F.sum(is_ok.cast("long")).alias("d_raw"), n(is_ok & x.isNotNull()).alias("n_num"),
+        F.min(F.when(is_ok, x)).alias("min_x"), F.max(F.when(is_ok, x)).alias("max_x"),
         *[n(F.col("kind") == k).alias(f"k_{k}") for k in ("int", "float", "date", "bool")],
-        n(ok & F.col("weird")).alias("n_weird"), n(ok & F.col("dated")).alias("n_dated"),
-        F.sum(F.when(ok, F.col("len") * F.col("cnt")).otherwise(0)).alias("sum_len"))
+        n(is_ok & F.col("weird")).alias("n_weird"), n(is_ok & F.col("dated")).alias("n_dated"),
+        F.sum(F.when(is_ok, F.col("len") * F.col("cnt")).otherwise(0)).alias("sum_len"),
+        every("s_int"), every("s_float"), every("s_date"))
     # the lower-case spellings under one upper-case key differ only for a few special letters
+    low = F.xxhash64(F.lower(s))
+    keys = (vf.select(*KEYS, F.upper(s).alias("ukey"), ok.alias("ok"), ok_ext.alias("ok_ext"), low.alias("l"))
+            .groupBy(*KEYS, "ukey").agg(
+                F.max(is_ok.cast("int")).alias("has"), F.max(F.col("ok_ext").cast("int")).alias("has_ext"),
+                F.min(F.when(is_ok, F.col("l"))).alias("l0"), F.max(F.when(is_ok, F.col("l"))).alias("l1")))
     spellings = F.when(F.col("has") == 1, F.when(F.col("l0") == F.col("l1"), 1).otherwise(2)).otherwise(0)
-    f = by_key.groupBy(*KEYS).agg(
-        *[F.sum(c).alias(c) for c in ("total", "n", "n_ext", "d_raw", "n_num", "sum_x", "k_int", "k_float",
-                                      "k_date", "k_bool", "n_weird", "n_dated", "sum_len")],
-        F.sum("has").alias("d_upper"), F.sum("has_ext").alias("d_lower_ext"),
-        F.sum(spellings).alias("d_lower"),
-        F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"),
-        *[F.coalesce(F.min(c), F.lit(True)).alias(c) for c in ("all_int", "all_float", "all_date")])
-    return f.withColumn("is_numeric", (F.col("n") > 0) & (F.col("n_num") > F.col("n") * 0.8))
+    distinct = keys.groupBy(*KEYS).agg(F.sum("has").alias("d_upper"), F.sum("has_ext").alias("d_lower_ext"),
+                                       F.sum(spellings).alias("d_lower"))
+    return (sums.join(F.broadcast(distinct), KEYS)
+            .withColumn("is_numeric", (F.col("n") > 0) & (F.col("n_num") > F.col("n") * 0.8)))
 
 
 def strict_type() -> Column:
@@ -195,7 +189,7 @@ def distribution_summary(cell_rows: DataFrame) -> DataFrame:
                     (F.col("total") - F.col("n")).alias("missing"),
                     F.when(F.col("is_numeric"), "numeric").otherwise("categorical").alias("type"),
                     (F.col("is_numeric") & (F.col("n_num") >= 2)).alias("_num"), "min_x", "max_x")
-    numbers = numeric_values(cell_rows)
+    numbers = materialize(numeric_values(cell_rows))
     q = ranks.quantiles(numbers, KEYS, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     out = (base.join(F.broadcast(spread(numbers)), KEYS, "left").join(F.broadcast(q), KEYS, "left"))
     stat = {"mean": "mean", "median": "median", "std": "std", "min": "min_x", "max": "max_x",

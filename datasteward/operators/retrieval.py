@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datasteward.functions import text as tx
+from datasteward.operators.cells import widen
+from datasteward.sources.shared import materialize
 
 # Chunking and ranking parameters.
 CHUNK_SIZE, CHUNK_OVERLAP, MIN_CHUNK, MIN_DOCUMENT = 800, 100, 30, 50
@@ -70,7 +72,7 @@ def chunk_text(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLA
 def ingest(documents: DataFrame, source: str = "source", text: str = "text", size: int = CHUNK_SIZE,
            overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """(id, source, chunk_index, text) of every document of at least 50 characters."""
-    d = documents.filter(F.length(text) >= MIN_DOCUMENT)
+    d = widen(documents).filter(F.length(text) >= MIN_DOCUMENT)
     c = d.select(F.col(source).cast("string").alias("source"), F.posexplode(chunk_text(F.col(text), size, overlap)).alias("chunk_index", "text"))
     return c.select(F.concat_ws(":", F.lit("norm"), "source", F.col("chunk_index").cast("string")).alias("id"), "source", "chunk_index", "text")
 
@@ -82,7 +84,7 @@ def replace_sources(corpus: DataFrame, new: DataFrame) -> DataFrame:
 
 def hashed_vector(df: DataFrame, id: str, text: str, dims: int = 64) -> DataFrame:
     """(id, embedding): term counts folded into ``dims`` buckets, a stand-in for a model's vectors."""
-    t = df.select(id, F.explode(tx.tokenize(F.col(text))).alias("t"))
+    t = widen(df.select(id, text)).select(id, F.explode(tx.tokenize(F.col(text))).alias("t"))
     bucket = (F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("bigint") % dims).cast("int")
     n = t.groupBy(id, bucket.alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     m = n.groupBy(id).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))  # at most dims entries
@@ -94,13 +96,14 @@ def hashed_vector(df: DataFrame, id: str, text: str, dims: int = 64) -> DataFram
 
 def postings(corpus: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
     """(id, term, tf, dl). The document length travels with each posting."""
-    t = corpus.select(F.col(id).alias("id"), tx.tokenize(F.col(text)).alias("tok"))
+    t = widen(corpus.select(id, text)).select(F.col(id).alias("id"), tx.tokenize(F.col(text)).alias("tok"))
     t = t.select("id", F.size("tok").alias("dl"), F.explode("tok").alias("term"))
     return t.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def corpus_totals(corpus: DataFrame, text: str = "text") -> DataFrame:
-    return corpus.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tx.tokenize(F.col(text)))).alias("avgdl"))
+    size = widen(corpus.select(text)).select(F.size(tx.tokenize(F.col(text))).alias("dl"))
+    return size.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def bm25_idf(post: DataFrame, totals: DataFrame) -> DataFrame:
@@ -123,7 +126,7 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     and a term that is repeated in a query counts as often as it occurs there.
     """
     q = query_terms(queries)
-    post = postings(corpus).join(q.select("term").distinct(), "term", "left_semi")
+    post = materialize(postings(corpus).join(q.select("term").distinct(), "term", "left_semi"))
     totals = corpus_totals(corpus)
     idf = bm25_idf(post, totals)
     f = F.col("tf").cast("double")
@@ -229,7 +232,7 @@ def hybrid_search(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFram
     keyword score is divided by its maximum over the candidates of the query; a tag limits
     the candidates, while document frequencies stay those of the whole corpus.
     """
-    sparse = bm25_scores(corpus, queries)
+    corpus, sparse = materialize(corpus), materialize(bm25_scores(corpus, queries))
     tagged = sparse.join(queries.select("query_id", "tag"), "query_id")
     if queries.filter("tag is not null").limit(1).count():
         tagged = (tagged.join(corpus.select("id", "tags"), "id")
@@ -276,7 +279,7 @@ def tfidf_rank(docs: DataFrame, queries: DataFrame, k: int | None = 10) -> DataF
     computed once with the plain frequencies and corrected for the terms it shares with
     the query. Documents without a shared term score 0 and are not listed.
     """
-    post = postings(docs).withColumn("tf", F.col("tf") / F.col("dl"))
+    post = materialize(postings(docs)).withColumn("tf", F.col("tf") / F.col("dl"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from datasteward.functions import text as tx
 from datasteward.operators import anomalies, clean, profile
-from datasteward.operators.cells import cells, cells_of
-from datasteward.plans.base import (COLUMNS, DIRTY_SQL, TABLES, Registry, dirty, q_cells, q_grade, q_missing,
+from datasteward.operators.cells import cells_of, widen
+from datasteward.plans.base import (DIRTY_SQL, TABLES, Registry, dirty, q_cells, q_grade, q_missing,
                                     q_num, q_strip, r6, table)
 
 R = Registry()
@@ -119,7 +119,7 @@ def b9(spark, sf):
 WITH t AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+')) AS w FROM documents)
 SELECT w AS token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t WHERE length(w) > 1 GROUP BY w""")
 def b10(spark, sf):
-    tok = table(spark, sf, "documents").select("doc_id", F.explode(tx.tokenize(F.col("text"))).alias("token"))
+    tok = widen(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode(tx.tokenize(F.col("text"))).alias("token"))
     return (tok.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("c"))
             .groupBy("token").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("docs")))
 
