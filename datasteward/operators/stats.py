@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from datasteward.functions.pvalues import chi2_p_value, t_p_value
 from datasteward.operators import ranks
+from datasteward.operators.cells import widen
 
 # Wording of the correlation verdicts.
 TOO_FEW, NO_VARIANCE = "insuficientes datos", "sin varianza"
@@ -72,15 +73,16 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
         cx, cy = F.col(x).cast("double"), F.col(y).cast("double")
         both = cx.isNotNull() & cy.isNotNull()
         aggs.append(F.count(F.when(both, 1)).alias(f"n{i}"))
-        # one constant side gives NaN, which is reported as missing variance
-        flat = (F.max(F.when(both, cx)) == F.min(F.when(both, cx))) | (F.max(F.when(both, cy)) == F.min(F.when(both, cy)))
-        aggs.append(F.when(~flat, F.corr(cx, cy)).alias(f"r{i}"))
-    one = df.agg(*aggs)
+        # a constant side has no correlation: null instead of a division by zero
+        spread = F.stddev_pop(F.when(both, cx)) * F.stddev_pop(F.when(both, cy))
+        aggs.append(F.when(spread > 0, F.covar_pop(cx, cy) / spread).alias(f"r{i}"))
+    one = widen(df.select(*columns)).agg(*aggs)
     rows = F.explode(F.array(*[
         F.struct(F.lit(x).alias("column_a"), F.lit(y).alias("column_b"),
                  F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r")) for i, (x, y) in enumerate(pairs)]))
     t = one.select(rows.alias("p")).select("p.*")
-    r = F.when(F.col("n") >= 3, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r"))))
+    # greatest and least skip nulls, so an unknown r must stay out of them
+    r = F.when((F.col("n") >= 3) & F.col("r").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r"))))
     return t.select("column_a", "column_b", "n", F.coalesce(r, F.lit(0.0)).alias("r"),
                     _verdict(F.col("n"), r).alias("verdict"))
 
