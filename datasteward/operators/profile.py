@@ -276,7 +276,7 @@ def field_quality(cell_rows: DataFrame, mapping: DataFrame, standard_values: Dat
     vf = counted(cell_rows).filter(~tx.is_missing(v, extended=True))
     hits = (vf.join(F.broadcast(mapping), KEYS)
             .withColumn("key", tx.value_key(v))
-            .join(F.broadcast(codes), ["standard_id", "key"], "left")
+            .join(codes, ["standard_id", "key"], "left")
             .groupBy(*KEYS).agg(F.sum(F.when(F.col("_hit") == 1, F.col("cnt")).otherwise(0)).alias("_in")))
     t = (f.join(F.broadcast(mapping.join(filled, "standard_id", "left")), KEYS, "left")
          .join(F.broadcast(hits), KEYS, "left"))

@@ -101,16 +101,16 @@ def postings(corpus: DataFrame, id: str = "id", text: str = "text") -> DataFrame
     return t.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def corpus_totals(corpus: DataFrame, text: str = "text") -> DataFrame:
+def corpus_totals(corpus: DataFrame, text: str = "text") -> tuple[int, float]:
+    """Number of documents and their average length in words."""
     size = widen(corpus.select(text)).select(F.size(tx.tokenize(F.col(text))).alias("dl"))
-    return size.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    r = size.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    return r["n"], r["avgdl"] or 1.0
 
 
-def bm25_idf(post: DataFrame, totals: DataFrame) -> DataFrame:
+def bm25_idf(post: DataFrame, n_docs: int) -> DataFrame:
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = F.col("n_docs")
-    return (df.join(F.broadcast(totals))  # one row
-            .select("term", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))
+    return df.select("term", "df", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -127,12 +127,11 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """
     q = query_terms(queries)
     post = materialize(postings(corpus).join(q.select("term").distinct(), "term", "left_semi"))
-    totals = corpus_totals(corpus)
-    idf = bm25_idf(post, totals)
+    n_docs, avgdl = corpus_totals(corpus)
+    idf = bm25_idf(post, n_docs)
     f = F.col("tf").cast("double")
-    part = F.col("qtf") * F.col("idf") * (f * (K1 + 1)) / (
-        f + K1 * (1 - B + B * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)))
-    t = post.join(q.join(idf, "term"), "term").join(F.broadcast(totals.select("avgdl")))  # one row
+    part = F.col("qtf") * F.col("idf") * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("dl") / avgdl))
+    t = post.join(q.join(idf, "term"), "term")
     return t.groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
 
 
@@ -170,7 +169,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def _scan(rows: list, k: int, hybrid: bool, maxima: dict):
+def _scan(rows: list, k: int, hybrid: bool):
     """The function that one task runs over its documents for one block of queries."""
     ids = [r["query_id"] for r in rows]
     pos = {q: i for i, q in enumerate(ids)}
@@ -187,9 +186,7 @@ def _scan(rows: list, k: int, hybrid: bool, maxima: dict):
             if hybrid:
                 for d, pairs in enumerate(pdf["sparse"]):
                     for p in (pairs if pairs is not None else ()):
-                        j = pos.get(p["query_id"])
-                        if j is not None and maxima.get(p["query_id"], 0) > 0:
-                            key[d, j] = p["bm25"] / maxima[p["query_id"]]
+                        key[d, pos[p["query_id"]]] = p["bm25"]
                 total = key * BM25_WEIGHT + np.maximum(cos, 0.0) * COSINE_WEIGHT
                 for j, tag in enumerate(tags):
                     if tag is not None:
@@ -218,7 +215,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFra
                            *[T.StructField(c, T.DoubleType()) for c in ("score", "cosine", "bm25")]])
     found = None
     for rows in _blocks(queries, ["query_id", "embedding"]):
-        part = vectors.select("id", "embedding").mapInPandas(_scan(rows, k, False, {}), schema)
+        part = vectors.select("id", "embedding").mapInPandas(_scan(rows, k, False), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], schema)
@@ -233,18 +230,21 @@ def hybrid_search(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFram
     the candidates, while document frequencies stay those of the whole corpus.
     """
     corpus, sparse = materialize(corpus), materialize(bm25_scores(corpus, queries))
-    tagged = sparse.join(queries.select("query_id", "tag"), "query_id")
+    cand = sparse.join(queries.select("query_id", "tag"), "query_id")
     if queries.filter("tag is not null").limit(1).count():
-        tagged = (tagged.join(corpus.select("id", "tags"), "id")
-                  .filter(F.col("tag").isNull() | F.array_contains("tags", F.col("tag"))))
-    maxima = {r[0]: r[1] for r in tagged.groupBy("query_id").agg(F.max("bm25")).collect()}  # one figure per query
-    per_doc = sparse.groupBy("id").agg(F.collect_list(F.struct("query_id", "bm25")).alias("sparse"))  # one entry per query at most
-    docs = corpus.select("id", "embedding", "tags").join(per_doc, "id", "left")
+        cand = (cand.join(corpus.select("id", "tags"), "id")
+                .filter(F.col("tag").isNull() | F.array_contains("tags", F.col("tag"))))
+    top = cand.groupBy("query_id").agg(F.max("bm25").alias("m")).filter("m > 0")
+    share = materialize(cand.join(top, "query_id").select("query_id", "id", (F.col("bm25") / F.col("m")).alias("bm25")))
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", corpus.schema["id"].dataType),
                            *[T.StructField(c, T.DoubleType()) for c in ("score", "cosine", "bm25")]])
     found = None
     for rows in _blocks(queries, ["query_id", "embedding", "tag"]):
-        part = docs.mapInPandas(_scan(rows, k, True, maxima), schema)
+        mine = share.filter(F.col("query_id").between(rows[0]["query_id"], rows[-1]["query_id"]))
+        # the keyword scores of one document: at most one entry per query of the block
+        per_doc = mine.groupBy("id").agg(F.collect_list(F.struct("query_id", "bm25")).alias("sparse"))
+        docs = corpus.select("id", "embedding", "tags").join(per_doc, "id", "left")
+        part = docs.mapInPandas(_scan(rows, k, True), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = corpus.sparkSession.createDataFrame([], schema)
@@ -280,18 +280,18 @@ def tfidf_rank(docs: DataFrame, queries: DataFrame, k: int | None = 10) -> DataF
     the query. Documents without a shared term score 0 and are not listed.
     """
     post = materialize(postings(docs)).withColumn("tf", F.col("tf") / F.col("dl"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    n = docs.count()
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def idf(d: Column) -> Column:
-        return F.log((F.col("n") + 2) / (d + 1)) + 1
+        return F.log((n + 2) / (d + 1)) + 1
 
-    terms = df.join(F.broadcast(n)).select("term", idf(F.col("df")).alias("idf0"), idf(F.col("df") + 1).alias("idf1"))  # one row
+    terms = df.select("term", idf(F.col("df")).alias("idf0"), idf(F.col("df") + 1).alias("idf1"))
     base = post.join(terms, "term").groupBy("id").agg(F.sum(F.pow(F.col("tf") * F.col("idf0"), 2)).alias("norm2"))
     qt = query_terms(queries)
     size = qt.groupBy("query_id").agg(F.sum("qtf").alias("ql"))
-    fresh = F.log((F.col("n") + 2) / F.lit(2.0)) + 1
-    q = (qt.join(size, "query_id").join(terms, "term", "left").join(F.broadcast(n))  # one row
+    fresh = F.log(F.lit((n + 2) / 2.0)) + 1
+    q = (qt.join(size, "query_id").join(terms, "term", "left")
          .select("query_id", "term", (F.col("qtf") / F.col("ql")).alias("qf"), F.coalesce("idf1", fresh).alias("idf1"), "idf0"))
     qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.pow(F.col("qf") * F.col("idf1"), 2))).alias("qnorm"))
     m = post.join(q.filter("idf0 is not null"), "term")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from datasteward.functions.pvalues import chi2_p_value, t_p_value
 from datasteward.operators import ranks
 from datasteward.operators.cells import widen
+from datasteward.sources.shared import materialize
 
 # Wording of the correlation verdicts.
 TOO_FEW, NO_VARIANCE = "insuficientes datos", "sin varianza"
@@ -97,21 +98,20 @@ def spearman(df: DataFrame, x: str, y: str, limit: int = ranks.ONE_TASK) -> Data
     Ranks are computed once per distinct value and joined to the distinct (x, y) pairs,
     so a value that fills a third of the rows is one row of the rank table.
     """
-    p = (df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-         .filter("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")))
+    p = materialize(df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+                    .filter("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")))
 
     def ranked(c: str) -> DataFrame:
         v = p.groupBy(c).agg(F.sum("w").alias("cnt")).select(F.lit(c).alias("k"), F.col(c).alias("v"), "cnt")
         return ranks.rank_values(v, ["k"], x="v", limit=limit).select(F.col("v").alias(c), F.col("avg_rank").alias(f"r{c}"))
 
-    n = p.agg(F.sum("w").alias("n"))
-    t = p.join(ranked("x"), "x").join(ranked("y"), "y").join(F.broadcast(n))
-    m = (F.col("n") + 1) / 2
+    n = p.agg(F.sum("w")).first()[0] or 0
+    t = p.join(ranked("x"), "x").join(ranked("y"), "y")
+    m = (n + 1) / 2
     dx, dy, w = F.col("rx") - m, F.col("ry") - m, F.col("w")
-    s = t.agg(F.max("n").alias("n"), F.sum(w * dx * dy).alias("sxy"), F.sum(w * dx * dx).alias("sxx"),
+    s = t.agg(F.lit(n).cast("long").alias("n"), F.sum(w * dx * dy).alias("sxy"), F.sum(w * dx * dx).alias("sxx"),
               F.sum(w * dy * dy).alias("syy"))
     r = F.when((F.col("n") >= 3) & (F.col("sxx") > 0) & (F.col("syy") > 0),
                F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("sxy") / (F.sqrt("sxx") * F.sqrt("syy")))))
-    return s.select(F.lit(x).alias("column_a"), F.lit(y).alias("column_b"), F.coalesce("n", F.lit(0)).alias("n"),
-                    F.coalesce(r, F.lit(0.0)).alias("r"),
-                    _verdict(F.coalesce("n", F.lit(0)), r).alias("verdict"))
+    return s.select(F.lit(x).alias("column_a"), F.lit(y).alias("column_b"), "n", F.coalesce(r, F.lit(0.0)).alias("r"),
+                    _verdict(F.col("n"), r).alias("verdict"))

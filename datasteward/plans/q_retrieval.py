@@ -73,7 +73,7 @@ def h2(spark, sf):
 @R.add("h3_bm25_index", f"WITH {_POST} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def h3(spark, sf):
     d = _docs(spark, sf)
-    return rt.bm25_idf(rt.postings(d), rt.corpus_totals(d)).withColumn("idf", r6(F.col("idf")))
+    return rt.bm25_idf(rt.postings(d), rt.corpus_totals(d)[0]).withColumn("idf", r6(F.col("idf")))
 
 
 @R.add("h4_bm25_search", f"""WITH {_BM}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) AS rank FROM bm) SELECT query_id, id, round(bm25, 6) AS bm25, rank FROM r WHERE rank <= 5""")

@@ -42,44 +42,44 @@ def test_kmeans(spark):
         assert np.allclose(m["centroids"][c], pts[[i for i, g in got.items() if g == c]].mean(axis=0))
 
 
-def _plain_chunks(text, size, overlap):
-    """The chunking rule written as a plain loop."""
-    out, cur = [], ""
-    for para in (p.strip() for p in text.split("\n\n")):
-        if not para:
-            continue
-        if len(para) > size:
-            out, cur, part = out + ([cur.strip()] if cur else []), "", ""
-            for s in para.split(". "):
-                if len(part) + len(s) > size:
-                    out += [part.strip()] if part else []
-                    part = s
-                else:
-                    part = part + ". " + s if part else s
-            out += [part.strip()] if part else []
-        elif len(cur) + len(para) > size and cur:
-            out.append(cur.strip())
-            cur = cur[-overlap:] + "\n\n" + para
-        else:
-            cur = cur + "\n\n" + para if cur and len(cur) + len(para) <= size else para
-    return [c for c in out + ([cur.strip()] if cur else []) if len(c) > 30]
-
-
-def test_chunks(spark):
+def _chunks(spark, docs, size, overlap):
+    got = {}
+    df = spark.createDataFrame(docs, "source string, text string")
+    for r in retrieval.ingest(df, size=size, overlap=overlap).orderBy("source", "chunk_index").collect():
+        got.setdefault(r["source"], []).append(r["text"])
+    return got
+
+
+def test_chunk_examples(spark):
+    a, b, s, t = "a" * 40, "b" * 35, "s" * 32, "t" * 31
+    tail = "a" * 10 + "\n\n" + b
+    docs = [("packed", f"{a}\n\n\n\n {b} "),        # does not fit: the new chunk starts with the tail of the old one
+            ("together", f"{'x' * 20}\n\n{b}"),       # fits into one chunk
+            ("long", f"{a}\n\n{s}. {t}\n\n{b}"),     # a long paragraph is cut at sentences, without a tail
+            ("sentences", f"{s}. {'u' * 10}. {t}"),
+            ("short", "z" * 49)]
+    got = _chunks(spark, docs, 60, 10)
+    assert got == {"packed": [a, tail], "together": ["x" * 20 + "\n\n" + b], "long": [a, s, t, b],
+                   "sentences": [s + ". " + "u" * 10, t]}
+
+
+def test_chunk_properties(spark):
     rng = random.Random(5)
     docs = []
     for i in range(60):
-        paras = []
-        for _ in range(rng.randint(1, 8)):
-            paras.append(". ".join(" ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(1, 20))) for _ in range(rng.randint(1, 12))))
-        docs.append((str(i), rng.choice(["\n\n", "\n\n\n\n", " \n\n "]).join(paras)))
-    df = spark.createDataFrame(docs, "source string, text string")
-    got = {}
-    for r in retrieval.ingest(df, size=200, overlap=30).orderBy("source", "chunk_index").collect():
-        got.setdefault(r["source"], []).append(r["text"])
+        paras = [". ".join(" ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(1, 20))) + str(rng.random()) for _ in range(rng.randint(1, 12)))
+                 for _ in range(rng.randint(1, 8))]
+        docs.append((str(i), "\n\n".join(paras)))
+    got = _chunks(spark, docs, 200, 30)
     for name, text in docs:
-        if len(text) >= 50:
-            assert got.get(name, []) == _plain_chunks(text, 200, 30)
+        chunks = got[name]
+        assert all(len(c) > 30 and c == c.strip() for c in chunks)
+        sentences = [p for para in text.split("\n\n") for p in ([para] if len(para) <= 200 else para.split(". "))]
+        at = 0
+        for s in (x.strip() for x in sentences):
+            if len(s) > 30:  # every piece is in one chunk, and the chunks keep the order
+                at = next(i for i in range(at, len(chunks)) if s in chunks[i])
+        assert all(len(c) <= 2 * 200 + 30 + 2 or ". " not in c for c in chunks)
 
 
 def _edges(spark, pairs):
@@ -157,7 +157,7 @@ def test_cosine_of_bad_vectors(spark):
 
 
 def test_partial_labels(spark):
-    codes = harmonize.code_order(spark.createDataFrame([("1", "Masculino"), ("2", "Femenino"), ("9", "No aplica")], "code string, label string"))
+    codes = spark.createDataFrame([("1", "Masculino", 1), ("2", "Femenino", 2), ("9", "No aplica", 3)], "code string, label string, ord int")
     v = spark.createDataFrame([(x,) for x in ["1", "MASCULINO", "masc", "sexo femenino", "no", "zz", "M"]], "value string")
     got = {r["value"]: r["code"] for r in harmonize.value_mappings(v, codes).collect()}
     assert got == {"1": "1", "MASCULINO": "1", "masc": "1", "sexo femenino": "2", "no": None, "zz": None, "M": None}
