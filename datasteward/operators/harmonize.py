@@ -97,7 +97,7 @@ def validation_schema(concepts: DataFrame, codes: DataFrame) -> DataFrame:
     schema = F.struct(
         F.lit("https://json-schema.org/draft/2020-12/schema").alias("$schema"), F.col("name").alias("title"),
         F.col("definition").alias("description"), F.lit("string").alias("type"), "enum", "enumDescriptions",
-        F.struct("standard", "population", "capture_method", "data_classification").alias("x-nomenclador"))
+        F.struct("standard", "population", "capture_method", "data_classification").alias("x-catalog"))
     return c.select(F.col("id").alias("concept_id"), F.to_json(schema).alias("json_schema"))
 
 
