@@ -3,13 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from datasteward.llm import near_dup
+from datasteward.llm import mixing, near_dup, pieces, pii, quality
+from datasteward.llm.common import write_table
 from datasteward.plans.base import Registry, table
 
 R = Registry()
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public vocabulary file; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @R.add("op2_minhash_near_dup")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf, "documents"), words=4)
+
+
+@R.add("op8_quality_rules")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@R.add("op9_personal_data")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digests(pii.find_personal_data(table(spark, sf, "documents")))
+
+
+@R.add("op7_mix_sources")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    docs = write_table(table(spark, sf, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")))
+    return mixing.mixture(docs, F.col("words")).select(
+        "doc_id", F.col("size_").alias("size"), F.col("source_size_").alias("source_size"), F.col("target_").alias("target"),
+        (F.col("size_") * F.size("draws_")).alias("taken"), F.col("draws_.shard").alias("shards"))
+
+
+@R.add("op4_sampled_pieces")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.sampled_pieces(table(spark, sf, "documents"), tokenizer_file("piece_bpe_32k.model"))
