@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datasteward.llm import chat, mixing, near_dup, pieces, pii, quality
+from datasteward.llm import chat, language, mixing, near_dup, pieces, pii, quality
 from datasteward.llm.common import write_table
 from datasteward.plans.base import Registry, table
 
@@ -70,3 +70,8 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
                                   F.lit(CONTROL).alias("text"))
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.conversation_digests(rows)
+
+
+@R.add("op3_language_id")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return language.language_id(table(spark, sf, "documents"))
