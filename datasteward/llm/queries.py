@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datasteward.llm import chat, language, mixing, near_dup, pieces, pii, quality
+from datasteward.llm import (chat, language, mixing, near_dup, pieces, pii, quality, shards, token_counts,
+                              vector_search)
 from datasteward.llm.common import write_table
 from datasteward.plans.base import Registry, table
+from datasteward.sources.shared import shared_dir
 
 R = Registry()
 
@@ -75,3 +79,26 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("op3_language_id")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return language.language_id(table(spark, sf, "documents"))
+
+
+@R.add("op5_exact_top_k", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), t -> t[1] * t[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY rank <= 20""")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_search.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@R.add("op6_byte_shards")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return shards.document_shards(table(spark, sf, "documents"))
+
+
+@R.add("op10_token_counts")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"  # a new cache: every distinct text is a miss
+    return token_counts.token_counts(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), cache)
