@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}  # application: the folder made for a local master without the setting
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a temporary folder only on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -16,8 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="datasteward-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="datasteward-")
+        _OWN[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
