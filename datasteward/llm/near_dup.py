@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from datasteward.llm.common import (components, drop_table, is_empty, mix, window_hashes, word_hashes, write_table)
@@ -80,24 +80,66 @@ def _full_sets(words: int):
     return run
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets fulfil the threshold. Only the texts of documents in a pair are read into sets."""
-    size = classes.select("node", "n_shingles")
-    pairs = write_table(
-        pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-        .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
-    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of the wanted classes; only the texts of their documents are read again."""
     wanted = classes.select("node", "doc_id").join(nodes, "node")
-    sets = write_table(
-        docs.join(wanted, "doc_id").select("node", "text")
-        .mapInArrow(_full_sets(words), "node long, found long, shingles array<long>")
-        .filter("node = found").select("node", "shingles").dropDuplicates(["node"]))
-    both = (pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-            .withColumn("shared", F.size(F.array_intersect("sa", "sb")).cast("long")))
-    out = write_table(both.filter(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent)
-                      .select("a", "b"))
-    drop_table(sets)
-    drop_table(pairs)
+    return write_table(docs.join(wanted, "doc_id").select("node", "text")
+                       .mapInArrow(_full_sets(words), "node long, found long, shingles array<long>")
+                       .filter("node = found").select("node", "shingles").dropDuplicates(["node"]))
+
+
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` with the set sizes nx, ny of nodes x and y, and the exact size of the intersection."""
+    return (pairs.join(sets.toDF("x", "sx"), "x").join(sets.toDF("y", "sy"), "y")
+            .withColumns({"nx": F.size("sx").cast("long"), "ny": F.size("sy").cast("long"),
+                          "shared": F.size(F.array_intersect("sx", "sy")).cast("long")}).drop("sx", "sy"))
+
+
+def _stars(marked: DataFrame) -> DataFrame:
+    """Each bucket gets as its centre the class that meets most others; buckets with one centre become one star: (x, y)
+    with x the centre and y a member."""
+    size = marked.groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
+    score = marked.join(size, "mark").groupBy("node").agg(F.sum("n").alias("score"))
+    centre = (marked.join(score, "node").groupBy("mark").agg(F.max(F.struct("score", "node")).alias("c"))
+              .select("mark", F.col("c.node").alias("x")))
+    return marked.join(centre, "mark").filter("node <> x").select("x", F.col("node").alias("y")).distinct()
+
+
+def _pairs_beside(own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of members of one star in different components that may still reach the threshold; no other can.
+
+    ``own``: (x = centre, y = member, comp, ny, adds = |y - x|, lacks = |x - y|). Members p and q differ in
+    adds_p + adds_q - 2 i + |lacks_p - lacks_q| elements at least, where i counts the added elements they share. Either the
+    sizes alone permit a link with i = 0, or they share an added element; then the first one in the order from rare to
+    frequent bounds i by what is left behind it, and lies in the part of either list that the threshold leaves open."""
+    main = (own.groupBy("x").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
+                                 F.max_by("comp", F.struct(-F.col("adds") - F.col("lacks"), "y")).alias("main"))
+            .filter("low <> high").select("x", "main"))
+    rest = own.join(main, "x")
+
+    def reach(shared):
+        differ = F.col("p.adds") + F.col("q.adds") + F.abs(F.col("p.lacks") - F.col("q.lacks")) - 2 * shared
+        return differ * (100 + percent) <= (F.col("p.ny") + F.col("q.ny")) * (100 - percent)
+
+    apart = F.col("p.comp") != F.col("q.comp")
+    pair = [F.least("p.y", "q.y").alias("x"), F.greatest("p.y", "q.y").alias("y")]
+    by_size = (rest.filter("comp <> main").alias("p")
+               .join(rest.alias("q"), (F.col("p.x") == F.col("q.x")) & apart & reach(F.lit(0))).select(*pair))
+
+    added = write_table(rest.drop("main").join(sets.toDF("x", "sx"), "x").join(sets.toDF("y", "sy"), "y")
+                        .withColumn("s", F.explode(F.array_except("sy", "sx"))).drop("sx", "sy"))
+    often = added.groupBy("x", "s").agg(F.count(F.lit(1)).alias("n"))
+    needed = F.greatest(F.lit(1), F.col("adds") - F.floor(F.col("ny") * (100 - percent) / 100))
+    listed = (added.join(often, ["x", "s"])
+              .withColumn("at", F.row_number().over(Window.partitionBy("x", "y").orderBy("n", "s")))
+              .filter((F.col("n") > 1) & (F.col("at") <= F.col("adds") - needed + 1)))
+    listed = write_table(listed)
+    left = F.least(F.col("p.adds") - F.col("p.at"), F.col("q.adds") - F.col("q.at")) + 1
+    by_element = (listed.alias("p").join(listed.alias("q"), (F.col("p.x") == F.col("q.x")) & (F.col("p.s") == F.col("q.s"))
+                                         & (F.col("p.y") < F.col("q.y")) & apart & reach(left)).select(*pair))
+    out = write_table(by_size.unionAll(by_element).distinct())
+    drop_table(added)
+    drop_table(listed)
     return out
 
 
@@ -105,11 +147,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     bands: int = 48, rows: int = 6, seed: int = 11) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
-    Documents with equal shingle sets form a class. Classes that agree in all rows of a band become candidates: first
-    every class of a bucket with a few centres of the bucket, then, where a bucket still holds several components, all
-    pairs of classes from different ones. Pairs in one component need no test, so a large group of copies costs a few
-    tests per member, and no link between components is lost. Each link is confirmed on the full sets. Two sets with a
-    similarity of 0.8 share a band with a probability of 1 - (1 - 0.8^6)^48, above 0.9999995.
+    Documents with equal shingle sets form a class. Classes that agree in all rows of a band meet in a bucket; two sets
+    with a similarity of 0.8 share a bucket with a probability of 1 - (1 - 0.8^6)^48, above 0.9999995. In a bucket, every
+    class is measured against one centre on the full sets, so a large group of copies costs a few tests per member. Pairs
+    that are in one component by then need no test; of the others, the differences to their centre tell exactly which ones
+    may still reach the threshold (``_pairs_beside``), and those are measured too. No link between components is lost.
 
     Null or empty texts and texts without words have the empty set, link with nothing and are kept. Rows with a null
     id take no part (component_id null, kept). Repeated rows get the same result each. Rows with one id and different
@@ -118,37 +160,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = write_table(docs.mapInArrow(_sketches(words, bands, rows, seed),
                                          "doc_id long, node long, n_shingles long, bands array<long>"))
     classes = write_table(sketch.filter("node is not null and doc_id is not null").groupBy("node")
-                          .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
-                               F.first("bands").alias("bands")))
-    marks = classes.select("node", F.posexplode("bands").alias("band", "mark"))
-    centre = F.min(F.struct(F.xxhash64("node", F.col("band") % 4), "node"))
-    shared = (marks.groupBy("mark").agg(centre.alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-              .select("mark", F.col("c.node").alias("centre")))
-    members = write_table(marks.join(shared, "mark").select("mark", "node", "centre"))
-
-    def ordered(x: str, y: str):
-        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
-
-    near = write_table(members.filter("node <> centre").select(*ordered("node", "centre")).distinct())
-    links = _verified(near, classes, docs, words, percent)
-    comps = components(links)
-
-    of = comps.toDF("node", "comp")
-    placed = write_table(members.join(of, "node", "left").select("mark", "node", "centre",
-                                                                 F.coalesce("comp", "node").alias("comp")))
-    open_ = placed.groupBy("mark").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("mark")
-    rest = placed.join(open_, "mark", "left_semi")
-    main = rest.filter("node = centre").select("mark", F.col("comp").alias("main"))
-    apart = rest.join(main, "mark").filter("comp <> main").select("mark", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    more = (apart.join(rest.select("mark", F.col("node").alias("y"), F.col("comp").alias("cy")), "mark")
-            .filter("cx <> cy").select(*ordered("x", "y")).distinct().join(near, ["a", "b"], "left_anti"))
-    more = write_table(more)
-    if not is_empty(more):
-        extra = _verified(more, classes, docs, words, percent)
-        if not is_empty(extra):
-            links = links.unionAll(extra)
-            comps = components(links)
-    for t in (members, placed, near, more):
+                          .agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
+    marks = classes.select("node", F.explode("bands").alias("mark"))
+    several = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
+    marked = write_table(marks.join(several, "mark"))
+    stars = write_table(_stars(marked))
+    drop_table(marked)
+
+    fits = (F.col("shared") * 100 >= (F.col("nx") + F.col("ny") - F.col("shared")) * percent)
+    links = [F.col("x").alias("a"), F.col("y").alias("b")]
+    sets = _sets_of(stars.select(F.col("x").alias("node")).unionAll(stars.select("y")).distinct(), classes, docs, words)
+    known = write_table(_measured(stars, sets))
+    comps = components(known.filter(fits).select(*links))
+    own = write_table(known.join(comps.toDF("y", "comp"), "y", "left").select(
+        "x", "y", F.coalesce("comp", "y").alias("comp"), "ny", (F.col("ny") - F.col("shared")).alias("adds"),
+        (F.col("nx") - F.col("shared")).alias("lacks")))
+    beside = _pairs_beside(own, sets, percent)
+    extra = write_table(_measured(beside, sets).filter(fits).select(*links))
+    if not is_empty(extra):
+        comps = components(known.filter(fits).select(*links).unionAll(extra))
+    for t in (stars, sets, known, own, beside, extra):
         drop_table(t)
 
     named = classes.select("node", "doc_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
