@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from datasteward.llm.common import mix
 
 MARK = 0xFF  # stands for the word mark of the model; no UTF-8 text holds this byte
-CHUNK_BYTES = 2_000_000  # text per NumPy round
-KEPT_EDGES = 6_000_000  # lattice edges that a task keeps for words it may meet again
+CHUNK_BYTES = 500_000  # text per NumPy round
+KEPT_EDGES = 2_000_000  # lattice edges that a task keeps for words it may meet again
 
 
 def model_tables(path: str, alpha: float) -> dict:
@@ -200,21 +200,36 @@ class Segmenter:
         return out, np.bincount(text, count, len(texts)).astype(np.int64)
 
 
+def _chunks(texts: pa.Array):
+    """(first, bytes of the texts from there on), so many at a time that a round stays small."""
+    first, chunk, size = 0, [], 0
+    for k, t in enumerate(texts):
+        chunk.append((t.as_py() or "").encode())
+        size += len(chunk[-1])
+        if size >= CHUNK_BYTES or k == len(texts) - 1:
+            yield first, chunk
+            first, chunk, size = k + 1, [], 0
+
+
+def _id_lists(ids: np.ndarray, counts: np.ndarray, valid: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], counts]).cumsum()
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array(~valid))
+
+
+def decoded(ids: np.ndarray, spelt: list[bytes]) -> bytes:
+    """The bytes of the pieces, without the word mark in front of the first word."""
+    return b"".join(map(spelt.__getitem__, ids.tolist()))[1:]
+
+
 def _encoder(shared):
     def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        segmenter, values, counts = Segmenter(shared.value), [], []
+        segmenter = Segmenter(shared.value)
         seeds = keys.to_numpy(zero_copy_only=False).view(np.uint64)
-        chunk, size, begin = [], 0, 0
-        for k, t in enumerate(texts):
-            chunk.append((t.as_py() or "").encode())
-            size += len(chunk[-1])
-            if size >= CHUNK_BYTES or k == len(texts) - 1:
-                ids, n = segmenter.encode(chunk, seeds[begin:k + 1])
-                values.append(ids)
-                counts.append(n)
-                chunk, size, begin = [], 0, k + 1
-        total = np.concatenate([[0], *counts]).cumsum() if counts else np.zeros(1)
-        return pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(np.concatenate(values) if values else [], pa.int32()))
+        parts = [segmenter.encode(chunk, seeds[first:first + len(chunk)]) for first, chunk in _chunks(texts)]
+        if not parts:
+            return pa.array([], pa.list_(pa.int32()))
+        ids, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return _id_lists(ids, counts, texts.is_valid().to_numpy(zero_copy_only=False))
     return run
 
 
@@ -226,8 +241,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", key_
     null, empty text no ids. A null key is a key like any other."""
     shared = docs.sparkSession.sparkContext.broadcast(model_tables(model_path, alpha))  # as large as the vocabulary
     key = F.xxhash64(F.lit(seed), F.col(key_col))
-    ids = F.arrow_udf(_encoder(shared), "array<int>")(F.col(text_col), key)
-    return docs.withColumn(out, F.when(F.col(text_col).isNotNull(), ids))
+    return docs.withColumn(out, F.arrow_udf(_encoder(shared), "array<int>")(F.col(text_col), key))
 
 
 def decode_pieces(docs: DataFrame, model_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -236,18 +250,34 @@ def decode_pieces(docs: DataFrame, model_path: str, ids_col: str = "ids", out: s
     shared = docs.sparkSession.sparkContext.broadcast(spelt)
 
     def run(ids: pa.Array) -> pa.Array:
-        table = shared.value
-        values, bounds = ids.values.to_pylist(), ids.offsets.to_pylist()
-        return pa.array([b"".join([table[i] for i in values[a:b]])[1:].decode() for a, b in
-                         zip(bounds[:-1], bounds[1:], strict=True)], pa.string())
+        values, bounds = ids.values.to_numpy(), ids.offsets.to_pylist()
+        return pa.array((decoded(values[a:b], shared.value).decode() for a, b in zip(bounds[:-1], bounds[1:], strict=True)),
+                        pa.string())
     text = F.arrow_udf(run, "string")(F.col(ids_col))
     return docs.withColumn(out, F.when(F.col(ids_col).isNotNull(), text))
 
 
-def sampled_pieces(docs: DataFrame, model_path: str, keep: tuple[str, ...] = (), **params) -> DataFrame:
-    """(doc_id, the columns of ``keep``, n_pieces, ids, lossless) for every row; lossless: decoding the ids gives the text
-    again."""
-    coded = encode_pieces(docs.select("doc_id", "text", *keep), model_path, **params)
-    return decode_pieces(coded, model_path).select(
-        "doc_id", *keep, F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids",
-        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+def sampled_pieces(docs: DataFrame, model_path: str, keep: tuple[str, ...] = (), alpha: float = 1.0, seed: int = 7) -> DataFrame:
+    """(doc_id, the columns of ``keep``, n_pieces, ids, lossless) for every row: ``encode_pieces``, and whether decoding the
+    ids gives the text again, in one pass over small chunks. Null text has null ids and counts as lossless."""
+    shared = docs.sparkSession.sparkContext.broadcast(model_tables(model_path, alpha))  # as large as the vocabulary
+    rows = docs.select("doc_id", *keep, F.col("text").alias("text_"), F.xxhash64(F.lit(seed), "doc_id").alias("key_"))
+    names = ["doc_id", *keep, "n_pieces", "ids", "lossless"]
+
+    def run(batches):
+        segmenter = Segmenter(shared.value)
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 2)
+            seeds = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64)
+            for first, chunk in _chunks(texts):
+                n = len(chunk)
+                ids, counts = segmenter.encode(chunk, seeds[first:first + n])
+                ends = np.concatenate([[0], counts]).cumsum()
+                same = [decoded(ids[ends[k]:ends[k + 1]], shared.value["spelt"]) == chunk[k] for k in range(n)]
+                valid = texts.slice(first, n).is_valid().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays(
+                    [*[c.slice(first, n) for c in batch.columns[:-2]], pa.array(counts, pa.int64()),
+                     _id_lists(ids, counts, valid), pa.array(same, pa.bool_())], names=names)
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)) + ", n_pieces long, ids array<int>, lossless boolean"
+    return rows.mapInArrow(run, schema)

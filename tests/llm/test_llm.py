@@ -187,6 +187,10 @@ def test_pieces(spark, shared, texts, odd, none):
     for df in (spark.read.parquet(f"{SF}/documents.parquet"), odd):
         got = pieces.sampled_pieces(df, path)
         assert got.filter("not lossless").count() == 0 and got.count() == df.count()
+        apart = pieces.decode_pieces(pieces.encode_pieces(df, path), path)
+        assert apart.columns == [*df.columns, "ids", "decoded"]
+        assert apart.filter("not (decoded <=> text)").count() == 0
+        assert {(r["doc_id"], str(r["ids"])) for r in apart.collect()} == {(r["doc_id"], str(r["ids"])) for r in got.collect()}
     assert pieces.sampled_pieces(none, path).count() == 0
     by = {r["doc_id"]: r for r in pieces.sampled_pieces(odd, path).collect()}
     assert by[3]["ids"] is None and by[4]["ids"] == []
