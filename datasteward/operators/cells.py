@@ -22,34 +22,16 @@ def atomic_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not isinstance(f.dataType, nested)]
 
 
-def widen(df: DataFrame) -> DataFrame:
-    """Spread a table of very few files over all cores before the costly unpivot.
-
-    A file with one row group is one task otherwise. Tables of more files are left alone: a
-    shuffle of raw rows would cost more than it gains.
-    """
-    files = len(df.inputFiles())
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < files <= 4 and files < cores else df
-
-
 def as_text(df: DataFrame, columns: list[str] | None = None, scale: int = 4) -> DataFrame:
-    """Every column as text; floating point with a fixed number of decimals."""
-    out = []
-    for name in columns or atomic_columns(df):
-        dt = df.schema[name].dataType
-        c = F.col(f"`{name}`")
-        if isinstance(dt, (T.DoubleType, T.FloatType)):
-            c = c.try_cast(f"decimal(38,{scale})")
-        out.append(c.cast("string").alias(name))
-    return df.select(*out)
+    """Every column as text, without loss: two floating-point cells have equal text only if they are equal."""
+    return df.select(*[_text_col(df, name, scale) for name in columns or atomic_columns(df)])
 
 
 def cells(df: DataFrame, source: str, columns: list[str] | None = None,
           ids: list[str] | None = None) -> DataFrame:
     """(source, [ids], column, value): one scan, the unpivot is an Expand over it."""
     columns = columns or [c for c in atomic_columns(df) if c not in (ids or [])]
-    df = widen(df.select(*(ids or []), *columns))
+    df = df.select(*(ids or []), *columns)
     text = as_text(df, columns)
     if ids:
         kept = [F.col(i).alias(f"_id_{i}") for i in ids]
@@ -64,7 +46,9 @@ def cells(df: DataFrame, source: str, columns: list[str] | None = None,
 def _text_col(df: DataFrame, name: str, scale: int = 4):
     c = F.col(f"`{name}`")
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        c = c.try_cast(f"decimal(38,{scale})")
+        fixed = c.try_cast(f"decimal(38,{scale})")
+        # the fixed form where it holds the whole value, the shortest exact form elsewhere (1.0E-5, 1.0E36, NaN)
+        return F.when(fixed.cast("double") == c.cast("double"), fixed.cast("string")).otherwise(c.cast("string")).alias(name)
     return c.cast("string").alias(name)
 
 

@@ -26,6 +26,22 @@ def _words(c):
     return F.array_distinct(F.filter(F.split(F.replace(F.lower(c), F.lit("_"), F.lit(" ")), r"\s+"), lambda w: w != ""))
 
 
+def _containing_sets(vw: DataFrame, fw: DataFrame) -> DataFrame:
+    """(name, concept_id) where one of the word sets vw and fw holds the other.
+
+    The smaller set is joined by its rarest word alone, so a word that most names share joins only the sets that have
+    nothing rarer; the rest is a test on the joined rows."""
+    often = (fw.select(F.explode("fw").alias("w")).unionAll(vw.select(F.explode("vw").alias("w")))
+             .groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+
+    def rarest(df: DataFrame, words: str, key: list[str]) -> DataFrame:
+        return (df.withColumn("w", F.explode(words)).join(often, "w").groupBy(*key, words)
+                .agg(F.min(F.struct("n", "w")).alias("m")).select(*key, words, F.col("m.w").alias("w")))
+    inside = rarest(vw, "vw", ["name"]).join(fw.withColumn("w", F.explode("fw")), "w").filter(F.size(F.array_except("vw", "fw")) == 0)
+    around = rarest(fw, "fw", ["concept_id"]).join(vw.withColumn("w", F.explode("vw")), "w").filter(F.size(F.array_except("fw", "vw")) == 0)
+    return inside.select("name", "concept_id").unionAll(around.select("name", "concept_id"))
+
+
 def match_variables(variables: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, concept_id, step): exact name, partial name, field name, field words, keywords.
 
@@ -48,10 +64,8 @@ def match_variables(variables: DataFrame, nodes: DataFrame, edges: DataFrame) ->
     steps.append(step(v.join(names, F.col("low") == F.col("fname")), 3))
     vw = v.select("name", _words(F.col("low")).alias("vw"))
     fw = names.select("concept_id", _words(F.col("fname")).alias("fw")).groupBy(F.array_sort("fw").alias("fw")).agg(F.min("concept_id").alias("concept_id"))
-    both = (vw.withColumn("w", F.explode("vw")).join(fw.withColumn("w", F.explode("fw")), "w")
-            .groupBy("name", "vw", "fw", "concept_id").agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") >= F.least(F.size("vw"), F.size("fw"))))
-    steps.append(step(both, 4))
+    found = reduce(DataFrame.unionByName, steps).select("name").distinct()
+    steps.append(step(_containing_sets(vw.join(found, "name", "left_anti"), fw), 4))
     extra = F.flatten(F.array(*[F.when(F.col("cname").contains(k), F.array(*[F.lit(w) for w in ws])).otherwise(F.array().cast("array<string>"))
                                 for k, ws in CONCEPT_WORDS.items()]))
     kw = (c.select("concept_id", F.array_sort(F.array_distinct(F.concat(_words(F.col("cname")), _words(F.col("definition")), extra))).alias("cw"))

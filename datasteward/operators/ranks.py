@@ -1,8 +1,7 @@
 """Exact ranks and quantiles over weighted values without one task seeing a whole column.
 
-A group with few distinct values is ranked in one window partition. A larger one is cut
-into buckets at approximate quantiles; only the bounds and the count per bucket (a fixed
-number of figures per group) reach the driver. The running total of those counts gives
+A group is cut into buckets at approximate quantiles, as many as its number of distinct
+values asks for; only the bounds and the count per bucket reach the driver. The running total of those counts gives
 the rank at which each bucket starts, and each bucket is one window partition. The
 bounds only balance the work: the results are exact whatever they are.
 """
@@ -15,20 +14,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ONE_TASK = 1_000_000  # distinct values that one window partition may hold
+PER_BUCKET = 200_000  # distinct values that one window partition is meant to hold
 
 
-def _cut(values: DataFrame, keys: list[str], x: str, cnt: str, limit: int, buckets: int):
+def _cut(values: DataFrame, keys: list[str], x: str, cnt: str, per_bucket: int):
     """(values with _bucket, {key: [(bucket, offset, size), ...]})."""
     spark = values.sparkSession
-    totals = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"), F.sum(cnt).alias("_n")).collect()
-    if max((r["_d"] for r in totals), default=0) <= limit:
-        return (values.withColumn("_bucket", F.lit(0)),
-                {tuple(r[k] for k in keys): [(0, 0, r["_n"])] for r in totals})
+    most = max((r["_d"] for r in values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).collect()), default=0)
+    buckets = max(2, math.ceil(most / per_bucket))
     probs = [i / buckets for i in range(1, buckets)]
     bounds = (values.groupBy(*keys)
-              .agg(F.percentile_approx(x, F.lit(probs), F.lit(1000)).alias("_bounds")))
-    local = F.broadcast(spark.createDataFrame(bounds.collect(), bounds.schema))
+              .agg(F.percentile_approx(x, F.lit(probs), F.lit(max(1000, 10 * buckets))).alias("_bounds")))
+    local = F.broadcast(spark.createDataFrame(bounds.collect(), bounds.schema))  # one row per group
     tagged = (values.join(local, keys)
               .withColumn("_bucket", F.expr(f"size(filter(_bounds, b -> b < {x}))"))
               .drop("_bounds"))
@@ -54,9 +51,9 @@ def _before(keys: list[str], x: str, cnt: str):
 
 
 def rank_values(values: DataFrame, keys: list[str], x: str = "x", cnt: str = "cnt",
-                limit: int = ONE_TASK, buckets: int = 256) -> DataFrame:
+                per_bucket: int = PER_BUCKET) -> DataFrame:
     """Add ``before`` (rows with a smaller x) and ``avg_rank`` (1-based, ties averaged)."""
-    tagged, parts = _cut(values, keys, x, cnt, limit, buckets)
+    tagged, parts = _cut(values, keys, x, cnt, per_bucket)
     rows = [(*k, b, o) for k, ps in parts.items() for b, o, _ in ps]
     starts = _local(values, keys, rows, [("_bucket", T.IntegerType()), ("_offset", T.LongType())])
     out = tagged.join(F.broadcast(starts), [*keys, "_bucket"]).withColumn("before", _before(keys, x, cnt))
@@ -65,10 +62,10 @@ def rank_values(values: DataFrame, keys: list[str], x: str = "x", cnt: str = "cn
 
 
 def quantiles(values: DataFrame, keys: list[str], probs: dict[str, float], x: str = "x",
-              cnt: str = "cnt", limit: int = ONE_TASK, buckets: int = 256) -> DataFrame:
+              cnt: str = "cnt", per_bucket: int = PER_BUCKET) -> DataFrame:
     """One row per key with a column per name in ``probs``: linear interpolation at (n-1)p."""
     values = values.filter(F.col(x).isNotNull())
-    tagged, parts = _cut(values, keys, x, cnt, limit, buckets)
+    tagged, parts = _cut(values, keys, x, cnt, per_bucket)
     spots = []
     for key, ps in parts.items():
         n = ps[-1][1] + ps[-1][2]

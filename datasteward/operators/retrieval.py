@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datasteward.functions import text as tx
-from datasteward.operators.cells import widen
 from datasteward.sources.shared import materialize
 
 # Chunking and ranking parameters.
@@ -72,7 +71,7 @@ def chunk_text(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLA
 def ingest(documents: DataFrame, source: str = "source", text: str = "text", size: int = CHUNK_SIZE,
            overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """(id, source, chunk_index, text) of every document of at least 50 characters."""
-    d = widen(documents).filter(F.length(text) >= MIN_DOCUMENT)
+    d = documents.filter(F.length(text) >= MIN_DOCUMENT)
     c = d.select(F.col(source).cast("string").alias("source"), F.posexplode(chunk_text(F.col(text), size, overlap)).alias("chunk_index", "text"))
     return c.select(F.concat_ws(":", F.lit("norm"), "source", F.col("chunk_index").cast("string")).alias("id"), "source", "chunk_index", "text")
 
@@ -84,7 +83,7 @@ def replace_sources(corpus: DataFrame, new: DataFrame) -> DataFrame:
 
 def hashed_vector(df: DataFrame, id: str, text: str, dims: int = 64) -> DataFrame:
     """(id, embedding): term counts folded into ``dims`` buckets, a stand-in for a model's vectors."""
-    t = widen(df.select(id, text)).select(id, F.explode(tx.tokenize(F.col(text))).alias("t"))
+    t = df.select(id, text).select(id, F.explode(tx.tokenize(F.col(text))).alias("t"))
     bucket = (F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("bigint") % dims).cast("int")
     n = t.groupBy(id, bucket.alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     m = n.groupBy(id).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))  # at most dims entries
@@ -96,14 +95,14 @@ def hashed_vector(df: DataFrame, id: str, text: str, dims: int = 64) -> DataFram
 
 def postings(corpus: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
     """(id, term, tf, dl). The document length travels with each posting."""
-    t = widen(corpus.select(id, text)).select(F.col(id).alias("id"), tx.tokenize(F.col(text)).alias("tok"))
+    t = corpus.select(id, text).select(F.col(id).alias("id"), tx.tokenize(F.col(text)).alias("tok"))
     t = t.select("id", F.size("tok").alias("dl"), F.explode("tok").alias("term"))
     return t.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def corpus_totals(corpus: DataFrame, text: str = "text") -> tuple[int, float]:
     """Number of documents and their average length in words."""
-    size = widen(corpus.select(text)).select(F.size(tx.tokenize(F.col(text))).alias("dl"))
+    size = corpus.select(text).select(F.size(tx.tokenize(F.col(text))).alias("dl"))
     r = size.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     return r["n"], r["avgdl"] or 1.0
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from datasteward.functions.pvalues import chi2_p_value, t_p_value
 from datasteward.operators import ranks
-from datasteward.operators.cells import widen
 from datasteward.sources.shared import materialize
 
 # Wording of the correlation verdicts.
@@ -77,7 +76,7 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
         # a constant side has no correlation: null instead of a division by zero
         spread = F.stddev_pop(F.when(both, cx)) * F.stddev_pop(F.when(both, cy))
         aggs.append(F.when(spread > 0, F.covar_pop(cx, cy) / spread).alias(f"r{i}"))
-    one = widen(df.select(*columns)).agg(*aggs)
+    one = df.select(*columns).agg(*aggs)
     rows = F.explode(F.array(*[
         F.struct(F.lit(x).alias("column_a"), F.lit(y).alias("column_b"),
                  F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r")) for i, (x, y) in enumerate(pairs)]))
@@ -92,7 +91,7 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     return correlation_matrix(df, [x, y])
 
 
-def spearman(df: DataFrame, x: str, y: str, limit: int = ranks.ONE_TASK) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, per_bucket: int = ranks.PER_BUCKET) -> DataFrame:
     """Rank correlation with averaged ties.
 
     Ranks are computed once per distinct value and joined to the distinct (x, y) pairs,
@@ -103,7 +102,7 @@ def spearman(df: DataFrame, x: str, y: str, limit: int = ranks.ONE_TASK) -> Data
 
     def ranked(c: str) -> DataFrame:
         v = p.groupBy(c).agg(F.sum("w").alias("cnt")).select(F.lit(c).alias("k"), F.col(c).alias("v"), "cnt")
-        return ranks.rank_values(v, ["k"], x="v", limit=limit).select(F.col("v").alias(c), F.col("avg_rank").alias(f"r{c}"))
+        return ranks.rank_values(v, ["k"], x="v", per_bucket=per_bucket).select(F.col("v").alias(c), F.col("avg_rank").alias(f"r{c}"))
 
     n = p.agg(F.sum("w")).first()[0] or 0
     t = p.join(ranked("x"), "x").join(ranked("y"), "y")

@@ -221,11 +221,22 @@ def validate(df: DataFrame, pack: DomainPack, ids: list[str]) -> DataFrame:
         return _rows(sem.withColumn("_a", F.concat("_s", "_r")), ids, "_a")
     first = _rows(clean, ids, "_s")
     ok = clean.filter(~_has_error(F.col("_s"))).drop("_s").withColumns(casted)
-    custom, _ = run_validators(ok, pack, ids)
+    custom, failed = run_validators(ok, pack, ids)
     bad = custom.filter("severity = 'error'").select(*ids).distinct()
     rest = ok.join(bad, ids, "left_anti")
     rules = _rows(rest.withColumn("_r", _array(rule_checks(pack.rules))), ids, "_r")
-    return reduce(DataFrame.unionByName, [first, custom, rules])
+    return reduce(DataFrame.unionByName, [first, custom, rules, *_failures(custom, failed)])
+
+
+def _failures(issues: DataFrame, failed: dict[str, str]) -> list[DataFrame]:
+    """A row per validator that raised, without a row id: its name as the field, the error as the value."""
+    if not failed:
+        return []
+    given = {"layer": "custom", "severity": "warning", "issue_type": "validator_failed"}
+    rows = [tuple(given.get(c, {"field_name": name, "original_value": text}.get(c)) for c in issues.columns)
+            for name, text in sorted(failed.items())]
+    nullable = T.StructType([T.StructField(f.name, f.dataType) for f in issues.schema.fields])
+    return [issues.sparkSession.createDataFrame(rows, nullable)]
 
 
 def row_status(df: DataFrame, issues: DataFrame, ids: list[str]) -> DataFrame:
@@ -295,7 +306,7 @@ def check_time_windows(df: DataFrame, ids: list[str], typical: tuple[int, int],
     s, e = F.col("l.time_window_start"), F.col("l.time_window_end")
     name = F.concat(F.lit("locations."), "l.id", F.lit(".time_window"))
     out = _nested(t, ids, F.array(row(e < s, "error", name, "time_window_invalid"),
-                                  row((s < typical[0]) | (e > typical[1]), "warning", name, "atypical_hours")))
+                                  row(s.isNotNull() & e.isNotNull() & ((s < typical[0]) | (e > typical[1])), "warning", name, "atypical_hours")))
     if "time_windows" in df.schema[locations].dataType.elementType.names:
         w = t.select(*ids, F.col("l.id").alias("lid"), F.posexplode("l.time_windows").alias("i", "w"))
         label = F.concat(F.lit("locations."), "lid", F.lit(".time_windows["), F.col("i").cast("string"), F.lit("]"))

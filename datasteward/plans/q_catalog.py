@@ -386,7 +386,7 @@ def f7(spark, sf):
 
 # --- health -------------------------------------------------------------------------------
 
-_ORPH = """orph AS (SELECT n.id, n.name, n.type FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = n.id) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = n.id))"""
+_ORPH = """ends AS MATERIALIZED (SELECT src AS id FROM edges UNION SELECT dst FROM edges), orph AS MATERIALIZED (SELECT n.id, n.name, n.type FROM nodes n ANTI JOIN ends USING (id))"""
 _INV = f"""{_ORPH}, inv AS (SELECT id AS item, 'concept_without_classifier' AS rule, 'warning' AS severity FROM concepts WHERE review_status = 'approved' AND standard IS NULL
  UNION ALL SELECT id, 'concept_without_fields', 'warning' FROM concepts c WHERE review_status = 'approved' AND NOT EXISTS (SELECT 1 FROM fields f WHERE f.concept_id = c.id)
  UNION ALL SELECT id, 'low_quality_without_issue', 'warning' FROM fields WHERE quality_score > 0 AND quality_score < 0.3 AND completeness >= 0.5

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from datasteward.functions import text as tx
 from datasteward.operators import anomalies, clean, profile
-from datasteward.operators.cells import cells_of, widen
+from datasteward.operators.cells import cells_of
 from datasteward.plans.base import (DIRTY_SQL, TABLES, Registry, dirty, q_cells, q_grade, q_missing,
                                     q_num, q_strip, r6, table)
 
@@ -119,7 +119,7 @@ def b9(spark, sf):
 WITH t AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+')) AS w FROM documents)
 SELECT w AS token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t WHERE length(w) > 1 GROUP BY w""")
 def b10(spark, sf):
-    tok = widen(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode(tx.tokenize(F.col("text"))).alias("token"))
+    tok = table(spark, sf, "documents").select("doc_id", "text").select("doc_id", F.explode(tx.tokenize(F.col("text"))).alias("token"))
     return (tok.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("c"))
             .groupBy("token").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("docs")))
 
@@ -188,13 +188,14 @@ d AS (SELECT source, "column", count(*) AS "count", count(DISTINCT upper({q_stri
   min(x) FILTER (ok) AS mn, max(x) FILTER (ok) AS mx, quantile_cont(x, 0.25) FILTER (ok) AS q1, quantile_cont(x, 0.75) FILTER (ok) AS q3
   FROM c GROUP BY source, "column")"""
 _SUMMARY_COLS = """source, "column", "count", "unique", missing, CASE WHEN is_num THEN 'numeric' ELSE 'categorical' END AS type,
-  """ + ", ".join(f"CASE WHEN is_num AND n_x >= 2 THEN round({a}, 6) END AS {b}" for a, b in (
+  """ + ", ".join(f"CASE WHEN is_num AND n_x >= 2 THEN round({a}, 4) END AS {b}" for a, b in (
     ("mean", "mean"), ("med", "median"), ("sd", "std"), ("mn", '"min"'), ("mx", '"max"'), ("q1", "q1"), ("q3", "q3")))
 _NUMERIC = ["mean", "median", "std", "min", "max", "q1", "q3"]
 
 
 def _rounded(df):
-    return df.withColumns({c: r6(F.col(c)) for c in _NUMERIC})
+    """Four decimals: means of prices and rates often end in a 5 at the seventh, and summation noise must not decide."""
+    return df.withColumns({c: F.round(c, 4) for c in _NUMERIC})
 
 
 @R.add("c2_distribution_summary", f"WITH {DIRTY_SQL}, {q_cells('dirty', 'lineitem')}, {_SUMMARY_SQL} SELECT {_SUMMARY_COLS} FROM d")

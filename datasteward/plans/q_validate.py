@@ -230,7 +230,9 @@ def g12(spark, sf):
 
 
 @R.add("l1_custom_validator", f"""{_sql_issue("l_quantity > 48", 'error', 'l_quantity', 'too_heavy', 'CAST(l_quantity AS DOUBLE)', layer='custom')}
- UNION ALL {_sql_issue("l_quantity <= 48 AND l_tax > 0.07", 'warning', 'l_tax', 'high_tax', layer='semantic')}""")
+ UNION ALL {_sql_issue("l_quantity <= 48 AND l_tax > 0.07", 'warning', 'l_tax', 'high_tax', layer='semantic')}
+ UNION ALL BY NAME SELECT 'custom' AS layer, 'warning' AS severity, 'broken' AS field_name, 'validator_failed' AS issue_type,
+  'RuntimeError: this validator fails' AS original_value""")
 def l1(spark, sf):
     def heavy(df, pack):
         return df.filter(F.col("l_quantity") > pack.metadata["limit"]).select(

@@ -77,9 +77,11 @@ def validate_stream(rows: DataFrame, pack: vd.DomainPack, ids: list[str], work:
     return issues, vd.scorecard(issues, ["batch"])
 
 
-def heartbeat_gaps(runs: DataFrame, key: str, gap_seconds: int, ts: str = "ts") -> DataFrame:
+def heartbeat_gaps(runs: DataFrame, key: str, gap_seconds: int, ts: str = "ts", now=None) -> DataFrame:
     """(key, gap_start, gap_end) of all silences longer than the limit.
 
+    With ``now``, a timestamp, the silence of a key whose log has stopped is a gap that ends there.
+
     Two runs in the same slot of ``gap_seconds`` are never too far apart, so the log is first
     reduced to the first and last run per slot; only those rows are ordered per key.
     """
@@ -89,7 +91,13 @@ def heartbeat_gaps(runs: DataFrame, key: str, gap_seconds: int, ts: str = "ts")
     w = Window.partitionBy(key).orderBy("slot")
     t = slots.withColumn("gap_start", F.lag("last").over(w))
     long = F.unix_micros(F.col("first").cast("timestamp")) - F.unix_micros(F.col("gap_start").cast("timestamp")) > gap_seconds * 1_000_000
-    return t.filter(long).select(key, "gap_start", F.col("first").alias("gap_end"))
+    gaps = t.filter(long).select(key, "gap_start", F.col("first").alias("gap_end"))
+    if now is None:
+        return gaps
+    end = F.lit(now).cast("timestamp")
+    stopped = slots.groupBy(key).agg(F.max("last").alias("gap_start"))
+    late = F.unix_micros(end) - F.unix_micros(F.col("gap_start").cast("timestamp")) > gap_seconds * 1_000_000
+    return gaps.unionAll(stopped.filter(late).select(key, "gap_start", end.cast(gaps.schema["gap_end"].dataType).alias("gap_end")))
 
 
 def heartbeat_sessions_stream(runs: DataFrame, key: str, gap_seconds: int, delay: str = "1 hour", ts: str = "ts", work: str | None = None) -> DataFrame:

@@ -12,17 +12,17 @@ from datasteward.operators import catalog as cat
 from datasteward.operators import validate as vd
 
 
-@pytest.mark.parametrize("limit", [0, 10 ** 6])
-def test_quantiles_and_ranks(spark, limit):
+@pytest.mark.parametrize("per_bucket", [7, 10 ** 6])
+def test_quantiles_and_ranks(spark, per_bucket):
     rng = random.Random(1)
     data = {"a": [rng.choice([1.0, 2.0, 2.0, 5.0]) for _ in range(300)], "b": [rng.gauss(0, 1e6) for _ in range(501)], "c": [7.0]}
     rows = [(k, x) for k, xs in data.items() for x in xs]
     v = spark.createDataFrame(rows, "k string, x double").groupBy("k", "x").agg(F.count(F.lit(1)).alias("cnt"))
-    q = {r["k"]: r for r in ranks.quantiles(v, ["k"], {"p10": 0.1, "p50": 0.5, "p99": 0.99}, limit=limit, buckets=16).collect()}
+    q = {r["k"]: r for r in ranks.quantiles(v, ["k"], {"p10": 0.1, "p50": 0.5, "p99": 0.99}, per_bucket=per_bucket).collect()}
     for k, xs in data.items():
         for name, p in (("p10", 10), ("p50", 50), ("p99", 99)):
             assert q[k][name] == pytest.approx(np.percentile(xs, p))
-    got = {(r["k"], r["x"]): r["avg_rank"] for r in ranks.rank_values(v, ["k"], limit=limit, buckets=16).collect()}
+    got = {(r["k"], r["x"]): r["avg_rank"] for r in ranks.rank_values(v, ["k"], per_bucket=per_bucket).collect()}
     for k, xs in data.items():
         s = sorted(xs)
         for x in set(xs):
@@ -229,7 +229,7 @@ def test_layers_stop_at_errors(spark):
 
     pack = vd.DomainPack("p", [vd.FieldSchema("n", "integer")], [vd.Rule("big", "n > 100", "warning", "n")], {"boom": fails_at_run_time, "odd": odd})
     got = {(r["id"], r["layer"], r["issue_type"]) for r in vd.validate(df, pack, ["id"]).collect()}
-    assert got == {(1, "structural", "type_mismatch"), (3, "custom", "odd"), (2, "semantic", "big")}
+    assert got == {(1, "structural", "type_mismatch"), (3, "custom", "odd"), (2, "semantic", "big"), (None, "custom", "validator_failed")}
     assert list(vd.run_validators(df.filter("n <> 'x'"), pack, ["id"])[1]) == ["boom"]
 
 
