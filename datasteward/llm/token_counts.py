@@ -70,7 +70,7 @@ def fill_cache(docs: DataFrame, tokenizer_path: str, cache_path: str, text_col:
     version = tokenizer_version(tokenizer_path)
     stored = read_cache(docs.sparkSession, cache_path).filter(F.col("tokenizer") == version).select("digest")
     texts = docs.select(content_digest(F.col(text_col)).alias("digest"), content(F.col(text_col)).alias("text"))
-    missing = texts.join(stored, "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
+    missing = texts.groupBy("digest").agg(F.first("text").alias("text")).join(stored, "digest", "left_anti")
     missing.mapInArrow(_encode(tokenizer_path, version), CACHE).write.mode("append").parquet(cache_path)
 
 
