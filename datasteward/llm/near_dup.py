@@ -67,6 +67,8 @@ def _sketches(words: int, bands: int, rows: int, seed: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()),
                  pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "node", "n_shingles", "bands"])
+            del batch, keys, sizes, marks
+            pa.default_memory_pool().release_unused()
     return run
 
 
@@ -77,6 +79,8 @@ def _full_sets(words: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([set_key(s) for s in sets], pa.int64()),
                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "found", "shingles"])
+            del batch, sets
+            pa.default_memory_pool().release_unused()
     return run
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from datasteward.llm.common import mix
 
 MARK = 0xFF  # stands for the word mark of the model; no UTF-8 text holds this byte
-CHUNK_BYTES = 500_000  # text per NumPy round
+CHUNK_BYTES = 300_000  # text per NumPy round
 KEPT_EDGES = 2_000_000  # lattice edges that a task keeps for words it may meet again
 
 
@@ -278,6 +278,8 @@ def sampled_pieces(docs: DataFrame, model_path: str, keep: tuple[str, ...] = (),
                 yield pa.RecordBatch.from_arrays(
                     [*[c.slice(first, n) for c in batch.columns[:-2]], pa.array(counts, pa.int64()),
                      _id_lists(ids, counts, valid), pa.array(same, pa.bool_())], names=names)
+            del batch, texts
+            pa.default_memory_pool().release_unused()  # a worker lives on; it need not keep the largest batch's memory
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)) + ", n_pieces long, ids array<int>, lossless boolean"
     return rows.mapInArrow(run, schema)

@@ -52,6 +52,7 @@ def _signals(texts: pa.Array) -> pa.Array:
     rows = [signals_of(t.as_py()) for t in texts]
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    pa.default_memory_pool().release_unused()
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
