@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -158,8 +160,10 @@ def error_signature(error_type: Column, field: Column, context: Column) -> Colum
     return F.substring(F.sha2(raw, 256), 1, 16)
 
 
-def compose(operation: str, *cols: Column) -> Column:
-    """Value of a composite variable from its parts."""
+def compose(operation: str, *cols: Column, formula: Callable[..., Column] | None = None) -> Column:
+    """Value of a composite variable from its parts; ``calc`` needs the ``formula`` that takes them."""
+    if operation == "calc" and formula is not None:
+        return formula(*cols)
     if operation == "concat":
         return F.concat_ws(" ", *cols)
     if operation == "sum":
@@ -169,4 +173,4 @@ def compose(operation: str, *cols: Column) -> Column:
         return total
     if operation == "date_diff":
         return F.datediff(cols[0], cols[1])
-    raise ValueError(f"unknown operation {operation!r}; write calc as a Column expression")
+    raise ValueError("calc needs a formula" if operation == "calc" else f"unknown operation {operation!r}")

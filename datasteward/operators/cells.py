@@ -58,6 +58,13 @@ def cells_of(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None
     return reduce(DataFrame.unionByName, parts)
 
 
+def column_names(tables: dict[str, DataFrame]) -> DataFrame:
+    """(source, column) of all profiled columns, also of tables without rows; from the schemas alone."""
+    rows = [(name, c) for name, df in tables.items() for c in atomic_columns(df)]
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(rows, "source string, column string")
+
+
 def value_counts(cell_rows: DataFrame, key: str = "raw") -> DataFrame:
     """(source, column, value, cnt). With key upper/lower blanks and nulls are dropped."""
     if key == "raw":

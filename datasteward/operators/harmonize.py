@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +73,40 @@ def case_when_text(mapping: DataFrame, keys: list[str], column: str, target: str
                  F.lit(f' ELSE NULL END AS "{target}"')).alias("sql"))
 
 
+def case_text_lines(df: DataFrame, column: str, codes: DataFrame, standard: str, name: str, regex: str | None = None,
+                    target: str | None = None) -> DataFrame:
+    """(part, value, line): the CASE text that brings ``column`` to ``standard``, one row per line, for review.
+
+    In the order of part and value it reads: 0 a heading, 1 a WHEN per mapped value with its spellings and the label of its
+    code, 2 a warning with the number of unmapped values and the first five of them, 3 the end. A column has as many lines as
+    it has distinct values, so they stay rows. An empty code list gives only a note."""
+    def quoted(c: Column, mark: str = "'") -> Column:
+        return F.concat(F.lit(mark), F.replace(c, F.lit(mark), F.lit(mark * 2)), F.lit(mark))
+
+    def line(rows: DataFrame, part: int, text: Column) -> DataFrame:
+        return rows.select(F.lit(part).alias("part"), F.lit("").alias("value"), text.alias("line"))
+
+    m = value_mappings(df.select(F.col(column).cast("string").alias("value")).filter("value is not null"), codes, regex)
+    unmapped = m.filter("code is null")
+    figures = reduce(DataFrame.union, [codes.select(F.lit("n"), "code"), unmapped.select(F.lit("lost"), "value"),
+                                       unmapped.orderBy("value").limit(5).select(F.lit("first"), "value")]).toDF("k", "v")
+    one = figures.agg(*[F.count(F.when(F.col("k") == k, 1)).alias(k) for k in ("n", "lost")], F.array_join(
+        F.sort_array(F.collect_list(F.when(F.col("k") == "first", F.col("v")))), ", ").alias("first"))  # five values at most
+    name_of, own = quoted(F.lit(target or f"{column}_canonico"), '"'), quoted(F.lit(column), '"')
+    head = F.when(F.col("n") == 0, F.lit(f"-- {standard} has no codes")).otherwise(
+        F.concat(F.lit(f"-- {column} to {standard} ({name}), "), F.col("n").cast("string"), F.lit(" codes\nCASE")))
+    spellings = F.array_sort(F.array_distinct(F.array("value", F.upper("value"), F.lower("value"))))
+    label = codes.groupBy("code").agg(F.min("label").alias("label"))
+    whens = m.filter("code is not null").join(label, "code", "left").select(
+        F.lit(1).alias("part"), "value",
+        F.concat(F.lit("    WHEN "), own, F.lit(" IN ("), F.array_join(F.transform(spellings, lambda x: quoted(x)), ", "), F.lit(") THEN "),
+                 quoted(F.col("code")), F.lit("  -- "), F.coalesce("label", F.lit(""))).alias("line"))
+    warning = F.concat(F.lit("    -- WARNING: "), F.col("lost").cast("string"), F.lit(" values without a code: "), F.col("first"))
+    end = F.concat(F.lit("    ELSE NULL  -- to be reviewed\nEND AS "), name_of)
+    return reduce(DataFrame.unionByName, [line(one, 0, head), whens, line(one.filter("lost > 0 and n > 0"), 2, warning),
+                                          line(one.filter("n > 0"), 3, end)])
+
+
 def mapping_source(concepts: DataFrame, edge_mapping: DataFrame, codes: DataFrame) -> DataFrame:
     """The mapping each concept uses: an equivalence edge of its classifier, else code identity.
 
@@ -89,7 +125,12 @@ def mapping_source(concepts: DataFrame, edge_mapping: DataFrame, codes: DataFram
 
 
 def validation_schema(concepts: DataFrame, codes: DataFrame) -> DataFrame:
-    """JSON Schema text per concept; the code list of a standard is aggregated once per standard."""
+    """JSON Schema text per concept; the code list of a standard is aggregated once per standard.
+
+    Concepts may have version, why and what_for; without them the version is 1.0 and the others are empty."""
+    def own(c: str, default: str) -> Column:
+        return (F.coalesce(c, F.lit(default)) if c in concepts.columns else F.lit(default)).alias(c)
+
     enum = codes.groupBy(F.col("standard_id").alias("standard")).agg(
         F.sort_array(F.collect_list("code")).alias("enum"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("code", "label")))).alias("enumDescriptions"))
@@ -97,7 +138,8 @@ def validation_schema(concepts: DataFrame, codes: DataFrame) -> DataFrame:
     schema = F.struct(
         F.lit("https://json-schema.org/draft/2020-12/schema").alias("$schema"), F.col("name").alias("title"),
         F.col("definition").alias("description"), F.lit("string").alias("type"), "enum", "enumDescriptions",
-        F.struct("standard", "population", "capture_method", "data_classification").alias("x-catalog"))
+        F.struct("standard", own("version", "1.0"), "population", "capture_method", own("why", ""), own("what_for", ""),
+                 "data_classification").alias("x-catalog"))
     return c.select(F.col("id").alias("concept_id"), F.to_json(schema).alias("json_schema"))
 
 

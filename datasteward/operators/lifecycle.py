@@ -73,7 +73,8 @@ def change_status(requests: DataFrame, states: dict[str, str] = STATUS_ACTIONS)
 
 
 def version_history(changes: DataFrame, start: tuple[int, int, int] = (1, 0, 0)) -> DataFrame:
-    """Running semantic version of each catalog: (catalog, ts, seq, kind) -> from_version, to_version.
+    """Running semantic version of each catalog: ``changes`` (catalog, ts, seq, kind, and columns such as reason, nodes
+    and edges, which are kept) with major, minor, patch, from_version and to_version.
 
     A major change resets minor and patch, a minor change resets patch. Running counts are
     taken inside each day and added to the counts of the days before, so a long history is
@@ -101,5 +102,12 @@ def version_history(changes: DataFrame, start: tuple[int, int, int] = (1, 0, 0))
     major = F.col("n_major") + start[0]
     minor = F.col("n_minor") - minor0 + F.when(untouched_minor, F.lit(start[1])).otherwise(0)
     patch = F.col("n_patch") - patch0 + F.when(untouched_patch, F.lit(start[2])).otherwise(0)
-    return t.select("catalog", "ts", "seq", "kind", major.alias("major"), minor.alias("minor"), patch.alias("patch"),
-                    F.concat_ws(".", major, minor, patch).alias("to_version"))
+    named = t.select(*changes.columns, "day", major.alias("major"), minor.alias("minor"), patch.alias("patch"),
+                     F.concat_ws(".", major, minor, patch).alias("to_version"))
+    # the version before: of the row before in the day, else the last one of the days before
+    ends = named.groupBy(*keys).agg(F.max_by("to_version", F.struct("ts", "seq")).alias("_end"))
+    opened = ends.select(*keys, F.lag("_end").over(Window.partitionBy("catalog").orderBy("day")).alias("_open"))
+    step = F.lag("to_version").over(Window.partitionBy(*keys).orderBy("ts", "seq"))
+    return (named.withColumn("_step", step).join(opened, keys)
+            .select(*changes.columns, "major", "minor", "patch",
+                    F.coalesce("_step", "_open", F.lit(".".join(map(str, start)))).alias("from_version"), "to_version"))

@@ -11,6 +11,7 @@ from datasteward.operators.cells import cells, value_counts
 from datasteward.sources.shared import is_materialized, materialize
 
 KEYS = ["source", "column"]
+EMPTY_COLUMN = "columna vacia"  # fixed value: the issue of a column without rows
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -144,8 +145,21 @@ def quality_columns() -> list[Column]:
             issues.alias("issues")]
 
 
-def column_quality(cell_rows: DataFrame) -> DataFrame:
-    return column_facts(cell_rows).select(*KEYS, *quality_columns())
+def _with_empty(found: DataFrame, columns: DataFrame | None, **values) -> DataFrame:
+    """``found`` with a row of ``values`` for each of ``columns`` (source, column) that has no cell at all."""
+    if columns is None:
+        return found
+    rest = columns.select(*KEYS).join(found.select(*KEYS), KEYS, "left_anti")
+    types = dict(found.dtypes)
+    return found.unionByName(rest.select(*KEYS, *[F.lit(v).cast(types[c]).alias(c) for c, v in values.items()]))
+
+
+def column_quality(cell_rows: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """Quality of each column. ``columns`` (source, column) lists the columns that must have a row: those of a table
+    without rows score 0."""
+    found = column_facts(cell_rows).select(*KEYS, *quality_columns())
+    return _with_empty(found, columns, completeness=0.0, consistency=0.0, validity=0.0, score=0, grade="F",
+                       issues=[EMPTY_COLUMN])
 
 
 def spelling_variants(cell_rows: DataFrame) -> DataFrame:
@@ -163,10 +177,19 @@ def numeric_values(cell_rows: DataFrame, drop_missing: bool = True) -> DataFrame
     return vf.select(*KEYS, tx.parse_number(F.col("value")).alias("x"), "cnt").filter(F.col("x").isNotNull())
 
 
+def _mean() -> Column:
+    """The mean of x, weighted by cnt: from an exact decimal sum where every x has at most eight decimals, so that the
+    order in which tasks add up cannot decide the last digit; from a floating-point sum elsewhere."""
+    x, cnt = F.col("x"), F.col("cnt")
+    fixed, times = x.try_cast("decimal(24,8)"), cnt.try_cast("decimal(12,0)")
+    exact = F.every(F.coalesce((fixed.cast("double") == x) & times.isNotNull(), F.lit(False)))
+    total = F.try_sum(fixed * times).cast("double")
+    return F.coalesce(F.when(exact, total), F.sum(x * cnt)) / F.sum(cnt)
+
+
 def spread(numbers: DataFrame) -> DataFrame:
     """Count, mean and sample deviation in two passes (no cancellation of large sums)."""
-    m = numbers.groupBy(*KEYS).agg(
-        F.sum("cnt").alias("n_num"), (F.sum(F.col("x") * F.col("cnt")) / F.sum("cnt")).alias("mean"))
+    m = numbers.groupBy(*KEYS).agg(F.sum("cnt").alias("n_num"), _mean().alias("mean"))
     dev = (F.col("x") - F.col("mean"))
     s = (numbers.join(F.broadcast(m), KEYS).groupBy(*KEYS, "n_num", "mean")
          .agg(F.sum(dev * dev * F.col("cnt")).alias("_ss")))
@@ -249,16 +272,19 @@ def suspicious_values(cell_rows: DataFrame) -> DataFrame:
     return vf.withColumn("issues", reasons).filter(F.size("issues") > 0)
 
 
-def column_features(cell_rows: DataFrame) -> DataFrame:
-    """Five shape features per column and the column type they imply."""
+def column_features(cell_rows: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """Five shape features per column and the column type they imply; all 0 and ``empty`` for those of ``columns``
+    (source, column) that have no row."""
     f, total = column_facts(cell_rows), F.col("total")
     numeric, dates = F.col("n_num") / total, F.col("n_dated") / total
     length = F.when(F.col("n") > 0, F.least(F.col("sum_len") / F.col("n") / 50.0, F.lit(1.0))).otherwise(0.0)
-    return f.select(
+    found = f.select(
         *KEYS, numeric.alias("numeric_ratio"), (F.col("d_upper") / total).alias("cardinality_ratio"),
         ((total - F.col("n")) / total).alias("missing_ratio"), dates.alias("date_ratio"),
         length.alias("avg_length"), F.col("d_upper").alias("unique"),
         F.when(numeric > 0.7, "numeric").when(dates > 0.5, "date").otherwise("categorical").alias("type"))
+    return _with_empty(found, columns, numeric_ratio=0.0, cardinality_ratio=0.0, missing_ratio=0.0, date_ratio=0.0,
+                       avg_length=0.0, unique=0, type="empty")
 
 
 def field_quality(cell_rows: DataFrame, mapping: DataFrame, standard_values: DataFrame) -> DataFrame:

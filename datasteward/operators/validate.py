@@ -110,9 +110,33 @@ def _as_string(v: Column, dt: T.DataType) -> Column:
     return F.to_json(v) if isinstance(dt, (T.ArrayType, T.MapType, T.StructType)) else v.cast("string")
 
 
+def _nested_required(schema: T.StructType, fs: FieldSchema) -> list[Column]:
+    """Whether a required field with a dotted name is missing: a null or an absent field anywhere on its path, for an array
+    in any of its elements. An empty array misses nothing. Names are found like those of columns."""
+    if not fs.required:
+        return []
+
+    def missing(value: Column, dt: T.DataType, names: list[str]) -> Column:
+        if isinstance(dt, T.ArrayType):
+            return value.isNull() | F.exists(value, lambda x: missing(x, dt.elementType, names))
+        if not names:
+            return value.isNull()
+        found = resolve(dt.names, FieldSchema(names[0])) if isinstance(dt, T.StructType) else None
+        if found is None:
+            return F.lit(True)
+        return value.isNull() | F.coalesce(missing(value[found], dt[found].dataType, names[1:]), F.lit(True))
+
+    head, *rest = fs.name.split(".")
+    column = resolve(schema.names, FieldSchema(head))
+    cond = F.lit(True) if column is None else missing(F.col(f"`{column}`"), schema[column].dataType, rest)
+    return [_issue(cond, "structural", "error", fs.name, "missing_field")]
+
+
 def field_checks(schema: T.StructType, fs: FieldSchema) -> list[Column]:
     """Checks of one field: missing, type, range, list, pattern."""
     column = resolve(schema.names, fs)
+    if column is None and "." in fs.name:
+        return _nested_required(schema, fs)
     if column is None:
         return [_issue(F.lit(True), "structural", "error", fs.name, "missing_field")] if fs.required else []
     dt = schema[column].dataType

@@ -339,6 +339,16 @@ def e8(spark, sf):
     return harmonize.standardize(_spelled(spark, sf), "nation_text", _nation_codes(spark, sf))
 
 
+@R.add("e8_case_text_lines", f"""WITH {_STD}, n AS (SELECT count(*) AS lost FROM m WHERE code IS NULL), q AS (SELECT chr(39) AS q)
+SELECT 0 AS part, '' AS value, '-- nation_text to NATIONS (nations), ' || (SELECT count(*) FROM nation) || ' codes' || chr(10) || 'CASE' AS line
+UNION ALL SELECT 1, v, '    WHEN "nation_text" IN (' || (SELECT string_agg(q || s || q, ', ' ORDER BY s) FROM (SELECT DISTINCT unnest([v, upper(v), lower(v)]) AS s)) || ') THEN ' || q || code || q || '  -- ' || n_name
+ FROM m JOIN nation ON CAST(n_nationkey AS VARCHAR) = code, q
+UNION ALL SELECT 2, '', '    -- WARNING: ' || lost || ' values without a code: ' || (SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT v FROM m WHERE code IS NULL ORDER BY v LIMIT 5)) FROM n WHERE lost > 0
+UNION ALL SELECT 3, '', '    ELSE NULL  -- to be reviewed' || chr(10) || 'END AS "nation_text_canonico"'""")
+def e8b(spark, sf):
+    return harmonize.case_text_lines(_spelled(spark, sf), "nation_text", _nation_codes(spark, sf), "NATIONS", "nations")
+
+
 @R.add("b25_value_mappings", f"WITH {_STD} SELECT v AS value, code FROM m")
 def b25(spark, sf):
     v = _spelled(spark, sf).select(F.col("nation_text").alias("value"))
@@ -367,7 +377,12 @@ def f5c(spark, sf):
     return harmonize.case_when_text(catalog(spark, sf)[3], ["src", "dst"], "flag", "canonical")
 
 
-@R.add("f6_validation_schema")
+@R.add("f6_validation_schema", f"""{W}, k AS (SELECT standard_id, list(code ORDER BY code) AS cs, string_agg('"' || code || '":"' || label || '"', ',' ORDER BY code) AS ls FROM codes GROUP BY 1)
+SELECT id AS concept_id, '{{"$schema":"https://json-schema.org/draft/2020-12/schema","title":"' || name || '","description":"' || definition || '","type":"string"'
+ || CASE WHEN cs IS NULL THEN '' ELSE ',"enum":["' || array_to_string(cs, '","') || '"],"enumDescriptions":{{' || ls || '}}' END
+ || ',"x-catalog":{{' || CASE WHEN standard IS NULL THEN '' ELSE '"standard":"' || standard || '",' END || '"version":"1.0","population":"' || population
+ || '","capture_method":"' || capture_method || '","why":"","what_for":"","data_classification":"' || data_classification || '"}}}}' AS json_schema
+ FROM concepts LEFT JOIN k ON standard_id = standard""")
 def f6(spark, sf):
     n, _, codes, _ = catalog(spark, sf)
     return harmonize.validation_schema(cat.of_type(n, "concept"), codes)
@@ -431,16 +446,39 @@ def i9(spark, sf):
     return health.batch_approve(catalog(spark, sf)[0])
 
 
-@R.add("e23_suggest_orphan_links", f"""{W}, cw AS (SELECT DISTINCT id, unnest(string_split(lower(name), ' ')) AS w FROM concepts WHERE review_status NOT IN ('proposed', 'rejected')),
+@R.add("i9_batch_approve_by_confidence", f"""{W} SELECT id, standard, review_status AS old_status, 'approved' AS new_status FROM concepts
+ WHERE review_status IN ('proposed', 'under_review') AND definition <> '' AND standard IS NOT NULL AND length(name) % 3 < 2""")
+def i9b(spark, sf):
+    n = catalog(spark, sf)[0]
+    third = F.length("name") % 3
+    n = n.withColumn("confidence", F.when(third == 0, "high").when(third == 1, "medium"))
+    return health.batch_approve(n, confidence="medium")
+
+
+_LINKS = """cw AS (SELECT DISTINCT id, unnest(string_split(lower(name), ' ')) AS w FROM concepts WHERE review_status NOT IN ('proposed', 'rejected')),
 fw AS (SELECT DISTINCT id, unnest(string_split(lower("column"), '_')) AS w FROM orphans), fn AS (SELECT id, count(*) AS n FROM fw GROUP BY 1),
 s AS (SELECT fw.id, cw.id AS cid, count(*) / any_value(n) AS score FROM fw JOIN fn USING (id) JOIN cw ON cw.w = fw.w GROUP BY 1, 2 HAVING count(*) / any_value(n) >= 0.5),
-b AS (SELECT id, arg_min(cid, (-score, cid)) AS cid, max(score) AS score FROM s GROUP BY 1)
+b AS (SELECT id, arg_min(cid, (-score, cid)) AS cid, max(score) AS score FROM s GROUP BY 1)"""
+
+
+@R.add("e23_suggest_orphan_links", f"""{W}, {_LINKS}
 SELECT o.id, b.cid AS suggested_concept, round(score, 6) AS match_score, CASE WHEN cid IS NULL THEN 'manual' ELSE 'link_implementa' END AS action FROM orphans o LEFT JOIN b ON b.id = o.id""")
 def e23(spark, sf):
     n, e, _, _ = catalog(spark, sf)
     return _round(health.suggest_orphan_links(n, e), "match_score")
 
 
+# only the edges from fields to sources are left, so that concepts and classifiers are orphans too
+@R.add("e23_orphan_actions", f"""{W}, {_LINKS}
+SELECT o.id, 'field' AS type, b.cid AS suggested_concept, round(score, 6) AS match_score, CASE WHEN cid IS NULL THEN 'manual' ELSE 'link_implementa' END AS action,
+ CASE WHEN cid IS NULL THEN 'No se encontró concepto similar (score < 0.5)' END AS reason FROM orphans o LEFT JOIN b ON b.id = o.id
+UNION ALL SELECT id, type, NULL, NULL, 'manual', CASE type WHEN 'concept' THEN 'Concepto huérfano — requiere definición humana de relaciones'
+ ELSE 'Clasificador huérfano — requiere asociación manual a concepto' END FROM nodes WHERE type IN ('concept', 'classifier')""")
+def e23b(spark, sf):
+    n, e, _, _ = catalog(spark, sf)
+    return _round(health.orphan_actions(n, e.filter("type = 'proviene_de'")), "match_score")
+
+
 @R.add("i10_health_report", f"""{W}, {_INV}, {_COV}, h AS (SELECT f.id, count(*) FILTER (k.code IS NULL) AS bad FROM (SELECT f.id, c.standard, unnest(sample_values) AS v FROM fields f JOIN concepts c ON c.id = f.concept_id WHERE c.standard IS NOT NULL) f
   LEFT JOIN codes k ON k.standard_id = f.standard AND k.code = f.v GROUP BY 1),
 r AS (SELECT 'nodes' AS section, coalesce(type, 'total') AS metric, count(*) AS value FROM nodes GROUP BY ROLLUP(type) UNION ALL SELECT 'edges', coalesce(type, 'total'), count(*) FROM edges GROUP BY ROLLUP(type)
@@ -460,9 +498,12 @@ _ROUNDS = ["l0 AS (SELECT id, id AS c FROM mn)"] + [
     f"l{i} AS (SELECT x.id, least(x.c, min(y.c)) AS c FROM l{i - 1} x LEFT JOIN ue ON ue.a = x.id LEFT JOIN l{i - 1} y ON y.id = ue.b GROUP BY x.id, x.c)" for i in range(1, 13)]
 
 
-@R.add("i11_components", f"""{W}, mn AS MATERIALIZED (SELECT id FROM nodes WHERE type IN ('concept', 'field', 'classifier')),
+_PARTS = f"""mn AS MATERIALIZED (SELECT id FROM nodes WHERE type IN ('concept', 'field', 'classifier')),
 ue AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges SEMI JOIN mn m ON m.id = src SEMI JOIN mn k ON k.id = dst UNION SELECT dst, src FROM edges SEMI JOIN mn m ON m.id = src SEMI JOIN mn k ON k.id = dst),
-{', '.join(r.replace(' AS (', ' AS MATERIALIZED (', 1) for r in _ROUNDS)} SELECT id, coalesce(c, id) AS component FROM l12""")
+{', '.join(r.replace(' AS (', ' AS MATERIALIZED (', 1) for r in _ROUNDS)}"""
+
+
+@R.add("i11_components", f"""{W}, {_PARTS} SELECT id, coalesce(c, id) AS component FROM l12""")
 def i11(spark, sf):
     n, e, _, _ = catalog(spark, sf)
     return health.connected_components(n, e)
@@ -476,6 +517,18 @@ def i11b(spark, sf):
 
 @R.add("i12_community_context")
 def i12(spark, sf):
+    n, e, _, _ = catalog(spark, sf)
+    return health.community_context(health.communities(n, e), n, e)
+
+
+@R.add("i12_component_context", f"""{W}, {_PARTS}, m AS MATERIALIZED (SELECT id, coalesce(c, id) AS community, type, coalesce(name, id) AS name FROM l12 JOIN nodes USING (id)),
+x AS MATERIALIZED (SELECT e.src, e.dst, e.type, a.name AS sn, b.name AS dn FROM edges e JOIN m a ON a.id = e.src JOIN m b ON b.id = e.dst WHERE a.community = b.community),
+k AS (SELECT src AS id, type || '->' || dn AS c FROM x UNION SELECT dst, sn || '->' || type FROM x),
+t AS (SELECT id, string_agg(c, ', ' ORDER BY c) AS conn FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c) AS r FROM k) WHERE r <= 5 GROUP BY 1)
+SELECT m.community, m.id, '- [' || m.type || '] ' || m.name || CASE WHEN coalesce(definition, '') <> '' THEN ': ' || substr(definition, 1, 120) ELSE '' END
+ || CASE WHEN coalesce(n.standard, '') <> '' THEN ' (estandar: ' || n.standard || ')' ELSE '' END || CASE WHEN conn IS NOT NULL THEN ' | conexiones: ' || conn ELSE '' END AS line
+FROM m JOIN nodes n ON n.id = m.id LEFT JOIN concepts d ON d.id = m.id LEFT JOIN t ON t.id = m.id""")
+def i12b(spark, sf):
     n, e, _, _ = catalog(spark, sf)
     comp = health.connected_components(n, e).withColumnRenamed("component", "community")
     return health.community_context(comp, n, e)
@@ -578,13 +631,28 @@ def i16(spark, sf):
     return cat.current_status(c)
 
 
-@R.add("b26_version_history", """WITH c AS (SELECT user_id % 10 AS catalog, ts, event_id AS seq, CASE WHEN event_type = 'purchase' AND value > 50 THEN 'major' WHEN event_type IN ('signup', 'view') THEN 'minor' ELSE 'patch' END AS kind FROM events),
+_VERSIONS = """WITH c AS (SELECT user_id % 10 AS catalog, ts, event_id AS seq, CASE WHEN event_type = 'purchase' AND value > 50 THEN 'major' WHEN event_type IN ('signup', 'view') THEN 'minor' ELSE 'patch' END AS kind FROM events),
 w AS (SELECT *, count(*) FILTER (kind = 'major') OVER (PARTITION BY catalog ORDER BY ts, seq) AS mj FROM c),
 x AS (SELECT *, count(*) FILTER (kind = 'minor') OVER (PARTITION BY catalog, mj ORDER BY ts, seq) AS mi FROM w),
-y AS (SELECT *, count(*) FILTER (kind = 'patch') OVER (PARTITION BY catalog, mj, mi ORDER BY ts, seq) AS pa FROM x)
+y AS (SELECT *, count(*) FILTER (kind = 'patch') OVER (PARTITION BY catalog, mj, mi ORDER BY ts, seq) AS pa FROM x)"""
+
+
+@R.add("b26_version_history", f"""{_VERSIONS}
 SELECT catalog, seq, kind, mj + 1 AS major, mi AS minor, pa AS patch, (mj + 1) || '.' || mi || '.' || pa AS to_version FROM y""")
 def b26(spark, sf):
+    return lifecycle.version_history(_changes(spark, sf)).drop("ts", "from_version")
+
+
+def _changes(spark, sf):
     t, v = F.col("event_type"), F.col("value")
     kind = F.when((t == "purchase") & (v > 50), "major").when(t.isin("signup", "view"), "minor").otherwise("patch")
-    c = table(spark, sf, "events").select((F.col("user_id") % 10).alias("catalog"), "ts", F.col("event_id").alias("seq"), kind.alias("kind"))
-    return lifecycle.version_history(c).drop("ts")
+    return table(spark, sf, "events").select((F.col("user_id") % 10).alias("catalog"), "ts", F.col("event_id").alias("seq"), kind.alias("kind"))
+
+
+@R.add("b26_version_entries", f"""{_VERSIONS}, z AS (SELECT *, (mj + 1) || '.' || mi || '.' || pa AS to_version FROM y)
+SELECT catalog, seq, kind, coalesce(lag(to_version) OVER (PARTITION BY catalog ORDER BY z.ts, seq), '1.0.0') AS from_version, to_version,
+ props AS reason, z.catalog + 100 AS nodes, e.user_id AS edges FROM z JOIN events e ON e.event_id = seq""")
+def b26b(spark, sf):
+    more = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("props").alias("reason"), F.col("user_id").alias("edges"))
+    c = _changes(spark, sf).withColumn("nodes", F.col("catalog") + 100).join(more, "seq")
+    return lifecycle.version_history(c).select("catalog", "seq", "kind", "from_version", "to_version", "reason", "nodes", "edges")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from datasteward.functions import text as tx
 from datasteward.operators import anomalies, clean, profile
-from datasteward.operators.cells import cells_of
-from datasteward.plans.base import (DIRTY_SQL, TABLES, Registry, dirty, q_cells, q_grade, q_missing,
+from datasteward.operators.cells import cells_of, column_names
+from datasteward.plans.base import (COLUMNS, DIRTY_SQL, TABLES, Registry, dirty, q_cells, q_grade, q_missing,
                                     q_num, q_strip, r6, table)
+from datasteward.sources import readers
+from datasteward.sources.shared import shared_dir
 
 R = Registry()
 
@@ -147,7 +151,7 @@ def b24(spark, sf):
     return table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", tx.compose("concat", c("l_returnflag"), c("l_linestatus")).alias("label"),
         r6(tx.compose("sum", c("l_tax"), c("l_discount"))).alias("total"),
-        r6(c("l_extendedprice") * (1 - c("l_discount"))).alias("net"),
+        r6(tx.compose("calc", c("l_extendedprice"), c("l_discount"), formula=lambda price, cut: price * (1 - cut))).alias("net"),
         tx.compose("date_diff", c("l_shipdate"), F.lit("1995-01-01")).alias("days"))
 
 
@@ -167,13 +171,26 @@ SELECT p.*, sv.sample_values FROM p LEFT JOIN sv USING (source, "column")"""
 
 
 def _profile(spark, sf, *names):
-    p = profile.profile_cells(_cells(spark, sf, *names))
-    return p.withColumn("sample_values", F.array_join("sample_values", "|"))
+    return _profile_of(_cells(spark, sf, *names))
+
+
+def _profile_of(cell_rows):
+    return profile.profile_cells(cell_rows).withColumn("sample_values", F.array_join("sample_values", "|"))
+
+
+def _database(spark, sf):
+    """The name of a catalog database whose tables lie over the given files."""
+    name = f"given_{zlib.crc32(sf.encode())}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{shared_dir(spark)}/{name}'")
+    for t in TABLES:
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name}.{t} USING parquet LOCATION '{sf}/{t}.parquet'")
+    return name
 
 
 @R.add("a2_profile_database", f"WITH {q_cells(*TABLES)}, {_PROFILE_SQL}")
 def a2(spark, sf):
-    return _profile(spark, sf, *TABLES)
+    tables = readers.read_database(spark, _database(spark, sf))
+    return _profile_of(cells_of(tables, {t: [c.partition(":")[0] for c in COLUMNS[t].split()] for t in tables}))
 
 
 @R.add("c1_profile_columns", f"WITH {DIRTY_SQL}, {q_cells('dirty', 'orders')}, {_PROFILE_SQL}")
@@ -184,18 +201,19 @@ def c1(spark, sf):
 _SUMMARY_SQL = f"""c AS (SELECT *, NOT {q_missing('value')} AS ok, {q_num('value')} AS x FROM cells),
 d AS (SELECT source, "column", count(*) AS "count", count(DISTINCT upper({q_strip('value')})) FILTER (ok) AS "unique",
   count(*) FILTER (NOT ok) AS missing, count(x) FILTER (ok) > 0.8 * count(*) FILTER (ok) AND count(*) FILTER (ok) > 0 AS is_num,
-  count(x) FILTER (ok) AS n_x, avg(x) FILTER (ok) AS mean, quantile_cont(x, 0.5) FILTER (ok) AS med, stddev_samp(x) FILTER (ok) AS sd,
+  count(x) FILTER (ok) AS n_x, CAST(sum(CAST(x AS DECIMAL(38,4))) FILTER (ok) AS DOUBLE) / count(x) FILTER (ok) AS mean, quantile_cont(x, 0.5) FILTER (ok) AS med, stddev_samp(x) FILTER (ok) AS sd,
   min(x) FILTER (ok) AS mn, max(x) FILTER (ok) AS mx, quantile_cont(x, 0.25) FILTER (ok) AS q1, quantile_cont(x, 0.75) FILTER (ok) AS q3
   FROM c GROUP BY source, "column")"""
+# means often end in a 5 at the seventh decimal: rounded by their shortest decimal text, as Spark does
 _SUMMARY_COLS = """source, "column", "count", "unique", missing, CASE WHEN is_num THEN 'numeric' ELSE 'categorical' END AS type,
-  """ + ", ".join(f"CASE WHEN is_num AND n_x >= 2 THEN round({a}, 4) END AS {b}" for a, b in (
-    ("mean", "mean"), ("med", "median"), ("sd", "std"), ("mn", '"min"'), ("mx", '"max"'), ("q1", "q1"), ("q3", "q3")))
+  CASE WHEN is_num AND n_x >= 2 THEN CAST(CAST(CAST(mean AS VARCHAR) AS DECIMAL(38,6)) AS DOUBLE) END AS mean,
+  """ + ", ".join(f"CASE WHEN is_num AND n_x >= 2 THEN round({a}, 6) END AS {b}" for a, b in (
+    ("med", "median"), ("sd", "std"), ("mn", '"min"'), ("mx", '"max"'), ("q1", "q1"), ("q3", "q3")))
 _NUMERIC = ["mean", "median", "std", "min", "max", "q1", "q3"]
 
 
 def _rounded(df):
-    """Four decimals: means of prices and rates often end in a 5 at the seventh, and summation noise must not decide."""
-    return df.withColumns({c: F.round(c, 4) for c in _NUMERIC})
+    return df.withColumns({c: r6(F.col(c)) for c in _NUMERIC})
 
 
 @R.add("c2_distribution_summary", f"WITH {DIRTY_SQL}, {q_cells('dirty', 'lineitem')}, {_SUMMARY_SQL} SELECT {_SUMMARY_COLS} FROM d")
@@ -245,6 +263,26 @@ def c5(spark, sf):
         "issues", F.array_join("issues", ","))
 
 
+def _beside_empty(spark, sf):
+    """The cells of a table with rows and of one without, and the columns of both."""
+    tables = {"supplier": table(spark, sf, "supplier"), "orders": table(spark, sf, "orders").filter("o_orderkey < 0")}
+    return cells_of(tables), column_names(tables)
+
+
+_NO_ROWS = ", ".join(f"('orders', '{c.partition(':')[0]}')" for c in COLUMNS["orders"].split())
+
+
+@R.add("c5_empty_table", f"""WITH {q_cells('supplier')}, {_Q}
+SELECT source, "column", round(completeness, 6) AS completeness, round(CAST(consistency AS DOUBLE), 6) AS consistency, round(validity, 6) AS validity,
+ score, {q_grade('score')} AS grade, concat_ws(',', CASE WHEN completeness < 0.5 THEN 'alta nulidad' WHEN completeness < 0.9 THEN 'nulidad moderada' END,
+ CASE WHEN NOT num AND card < 20 AND consistency < 0.8 THEN 'posibles duplicados' END) AS issues FROM q3
+UNION ALL SELECT source, c, 0.0, 0.0, 0.0, 0, 'F', 'columna vacia' FROM (VALUES {_NO_ROWS}) v(source, c)""")
+def c5c(spark, sf):
+    q = profile.column_quality(*_beside_empty(spark, sf))
+    return q.withColumns({c: r6(F.col(c)) for c in ("completeness", "consistency", "validity")}).withColumn(
+        "issues", F.array_join("issues", ","))
+
+
 @R.add("c5_spelling_variants", f"""WITH {DIRTY_SQL}, {q_cells('dirty')}, v AS (SELECT source, "column",
  count(DISTINCT value) AS spellings, count(DISTINCT lower({q_strip('value')})) AS keys FROM cells WHERE NOT {q_missing('value')} GROUP BY ALL)
 SELECT source, "column", spellings, keys, round(keys / greatest(spellings, 1), 6) AS consistency FROM v""")
@@ -328,6 +366,17 @@ def c11(spark, sf):
                           ("numeric_ratio", "cardinality_ratio", "missing_ratio", "date_ratio", "avg_length")})
 
 
+@R.add("c11_empty_table", f"""WITH {q_cells('supplier')}, {_FEATURES_SQL}
+SELECT source, "column", round(numeric_ratio, 6) AS numeric_ratio, round(cardinality_ratio, 6) AS cardinality_ratio, round(missing_ratio, 6) AS missing_ratio,
+ round(date_ratio, 6) AS date_ratio, round(avg_length, 6) AS avg_length, "unique",
+ CASE WHEN numeric_ratio > 0.7 THEN 'numeric' WHEN date_ratio > 0.5 THEN 'date' ELSE 'categorical' END AS type FROM f
+UNION ALL SELECT source, c, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 'empty' FROM (VALUES {_NO_ROWS}) v(source, c)""")
+def c11b(spark, sf):
+    f = profile.column_features(*_beside_empty(spark, sf))
+    return f.withColumns({c: r6(F.col(c)) for c in
+                          ("numeric_ratio", "cardinality_ratio", "missing_ratio", "date_ratio", "avg_length")})
+
+
 _INGEST_SQL = f"""k AS (SELECT *, CASE WHEN NOT ok THEN NULL WHEN regexp_matches(s, '^[+-]?\\d+$') THEN 'int'
    WHEN regexp_matches(s, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$') THEN 'float'
    WHEN regexp_matches(s, '^(\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{2}}/\\d{{2}}/\\d{{4}})') THEN 'date'

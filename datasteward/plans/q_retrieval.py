@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from datasteward.operators import retrieval as rt
 from datasteward.plans.base import Registry, r6, table
+from datasteward.sources.readers import documents_of, read_documents
+from datasteward.sources.shared import shared_dir
 
 R = Registry()
 DIMS = 32
@@ -45,17 +49,46 @@ _COS = "CASE WHEN list_sum(list_transform({a}, lambda x: x * x)) > 0 AND list_su
 
 @R.add("a6_read_documents", "SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS source, length(text) AS n_chars FROM documents")
 def a6(spark, sf):
-    from datasteward.sources.readers import documents_of
     d = documents_of(table(spark, sf, "documents"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), F.col("text"))
     return d.select("source", F.length("text").cast("long").alias("n_chars"))
 
 
-@R.add("h1_chunk_text")
+@R.add("a6_document_files", "SELECT 'item-' || item_id AS source, text FROM benchmark")
+def a6b(spark, sf):
+    path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    one = table(spark, sf, "benchmark").select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("name"), "text")
+    one.write.partitionBy("name").text(path)  # a folder with one file per text
+    return read_documents(spark, path).withColumn("text", F.regexp_replace("text", "\n$", ""))  # the writer's line break
+
+
+def _chunk_sql(source):
+    """The chunks of (source, text) rows by one fold over paragraphs and sentences."""
+    s, o = rt.CHUNK_SIZE, rt.CHUNK_OVERLAP
+    trim = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+    return rf"""u AS (SELECT source, flatten(list_transform(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: {trim.format('p')}), lambda p: p <> ''),
+  lambda p: CASE WHEN length(p) > {s} THEN list_concat([{{'k': 'open', 'v': ''}}], list_transform(string_split(p, '. '), lambda x: {{'k': 'sentence', 'v': x}}), [{{'k': 'close', 'v': ''}}])
+   ELSE [{{'k': 'paragraph', 'v': p}}] END)) AS us FROM ({source}) WHERE length(text) >= {rt.MIN_DOCUMENT}),
+f AS (SELECT source, list_reduce(us, lambda a, b: {{
+  'done': CASE WHEN a.cur <> '' AND (b.k = 'open' OR (b.k = 'paragraph' AND length(a.cur) + length(b.v) > {s})) THEN list_concat(a.done, [{trim.format('a.cur')}])
+    WHEN a.sent <> '' AND (b.k = 'close' OR (b.k = 'sentence' AND length(a.sent) + length(b.v) > {s})) THEN list_concat(a.done, [{trim.format('a.sent')}]) ELSE a.done END,
+  'cur': CASE b.k WHEN 'open' THEN '' WHEN 'paragraph' THEN CASE WHEN a.cur = '' THEN b.v
+    WHEN length(a.cur) + length(b.v) > {s} THEN right(a.cur, {o}) || chr(10) || chr(10) || b.v ELSE a.cur || chr(10) || chr(10) || b.v END ELSE a.cur END,
+  'sent': CASE b.k WHEN 'close' THEN '' WHEN 'sentence' THEN CASE WHEN a.sent = '' OR length(a.sent) + length(b.v) > {s} THEN b.v ELSE a.sent || '. ' || b.v END ELSE a.sent END}},
+  {{'done': []::VARCHAR[], 'cur': '', 'sent': ''}}) AS s FROM u),
+c AS (SELECT source, list_filter(CASE WHEN s.cur <> '' THEN list_concat(s.done, [{trim.format('s.cur')}]) ELSE s.done END, lambda x: length(x) > {rt.MIN_CHUNK}) AS cs FROM f),
+x AS (SELECT source, unnest(cs) AS text, unnest(range(len(cs))) AS i FROM c)
+SELECT 'norm:' || source || ':' || i AS id, source, CAST(i AS INTEGER) AS chunk_index, text FROM x"""
+
+
+@R.add("h1_chunk_text", f"WITH {_chunk_sql('SELECT CAST(doc_id AS VARCHAR) AS source, text FROM documents')}")
 def h1(spark, sf):
     return rt.ingest(table(spark, sf, "documents"), "doc_id")
 
 
-@R.add("h1_chunk_paragraphs")
+_THREADS = "SELECT CAST(conv_id AS VARCHAR) AS source, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id"
+
+
+@R.add("h1_chunk_paragraphs", f"WITH {_chunk_sql(_THREADS)}")
 def h1b(spark, sf):
     return rt.ingest(_threads(spark, sf))
 
@@ -139,12 +172,15 @@ def h7(spark, sf):
     return b.select("name", "standard", "rank", "id", "source", r6(F.col("score")).alias("score"), "cite", "found")
 
 
-@R.add("h8_tfidf_rank", f"""WITH {_POST}, {_QT}, pf AS (SELECT p.id, term, tf / dl AS tf FROM p JOIN dl ON dl.id = p.id), ql AS (SELECT query_id, sum(qtf) AS l FROM q GROUP BY 1),
+_TFIDF = """pf AS (SELECT p.id, term, tf / dl AS tf FROM p JOIN dl ON dl.id = p.id), ql AS (SELECT query_id, sum(qtf) AS l FROM q GROUP BY 1),
 qi AS (SELECT query_id, term, qtf / l AS qf, ln((n + 2) / (coalesce(df, 0) + 2.0)) + 1 AS w FROM q JOIN ql USING (query_id) LEFT JOIN idf USING (term), tot),
 qn AS (SELECT query_id, sqrt(sum(qf * qf * w * w)) AS qn FROM qi GROUP BY 1),
 b AS (SELECT id, term, tf, ln((n + 2) / (df + 1.0)) + 1 AS w0 FROM pf JOIN idf USING (term), tot), n0 AS (SELECT id, sum(tf * tf * w0 * w0) AS nn FROM b GROUP BY 1),
 s AS (SELECT query_id, id, sum(qf * tf * w * w) AS dot, sum(tf * tf * (w * w - w0 * w0)) AS fix FROM qi JOIN b USING (term) GROUP BY 1, 2),
-z AS (SELECT query_id, s.id, dot / (qn * sqrt(nn + fix)) AS score FROM s JOIN n0 ON n0.id = s.id JOIN qn USING (query_id)),
+z AS (SELECT query_id, s.id, dot / (qn * sqrt(nn + fix)) AS score FROM s JOIN n0 ON n0.id = s.id JOIN qn USING (query_id))"""
+
+
+@R.add("h8_tfidf_rank", f"""WITH {_POST}, {_QT}, {_TFIDF},
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM z) SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
 def h8(spark, sf):
     return rt.tfidf_rank(_docs(spark, sf), _queries(spark, sf), 10).withColumn("score", r6(F.col("score")))
@@ -156,9 +192,14 @@ def h9(spark, sf):
 
 
 # the source of the best TF-IDF document is the expected one, BM25 is judged against it
-@R.add("h10_retrieval_eval")
+@R.add("h10_retrieval_eval", f"""WITH {_BM}, {_TFIDF},
+e AS (SELECT query_id, source FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM z) JOIN documents ON doc_id = id WHERE rank = 1),
+t AS (SELECT query_id, rank, source FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) AS rank FROM bm) JOIN documents ON doc_id = id WHERE rank <= 5),
+h AS (SELECT e.query_id, min(t.rank) AS r FROM e LEFT JOIN t ON t.query_id = e.query_id AND t.source = e.source GROUP BY 1)
+SELECT count(*) AS questions, round(avg(CASE WHEN r IS NULL THEN 0.0 ELSE 1.0 END), 6) AS hit_rate, round(avg(coalesce(1.0 / r, 0.0)), 6) AS mrr FROM h""")
 def h10(spark, sf):
     d, q = _docs(spark, sf), _queries(spark, sf)
     src = d.select("id", "source")
     expected = rt.tfidf_rank(d, q, 1).join(src, "id").select("query_id", "source")
-    return rt.retrieval_eval(rt.bm25_search(d, q, 5).join(src, "id"), expected)
+    found = rt.retrieval_eval(rt.bm25_search(d, q, 5).join(src, "id"), expected)
+    return found.withColumns({c: r6(F.col(c)) for c in ("hit_rate", "mrr")})

@@ -42,10 +42,8 @@ def a3(spark, sf):
 def a4(spark, sf):
     path = _folder(spark, "lists")
     for name, df in (("segments", table(spark, sf, "customer").select("c_mktsegment")), ("names", table(spark, sf, "part").select("p_name"))):
-        df.distinct().coalesce(1).write.text(f"{path}/{name}")
-    fs = [(n, spark.read.text(f"{path}/{n}")) for n in ("segments", "names")]
-    both = fs[0][1].select(F.lit("segments").alias("list_name"), "value").unionByName(fs[1][1].select(F.lit("names").alias("list_name"), "value"))
-    return readers.normalized_lists(both)
+        df.distinct().write.text(f"{path}/{name}.csv")
+    return readers.load_reference_lists(spark, path)
 
 
 @R.add("a8_schema_inventory", """SELECT 'c_' || c_custkey AS source, 't_' || c_nationkey AS "table", u."column", u.data_type FROM customer, LATERAL (VALUES ('id', 'INTEGER'), ('amount', 'DECIMAL'), ('seen at', 'x')) u("column", data_type) WHERE u."column" <> 'seen at'

@@ -194,6 +194,19 @@ def _short(df):
     return df.select("route", "severity", "field_name", "issue_type")
 
 
+# an order is a record, its lines are locations; a few coordinates and weights are missing
+@R.add("g1_nested_required", """WITH x AS (SELECT l_orderkey AS route, bool_or(l_linenumber = 3) AS a, bool_or(l_quantity > 45) AS b FROM lineitem GROUP BY 1)
+SELECT route, 'error' AS severity, 'locations.coords' AS field_name, 'missing_field' AS issue_type FROM x WHERE a
+UNION ALL SELECT route, 'error', 'locations.weight_demand', 'missing_field' FROM x WHERE b UNION ALL SELECT route, 'error', 'locations.owner', 'missing_field' FROM x""")
+def g1b(spark, sf):
+    r = _routes(spark, sf)
+    gone = F.transform("locations", lambda x: x.withField("coords", F.when(~x["id"].startswith("3-"), x["coords"]))
+                       .withField("weight_demand", F.when(x["weight_demand"] <= 45, x["weight_demand"])))
+    fields = [FieldSchema(f"locations.{c}", required=True) for c in ("id", "Coords", "weight_demand", "owner")]
+    found = validate.validate_structural(r.withColumn("locations", gone), fields, ["route"])
+    return _short(found.withColumn("field_name", F.lower("field_name")))
+
+
 @R.add("g8_check_bounds", f"""WITH {_LOC} SELECT route, 'warning' AS severity, 'locations.' || id || '.coords' AS field_name, 'out_of_bounds' AS issue_type, 'lat' AS axis FROM lc WHERE lat < 4.47 OR lat > 4.83
  UNION ALL SELECT route, 'warning', 'locations.' || id || '.coords', 'out_of_bounds', 'lng' FROM lc WHERE lng < -74.25 OR lng > -74.0""")
 def g8(spark, sf):
@@ -300,3 +313,31 @@ def g14b(spark, sf):
     d = memory.decide(_issues(spark, sf), memory.correction_memory(corrections(spark, sf)))
     d = d.withColumn("field_name", F.lit("props"))
     return memory.apply_corrections(table(spark, sf, "events"), d, ["event_id"], ["props"]).select("event_id", "props", "corrected")
+
+
+# the memory knows nothing about one kind of error
+_ASKED = f"""{_MEM}, asked AS (SELECT event_id, event_type AS issue_type, 'f' || (user_id % 40) AS field_name, i.ts FROM events i
+ LEFT JOIN m2 ON m2.error_type = event_type AND event_type <> 'view' AND m2.field_name = 'f' || (user_id % 40)
+ WHERE value > 20 AND value <= 100 AND NOT coalesce(auto_rule, false) AND NOT coalesce(skip, false))"""
+
+
+def _asked(spark, sf):
+    known = memory.correction_memory(corrections(spark, sf).filter("error_type <> 'view'"))
+    return memory.questions(memory.decide(_issues(spark, sf), known), ["event_id"])
+
+
+@R.add("g14_questions", f"WITH {_ASKED} SELECT event_id, field_name, issue_type, CAST(NULL AS VARCHAR) AS suggested_value FROM asked")
+def g14c(spark, sf):
+    return _asked(spark, sf)
+
+
+# a third of the questions is answered with yes, a third with no, the rest stays open
+@R.add("g14_answers_round_trip", f"""WITH {_ASKED}, a AS (SELECT field_name, 'fix ' || event_id AS corrected_value, event_id % 3 = 0 AS accepted, ts, event_id FROM asked WHERE event_id % 3 < 2),
+n AS (SELECT field_name, arg_min(corrected_value, (ts, event_id)) AS corrected_value, count(*) AS count, arg_max(accepted, (ts, event_id)) AS accepted FROM a GROUP BY 1)
+SELECT substring(sha256('warning|' || field_name || '|'), 1, 16) AS signature, 'warning' AS error_type, field_name, corrected_value, count, accepted, accepted AND count >= 5 AS auto_rule, NOT accepted AS skip FROM n""")
+def g14d(spark, sf):
+    k = F.col("event_id") % 3
+    said = _asked(spark, sf).join(table(spark, sf, "events").select("event_id", "ts"), "event_id").select(
+        "field_name", F.when(k == 0, "Si").when(k == 1, "no").alias("answer"), F.lit("").alias("context"),
+        F.concat(F.lit("fix "), F.col("event_id").cast("string")).alias("corrected_value"), F.struct("ts", "event_id").alias("ts"))
+    return memory.correction_memory(memory.answers_to_events(said))

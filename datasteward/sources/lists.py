@@ -12,8 +12,8 @@ LISTS = {
                          "La Unión", "Morazán", "Cabañas", "Cuscatlán", "Chalatenango", "San Vicente", "La Paz"],
     "dias_semana_es": ["lunes", "martes", "miercoles", "jueves", "viernes", "sabado", "domingo"],
     "estado_civil": ["Soltero", "Soltera", "Casado", "Casada", "Divorciado", "Divorciada", "Viudo", "Viuda",
-                     "Union Libre", "Separado", "Separada"],
-    "genero_binario": ["M", "F", "Masculino", "Femenino", "H", "Mujer", "Hombre"],
+                     "Union Libre", "Union libre", "Separado", "Separada"],
+    "genero_binario": ["M", "F", "Masculino", "Femenino", "masculino", "femenino", "H", "Mujer", "Hombre"],
     "meses_es": ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre",
                  "noviembre", "diciembre"],
     "nivel_educativo": ["Sin Educacion", "Primaria", "Secundaria", "Bachillerato", "Tecnico", "Tecnico Superior",

@@ -50,12 +50,21 @@ def load_catalog(spark: SparkSession, path: str, standard_id: str) -> DataFrame:
 
 
 def load_reference_lists(spark: SparkSession, path: str) -> DataFrame:
-    """(list_name, value_norm): one list per file of a folder, one value per line."""
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
-    t = spark.read.text(path, pathGlobFilter="*.csv").select(name.alias("list_name"), F.split("value", ",")[0].alias("v"))
+    """(list_name, value_norm): one list per CSV file (or folder of parts) below a folder, one value per line."""
+    t = spark.read.text(path, pathGlobFilter="{*.csv,part-*}", recursiveFileLookup=True)
+    t = t.filter(F.col("_metadata.file_path").rlike(r"\.csv(/part-[^/]*)?$"))
+    t = t.select(_name_of_file().alias("list_name"), F.split("value", ",")[0].alias("v"))
     return normalized_lists(t.select("list_name", F.regexp_replace("v", '^"|"$', "").alias("value")))
 
 
+def _name_of_file() -> Column:
+    """The name of a file without its extension; of its folder if it is a part of a table that a job wrote."""
+    file = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+?)(\.[^/.]*)?/part-[^/]*$", 1)
+    name = F.when(folder != "", folder).otherwise(file)
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))  # Spark gives paths with blanks and accents encoded
+
+
 def normalized_lists(values: DataFrame) -> DataFrame:
     """Normalise (list_name, value) and drop blanks and repeats."""
     return (values.select("list_name", tx.normalize_text(F.col("value")).alias("value_norm"))
@@ -64,8 +73,8 @@ def normalized_lists(values: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(source, text) of whole text files, source = file name without extension."""
-    t = spark.read.text(path, wholetext=True)
-    return documents_of(t, F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1), F.col("value"))
+    t = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    return documents_of(t, _name_of_file(), F.col("value"))
 
 
 def documents_of(df: DataFrame, source: Column, text: Column) -> DataFrame:

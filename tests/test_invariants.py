@@ -111,6 +111,30 @@ def test_communities_stay_inside_components(spark):
     assert len(lines) == 12 and all(r["line"].startswith("- [concept]") for r in lines)
 
 
+def _modularity(pairs, community):
+    links = {frozenset(p) for p in pairs if p[0] != p[1]}
+    degree, m = {}, len(links)
+    for a, b in (tuple(x) for x in links):
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    inside = sum(len({community[x] for x in p}) == 1 for p in links) / m
+    return inside - sum((sum(d for x, d in degree.items() if community[x] == c) / (2 * m)) ** 2 for c in set(community.values()))
+
+
+def test_communities_have_high_modularity(spark):
+    rng = random.Random(8)
+    block = {f"n{i:02d}": i // 12 for i in range(48)}
+    pairs = [(a, b) for a in block for b in block if a < b and rng.random() < (0.6 if block[a] == block[b] else 0.03)]
+    nodes, edges = _edges(spark, pairs)
+    got = {r["id"]: r["community"] for r in health.communities(nodes, edges).collect()}
+    assert _modularity(pairs, got) >= _modularity(pairs, {x: str(block[x]) for x in got}) - 0.02
+    assert all(c == min(x for x in got if got[x] == c) for c in set(got.values()))
+    fine = {r["community"] for r in health.communities(nodes, edges, resolution=6.0).collect()}
+    assert len(fine) > len(set(got.values()))
+    star = [("hub", f"x{i}") for i in range(30)]
+    assert {r["community"] for r in health.communities(*_edges(spark, star)).collect()} == {"hub"}
+    assert health.communities(*_edges(spark, [("a", "a")])).count() == 0
+
+
 def test_vector_search(spark, monkeypatch):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(200, 8))
@@ -176,9 +200,11 @@ def test_version_numbers(spark):
     kinds = [rng.choice(["major", "minor", "patch", "patch"]) for _ in range(200)]
     rows = [("k", f"2024-01-{1 + i // 9:02d} 00:00:00", i, k) for i, k in enumerate(kinds)]
     df = spark.createDataFrame(rows, "catalog string, ts string, seq int, kind string").withColumn("ts", F.to_timestamp("ts"))
-    got = {r["seq"]: r["to_version"] for r in lifecycle.version_history(df, (1, 2, 3)).collect()}
+    rows = lifecycle.version_history(df, (1, 2, 3)).collect()
+    got, came = {r["seq"]: r["to_version"] for r in rows}, {r["seq"]: r["from_version"] for r in rows}
     v = [1, 2, 3]
     for i, k in enumerate(kinds):
+        assert came[i] == ".".join(map(str, v))
         v = [v[0] + 1, 0, 0] if k == "major" else [v[0], v[1] + 1, 0] if k == "minor" else [v[0], v[1], v[2] + 1]
         assert got[i] == ".".join(map(str, v))
 

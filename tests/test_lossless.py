@@ -4,7 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from datasteward.operators import cells, feasibility, profile, validate
+from datasteward.operators import cells, feasibility, harmonize, profile, validate
+from datasteward.sources import readers
 from datasteward.streaming import streams
 
 
@@ -46,3 +47,42 @@ def test_word_sets_that_hold_each_other(spark):
     want = {(n, c) for n, a in vw for c, b in fw if set(a) <= set(b) or set(b) <= set(a)}
     assert {tuple(r) for r in got.collect()} == want
     assert got.agg(F.count("*")).first()[0] == len(want)
+
+
+def test_means_do_not_hang_on_the_order(spark):
+    values = [round(0.0499185 + k * 1e-8, 8) for k in range(-400, 401)] * 3
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    means = {profile.distribution_summary(cells.cells(df.repartition(n), "t")).first()["mean"] for n in (1, 3, 7)}
+    assert means == {0.0499185}
+    huge = spark.createDataFrame([(1e36,), (3e36,)], "x double")
+    assert profile.distribution_summary(cells.cells(huge, "t")).first()["mean"] == 2e36
+
+
+def test_files_and_folders_of_parts(spark, tmp_path):
+    (tmp_path / "days.csv").write_text('"Monday",1\nTuesday\n')
+    (tmp_path / "notes.txt").write_text("x")
+    spark.createDataFrame([("Red",), ("Blue",)], "v string").write.text(str(tmp_path / "colours.csv"))
+    got = {tuple(r) for r in readers.load_reference_lists(spark, str(tmp_path)).collect()}
+    assert got == {("days", "monday"), ("days", "tuesday"), ("colours", "red"), ("colours", "blue")}
+    docs = tmp_path / "v1.2"
+    docs.mkdir()
+    (docs / "norm a.md").write_text("one\ntwo")
+    assert [tuple(r) for r in readers.read_documents(spark, str(docs)).collect()] == [("norm a", "one\ntwo")]
+
+
+def test_dotted_names(spark):
+    kind = "id int, locations array<struct<id:string,at:struct<lat:double>>>"
+    rows = [(1, [("p", (1.0,)), ("q", (2.0,))]), (2, [("p", (1.0,)), (None, (2.0,))]), (3, [("p", None)]), (4, None), (5, [])]
+    fields = [validate.FieldSchema(n, required=True) for n in ("locations.id", "locations.at.lat", "depot.id")]
+    got = {(r["id"], r["field_name"]) for r in validate.validate_structural(spark.createDataFrame(rows, kind), fields, ["id"]).collect()}
+    assert got == {(2, "locations.id"), (3, "locations.at.lat"), (4, "locations.id"), (4, "locations.at.lat")} | {(k, "depot.id") for k in range(1, 6)}
+
+
+def test_case_text_without_codes(spark):
+    df = spark.createDataFrame([("a",)], "v string")
+    none = spark.createDataFrame([], "code string, label string, ord int")
+    assert [r["line"] for r in harmonize.case_text_lines(df, "v", none, "X", "x").collect()] == ["-- X has no codes"]
+    codes = spark.createDataFrame([("A", "it's", 1)], "code string, label string, ord int")
+    lines = [r["line"] for r in harmonize.case_text_lines(df, "v", codes, "X", "x").orderBy("part").collect()]
+    assert lines == ["-- v to X (x), 1 codes\nCASE", "    WHEN \"v\" IN ('A', 'a') THEN 'A'  -- it's",
+                     "    ELSE NULL  -- to be reviewed\nEND AS \"v_canonico\""]
