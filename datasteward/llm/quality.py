@@ -17,10 +17,10 @@ WINDOW = 8
 SIGNALS = "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_lines:long,n_repeat_words:long>"
 #: metric: (numerator, denominator, least spread, whether low values are rejected too). A spread below the least counts as
 #: the least, so that a group of equal documents does not reject the first that differs.
-METRICS = {"symbols_per_word": ("n_symbols", "n_words", 0.02, False),
+METRICS = {"symbols_per_word": ("n_symbols", "n_words", 0.04, False),
            "repeat_share": ("n_repeat_words", "n_words", 0.04, False),
            "dup_line_share": ("n_dup_lines", "n_lines", 0.07, False),
-           "word_length": ("word_chars", "n_words", 0.4, True)}
+           "word_length": ("word_chars", "n_words", 0.8, True)}
 
 
 def repeated_words(words: list[bytes], n: int = WINDOW) -> int:
@@ -82,9 +82,10 @@ def quantile_sketches(signal_rows: DataFrame, error: float = 0.01) -> DataFrame:
             .groupBy("lang", "source", "metric", "cell").agg(F.count(F.lit(1)).alias("n")))
 
 
-def thresholds(sketches: DataFrame, error: float = 0.01, reach: float = 8.0, least_docs: int = 200) -> DataFrame:
+def thresholds(sketches: DataFrame, error: float = 0.01, reach: float = 4.0, least_docs: int = 200) -> DataFrame:
     """(lang, source, metric, low, high): the median of the group minus and plus ``reach`` times its distance to the
-    quartile on that side. A group of fewer than ``least_docs`` documents takes the merged sketch of its language, and a
+    quartile on that side, which counts as twice the distance on the other side at most: junk that fills a quarter of a
+    group moves the quartile on its own side only, and does not widen the fence by it. A group of fewer than ``least_docs`` documents takes the merged sketch of its language, and a
     language with fewer that of all documents."""
     scale = (1 + error) / (1 - error)
     tops = sketches.groupBy("metric", "cell").agg(F.sum("n").alias("n")).select(
@@ -105,9 +106,10 @@ def thresholds(sketches: DataFrame, error: float = 0.01, reach: float = 8.0, lea
         F.max("all").alias("docs"), at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
     spread = F.create_map(*[x for m, v in METRICS.items() for x in (F.lit(m), F.lit(v[2]))])[F.col("metric")]
     two_sided = F.col("metric").isin([m for m, v in METRICS.items() if v[3]])
+    below, above = F.col("q2") - F.col("q1"), F.col("q3") - F.col("q2")
     marks = marks.select("level", "lang", "source", "metric", "docs",
-                         F.when(two_sided, F.col("q2") - reach * F.greatest(F.col("q2") - F.col("q1"), spread)).alias("low"),
-                         (F.col("q2") + reach * F.greatest(F.col("q3") - F.col("q2"), spread)).alias("high"))
+                         F.when(two_sided, F.col("q2") - reach * F.greatest(F.least(below, 2 * above), spread)).alias("low"),
+                         (F.col("q2") + reach * F.greatest(F.least(above, 2 * below), spread)).alias("high"))
     fence = F.struct("docs", "low", "high")
     own = marks.filter("level = 0").select("lang", "source", "metric", fence.alias("f0")).alias("a")
     lang = marks.filter("level = 1").select("lang", "metric", fence.alias("f1")).alias("b")

@@ -362,6 +362,29 @@ def test_sketches_merge(spark, shared):
     assert got["high"] == pytest.approx(q[2], rel=0.03) and got["low"] == pytest.approx(q[0], rel=0.03)
 
 
+SIGNAL_ROWS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
+
+
+def kept_of(spark, rows):
+    """{doc_id: kept} for (doc_id, lang, source, symbols, repeated, duplicate lines[, characters]) of 100 words, 20 lines."""
+    df = spark.createDataFrame([(i, lang, s, 100, *(n or [500 + i % 40]), y, d, 20, r) for i, lang, s, y, r, d, *n in rows], SIGNAL_ROWS)
+    return {r["doc_id"]: r["kept"] for r in quality.judged(df, quality.thresholds(quality.quantile_sketches(df))).collect()}
+
+
+def test_every_metric_rejects(spark, shared):
+    """Planted documents go by one metric each, also where three in ten documents of the source are junk."""
+    for junk in (0, 120):
+        rows = [(i, "en", "s", i % 3, 0, 0) for i in range(280)] + [(1000 + i, "en", "s", 50, 25, 14) for i in range(junk)]
+        planted = [(2001, "en", "s", 60, 0, 0), (2002, "en", "s", 0, 25, 0), (2003, "en", "s", 0, 0, 12), (2004, "en", "s", 0, 0, 0),
+                   (2005, "en", "s", 0, 0, 0, 980), (2006, "en", "s", 0, 0, 0, 110)]
+        got = kept_of(spark, rows + planted)
+        assert not any(got[i] for i in (2001, 2002, 2003, 2005, 2006)) and got[2004]
+        assert all(got[i] for i in range(280)) and not any(got[1000 + i] for i in range(junk))
+    high = {r["metric"]: r["high"] for r in quality.thresholds(quality.quantile_sketches(spark.createDataFrame(
+        [(i, "en", "s", 100, 500, 0, 0, 20, 0) for i in range(300)], SIGNAL_ROWS))).collect()}
+    assert high["repeat_share"] < 0.3 and high["dup_line_share"] < 1 and high["word_length"] < 10
+
+
 # --- 9 personal data ----------------------------------------------------------------------------
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
