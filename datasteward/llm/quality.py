@@ -82,11 +82,12 @@ def quantile_sketches(signal_rows: DataFrame, error: float = 0.01) -> DataFrame:
             .groupBy("lang", "source", "metric", "cell").agg(F.count(F.lit(1)).alias("n")))
 
 
-def thresholds(sketches: DataFrame, error: float = 0.01, reach: float = 4.0, least_docs: int = 200) -> DataFrame:
+def thresholds(sketches: DataFrame, error: float = 0.01, reach: float = 4.0, least_docs: float = 1.0) -> DataFrame:
     """(lang, source, metric, low, high): the median of the group minus and plus ``reach`` times its distance to the
     quartile on that side, which counts as twice the distance on the other side at most: junk that fills a quarter of a
-    group moves the quartile on its own side only, and does not widen the fence by it. A group of fewer than ``least_docs`` documents takes the merged sketch of its language, and a
-    language with fewer that of all documents."""
+    group moves the quartile on its own side only, and does not widen the fence by it. The median and quartiles of a group
+    of n documents are blended with those of its language by weights n and ``least_docs``, and those of a language with
+    those of all documents in the same way, so no size switches from one fence to another."""
     scale = (1 + error) / (1 - error)
     tops = sketches.groupBy("metric", "cell").agg(F.sum("n").alias("n")).select(
         F.lit(2).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"),
@@ -104,20 +105,24 @@ def thresholds(sketches: DataFrame, error: float = 0.01, reach: float = 4.0, lea
         return F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col("value")))
     marks = ranked.groupBy("level", "lang", "source", "metric").agg(
         F.max("all").alias("docs"), at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
+    own = marks.filter("level = 0").alias("a")
+    lang = marks.filter("level = 1").alias("b")
+    top = marks.filter("level = 2").alias("c")
+
+    def blended(q):
+        def part(side, parent):
+            n = F.col(f"{side}.docs")
+            return (n * F.col(f"{side}.{q}") + least_docs * parent) / (n + least_docs)
+        return part("a", part("b", F.col(f"c.{q}"))).alias(q)
+    marks = (own.join(lang, F.col("a.lang").eqNullSafe(F.col("b.lang")) & (F.col("a.metric") == F.col("b.metric")))
+             .join(top, F.col("a.metric") == F.col("c.metric"))
+             .select("a.lang", "a.source", "a.metric", *[blended(q) for q in ("q1", "q2", "q3")]))
     spread = F.create_map(*[x for m, v in METRICS.items() for x in (F.lit(m), F.lit(v[2]))])[F.col("metric")]
     two_sided = F.col("metric").isin([m for m, v in METRICS.items() if v[3]])
     below, above = F.col("q2") - F.col("q1"), F.col("q3") - F.col("q2")
-    marks = marks.select("level", "lang", "source", "metric", "docs",
-                         F.when(two_sided, F.col("q2") - reach * F.greatest(F.least(below, 2 * above), spread)).alias("low"),
-                         (F.col("q2") + reach * F.greatest(F.least(above, 2 * below), spread)).alias("high"))
-    fence = F.struct("docs", "low", "high")
-    own = marks.filter("level = 0").select("lang", "source", "metric", fence.alias("f0")).alias("a")
-    lang = marks.filter("level = 1").select("lang", "metric", fence.alias("f1")).alias("b")
-    top = marks.filter("level = 2").select("metric", fence.alias("f2")).alias("c")
-    best = F.when(F.col("f0.docs") >= least_docs, F.col("f0")).when(F.col("f1.docs") >= least_docs, F.col("f1")).otherwise(F.col("f2"))
-    return (own.join(lang, F.col("a.lang").eqNullSafe(F.col("b.lang")) & (F.col("a.metric") == F.col("b.metric")))
-            .join(top, F.col("a.metric") == F.col("c.metric"))
-            .select("a.lang", "a.source", "a.metric", best.alias("f")).select("lang", "source", "metric", "f.low", "f.high"))
+    return marks.select("lang", "source", "metric",
+                        F.when(two_sided, F.col("q2") - reach * F.greatest(F.least(below, 2 * above), spread)).alias("low"),
+                        (F.col("q2") + reach * F.greatest(F.least(above, 2 * below), spread)).alias("high"))
 
 
 def judged(signal_rows: DataFrame, fences: DataFrame) -> DataFrame:

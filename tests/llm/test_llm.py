@@ -385,6 +385,16 @@ def test_every_metric_rejects(spark, shared):
     assert high["repeat_share"] < 0.3 and high["dup_line_share"] < 1 and high["word_length"] < 10
 
 
+def test_quality_alike_at_every_size(spark, shared):
+    """A source of code in a language of prose is judged alike whatever its number of documents."""
+    prose = [(i, "en", "s", i % 3, 0, 0) for i in range(1000)]
+    for n in (4, 20, 199, 200, 201):
+        got = kept_of(spark, prose + [(2000 + i, "en", "code", 45 + i % 10, 0, 0) for i in range(n)] + [(9999, "en", "code", 290, 0, 0)])
+        assert all(got[2000 + i] for i in range(n)) and not got[9999]
+    alone = kept_of(spark, prose + [(2000, "en", "one", 290, 0, 0), (2001, "fr", "two", 290, 0, 0)])
+    assert not alone[2000] and not alone[2001] and all(alone[i] for i in range(1000))
+
+
 # --- 9 personal data ----------------------------------------------------------------------------
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
