@@ -135,6 +135,17 @@ def test_communities_have_high_modularity(spark):
     assert health.communities(*_edges(spark, [("a", "a")])).count() == 0
 
 
+def test_communities_of_many_small_parts(spark):
+    """A late chain is settled however large the rest of the graph is: no move of one node gains in the end."""
+    rest = [(f"p{i:05d}", f"q{i:05d}") for i in range(12000)]
+    chain = [(f"a{i:02d}", f"a{i + 1:02d}") for i in range(12)]
+    pairs = rest + chain
+    found = {r["id"]: r["community"] for r in health.communities(*_edges(spark, pairs)).collect()}
+    assert all(found[a] == found[b] == a for a, b in rest)
+    # a pair of this graph has so small a share of the edges that every link of the chain is worth joining
+    assert {found[x] for p in chain for x in p} == {"a00"}
+
+
 def test_vector_search(spark, monkeypatch):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(200, 8))
