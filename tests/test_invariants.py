@@ -146,6 +146,21 @@ def test_communities_of_many_small_parts(spark):
     assert {found[x] for p in chain for x in p} == {"a00"}
 
 
+@pytest.mark.parametrize("one_task", [1 << 20, 60])
+def test_no_move_gains(spark, one_task):
+    """In one task, and in rounds of simultaneous moves until one task takes over."""
+    rng = random.Random(3)
+    pairs = [(f"n{a:03d}", f"n{b:03d}") for a in range(90) for b in range(a) if rng.random() < (0.5 if a // 9 == b // 9 else 0.01)]
+    found = {r["id"]: r["community"] for r in health.communities(*_edges(spark, pairs), one_task=one_task).collect()}
+    assert all(c == min(x for x in found if found[x] == c) for c in set(found.values()))
+    assert _modularity(pairs, found) >= _modularity(pairs, {x: str(int(x[1:]) // 9) for x in found}) - 0.03
+    if one_task > 60:  # the first level's nodes may gain again once communities have merged, single moves see to that
+        now = _modularity(pairs, found)
+        for x in found:
+            for c in {found[y] for p in pairs if x in p for y in p}:
+                assert _modularity(pairs, {**found, x: c}) <= now + 1e-12
+
+
 def test_vector_search(spark, monkeypatch):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(200, 8))
