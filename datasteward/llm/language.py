@@ -6,7 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CELLS = 2048  # hashed cells each for pairs and triples of bytes
@@ -69,29 +69,52 @@ def train_svm(x: np.ndarray, sign: np.ndarray, cost: float = 4.0, epochs: int =
     return w
 
 
-def _sample(docs: DataFrame, most_rows: int) -> tuple[list[str], np.ndarray]:
-    """Labels and features of at most about ``most_rows`` documents, spread evenly over the languages."""
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return [], np.empty((0, 2 * CELLS))
-    each = max(1, most_rows // len(counts))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000))
-    share = F.create_map(*[v for k, n in sorted(counts.items()) for v in (F.lit(k), F.lit(int(1e6 * each / n)))])[F.col("lang")]
-
+def _smallest(each: int):
+    """(lang, hash): the ``each`` smallest different hashes of every language among the rows of a task."""
     def run(batches):
+        held: dict[str, np.ndarray] = {}
         for batch in batches:
-            rows = [(lang, features(t)) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                    if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()),
-                                              pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["lang", "vector"])
-    found = docs.filter(draw < share).select("lang", "text").mapInArrow(run, "lang string, vector binary").collect()
+            names = batch.column(0).dictionary_encode()
+            codes, hashes = names.indices.to_numpy(), batch.column(1).to_numpy()
+            for code, lang in enumerate(names.dictionary.to_pylist()):
+                own = hashes[codes == code]
+                held[lang] = np.unique(np.concatenate([held[lang], own]) if lang in held else own)[:each]
+        for lang, own in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own)], names=["lang", "hash"])
+    return run
+
+
+def _vectors(batches):
+    for batch in batches:
+        rows = [(lang, features(t)) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if has_letter(t)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()),
+                                          pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["lang", "vector"])
+
+
+def _sample(docs: DataFrame, most_rows: int, most_langs: int) -> tuple[list[str], np.ndarray]:
+    """Labels and features of at most ``most_rows`` different texts, equally many of each of the ``most_langs`` most frequent
+    languages: those with the smallest hashes, so ids play no part, and a copied text counts once."""
+    docs = docs.filter("lang is not null").filter(F.col("text").rlike(r"\p{L}"))
+    langs = [r["lang"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()]
+    if not langs:
+        return [], np.empty((0, 2 * CELLS))
+    each = max(1, most_rows // len(langs))
+    rows = docs.filter(F.col("lang").isin(langs)).select("lang", F.xxhash64("text", F.lit(17)).alias("hash"), "text")
+    order = Window.partitionBy("lang").orderBy("hash")
+    chosen = (rows.select("lang", "hash").mapInArrow(_smallest(each), "lang string, hash long").distinct()
+              .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= each).select("lang", "hash").collect())
+    chosen = docs.sparkSession.createDataFrame(chosen, "lang string, hash long")
+    found = (rows.join(F.broadcast(chosen), ["lang", "hash"]).groupBy("lang", "hash").agg(F.min("text").alias("text"))
+             .select("lang", "text").mapInArrow(_vectors, "lang string, vector binary").collect())
     found.sort(key=lambda r: (r["lang"], bytes(r["vector"])))
     return [r["lang"] for r in found], np.array([np.frombuffer(r["vector"], np.float32) for r in found]).reshape(len(found), -1)
 
 
-def train(docs: DataFrame, most_rows: int = 2400) -> dict:
-    """A model from (doc_id, text, lang) rows with non-null lang. ``most_rows`` bounds the sample that is fitted on."""
-    labels, x = _sample(docs, most_rows)
+def train(docs: DataFrame, most_rows: int = 2400, most_langs: int = 200) -> dict:
+    """A model from (text, lang) rows. ``most_rows`` bounds the sample that is fitted on, ``most_langs`` the languages that
+    are learned, the most frequent ones (ties by name). Rows with null lang, or whose text is null or has no letter, teach
+    nothing; without any other row the model knows no language. Extra columns are ignored."""
+    labels, x = _sample(docs, most_rows, most_langs)
     langs = sorted(set(labels))
     if not langs:
         return {"langs": []}
@@ -151,11 +174,11 @@ def identify(text, model: dict, spark) -> F.Column:
     return F.arrow_udf(run, "struct<lang:string,score:double>")(text)
 
 
-def language_id(docs: DataFrame, most_rows: int = 2400) -> DataFrame:
+def language_id(docs: DataFrame, most_rows: int = 2400, most_langs: int = 200) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row. Documents whose crc32(doc_id) leaves 2 modulo 4 are held out of
-    training, and so are null langs; the text alone decides a prediction. Repeated rows get equal predictions; without any
+    training, and so are null langs; a null doc_id is not held out. The text alone decides a prediction. Repeated rows get equal predictions; without any
     labelled text all are ``und``. Extra columns are ignored."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    model = train(docs.filter(~held & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), most_rows)
+    model = train(docs.filter(~held & F.col("lang").isNotNull()).select("text", "lang"), most_rows, most_langs)
     return (docs.select("doc_id", held.alias("held_out"), identify(F.col("text"), model, docs.sparkSession).alias("p"))
             .select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score")))

@@ -65,8 +65,8 @@ def _sketches(words: int, bands: int, rows: int, seed: int):
                     keys.append(None)
                     marks.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "node", "n_shingles", "bands"])
+                [batch.column(0), batch.column(2), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()),
+                 pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "digest", "node", "n_shingles", "bands"])
             del batch, keys, sizes, marks
             pa.default_memory_pool().release_unused()
     return run
@@ -160,9 +160,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null or empty texts and texts without words have the empty set, link with nothing and are kept. Rows with a null
     id take no part (component_id null, kept). Repeated rows get the same result each. Rows with one id and different
     texts are separate documents with the same id. Extra columns of ``docs`` are ignored."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = _labelled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words, percent, bands, rows, seed)
+    return (found.select("doc_id", "n_shingles",
+                         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def _labelled(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 48, rows: int = 6, seed: int = 11) -> DataFrame:
+    """(node, doc_id, digest, n_shingles, comp, component_id) of the rows (doc_id, text): digest is a hash of the text, comp
+    the component of its set; both labels are null for empty sets and null ids."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
     sketch = write_table(docs.mapInArrow(_sketches(words, bands, rows, seed),
-                                         "doc_id long, node long, n_shingles long, bands array<long>"))
+                                         "doc_id long, digest long, node long, n_shingles long, bands array<long>"))
     classes = write_table(sketch.filter("node is not null and doc_id is not null").groupBy("node")
                           .agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
     marks = classes.select("node", F.explode("bands").alias("mark"))
@@ -188,21 +197,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = classes.select("node", "doc_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    label = named.join(first, "comp").select("node", "component_id")
-    return (sketch.select("doc_id", "n_shingles", "node").join(label, "node", "left")
-            .select("doc_id", "n_shingles",
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    label = named.join(first, "comp").select("node", "comp", "component_id")
+    return sketch.select("doc_id", "digest", "n_shingles", "node").join(label, "node", "left")
 
 
 def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps: one document of every group, all columns unchanged.
-
-    Of repeated rows with the kept id, one stays; rows with a null id all stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), **params)
-    kept = write_table(found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    single, several = kept.filter("n = 1").select("doc_id"), kept.filter("n > 1").select("doc_id")
-    out = docs.join(single, "doc_id", "left_semi").unionAll(docs.filter("doc_id is null"))
+    """The rows of ``docs`` with one document of every group, all columns unchanged: the one with the smallest id, and of
+    texts that share this id the one with the smallest hash.
+
+    Of rows equal in id and text one stays. Rows with a null id all stay, and so does every text without words. Texts of
+    different groups stay even where they share an id."""
+    found = _labelled(docs.select("doc_id", "text"), **params).filter("doc_id is not null")
+    chosen = (found.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "digest")).alias("m"))
+              .select("m.doc_id", "m.digest").unionAll(found.filter("comp is null").select("doc_id", "digest")))
+    kept = write_table(found.join(chosen.distinct(), ["doc_id", "digest"], "left_semi").groupBy("doc_id", "digest")
+                       .agg(F.count(F.lit(1)).alias("n"))).toDF("id_", "digest_", "n_")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest"))
+    same = (F.col("id") == F.col("id_")) & (F.col("digest") == F.col("digest_"))
+    out = keyed.join(kept.filter("n_ = 1"), same, "left_semi").unionAll(keyed.filter("id is null"))
+    several = kept.filter("n_ > 1")
     if not is_empty(several):
-        out = out.unionAll(docs.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
-    return out.select(docs.columns)
+        out = out.unionAll(keyed.join(several, same, "left_semi").groupBy("id", "digest").agg(F.first("row").alias("row"))
+                           .select("row", "id", "digest"))
+    return out.select("row.*")

@@ -41,10 +41,10 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("op7_mix_sources")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
-    docs = write_table(table(spark, sf, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")))
-    return mixing.mixture(docs, F.col("words")).select(
-        "doc_id", F.col("size_").alias("size"), F.col("source_size_").alias("source_size"), F.col("target_").alias("target"),
-        (F.col("size_") * F.size("draws_")).alias("taken"), F.col("draws_.shard").alias("shards"))
+    docs = write_table(table(spark, sf, "documents").select(
+        "doc_id", "source", mixing.word_count(F.col("text")).alias("words"), F.xxhash64("text").alias("digest")))
+    return mixing.mixture(docs, F.col("words"), identity=("doc_id", "digest")).select(
+        "row.doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.col("draws.shard").alias("shards"))
 
 
 @R.add("op4_sampled_pieces")

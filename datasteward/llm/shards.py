@@ -43,8 +43,8 @@ def shard_by_bytes(docs: DataFrame, size, group, shards: int = 8, id_col: str =
     whole = placed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t"), F.coalesce(F.max("size"), F.lit(0)).alias("m")).first()
     targets = [whole["t"] * k / shards for k in range(1, shards)]
     crossed = None
-    for k, t in enumerate(targets):  # the row in which a cut falls: at most one per cut
-        at = placed.filter((F.col("start_") < t) & (F.col("start_") + F.col("size") > t)).select(
+    for k, t in enumerate(targets):  # the row in which a cut falls, or which begins there: one per cut
+        at = placed.filter((F.col("start_") <= t) & (F.col("start_") + F.col("size") > t)).select(
             F.lit(k).alias("k"), F.col("hash_").alias("h"), F.col("group_").alias("g"), "start_", "size")
         crossed = at if crossed is None else crossed.unionAll(at)
     cuts = list(targets)

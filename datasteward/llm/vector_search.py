@@ -14,14 +14,17 @@ from datasteward.llm.common import write_table
 
 BLOCK = 4096  # vectors per block of the approximation file
 QUERIES = 256  # queries per block
-LIMIT = 1 << 27  # components beyond this are cut to it, so that a score fits a long
+LIMIT = float(1 << 62)  # a whole number of this size is an error, and so is a score that does not fit a long
 
 
 def whole_numbers(vector, scale: int = 64):
-    """floor(scale * x) of every component, in double precision; null for vectors that take no part."""
-    x = F.transform(vector, lambda v: F.floor(F.least(F.greatest(v.cast("double") * scale, F.lit(-float(LIMIT))), F.lit(float(LIMIT)))).cast("int"))
+    """floor(scale * x) of every component, in double precision; null for vectors that take no part. Numbers of 2^62 or
+    more raise an error."""
+    def whole(v):
+        x = v.cast("double") * scale
+        return F.when(F.abs(x) < LIMIT, F.floor(x)).otherwise(F.raise_error(F.lit("a component is too large for a whole number")))
     bad = F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return F.when(vector.isNotNull() & ~F.coalesce(bad, F.lit(True)), x)
+    return F.when(vector.isNotNull() & ~F.coalesce(bad, F.lit(True)), F.transform(vector, whole))
 
 
 def cells_of(x: np.ndarray, bits: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -33,13 +36,30 @@ def cells_of(x: np.ndarray, bits: int = 4) -> tuple[np.ndarray, np.ndarray, np.n
     return cell.astype(np.uint8), low + step / 2, step
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """As 32-bit numbers where all fit, which halves a block."""
+    return x.astype(np.int32) if np.abs(x).max(initial=0) < 1 << 31 else x
+
+
+def _wide(data: bytes, n: int, dims: int) -> np.ndarray:
+    """The (n, dims) numbers of a block, as it was narrowed or not."""
+    return np.frombuffer(data, np.int32 if len(data) == 4 * n * dims else np.int64).reshape(n, dims).astype(np.int64)
+
+
+def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows of x with q; an error if one does not fit a long."""
+    if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, len(q)) < LIMIT:
+        return x @ q
+    return np.array([sum(a * b for a, b in zip(row, q.tolist(), strict=True)) for row in x.tolist()], np.int64)
+
+
 def _pack(batches):
     """Blocks of the approximation file: ids, exact vectors and cells of up to BLOCK vectors of one length."""
     held: dict[int, list] = {}
 
     def block(n, rows):
         ids = np.concatenate([r[0] for r in rows])
-        x = np.concatenate([r[1] for r in rows]).astype(np.int32)
+        x = _narrow(np.concatenate([r[1] for r in rows]))
         cell, middle, step = cells_of(x.astype(np.float64)) if n else (x.astype(np.uint8), np.empty(0), np.empty(0))
         return pa.RecordBatch.from_arrays(
             [pa.array([n], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()], pa.binary()),
@@ -69,6 +89,7 @@ def search_block(ids, exact, cells, grid, q_ids, q, k: int):
     """(query id, vector id, score) of the k best vectors of one block for each query, ties to smaller ids, none lost."""
     n = exact.shape[1]
     middle, step = grid[:n], grid[n:]
+    own, whole, q = exact.astype(np.int64), q.astype(np.int64), q.astype(np.float64)
     out = []
     if n == 0:
         bound = np.zeros((len(q), len(ids)))
@@ -77,8 +98,6 @@ def search_block(ids, exact, cells, grid, q_ids, q, k: int):
         # the exact score lies within half a cell in every component; the last term covers the rounding of the floats
         bound = approx + (np.abs(q) @ step / 2)[:, None]
         bound += np.abs(q).sum(axis=1)[:, None] * np.abs(exact).max(initial=0) * 1e-9 + 1e-6
-    own = exact.astype(np.int64)
-    whole = q.astype(np.int64)
     for r in range(len(q)):
         b = bound[r]
         best_s, best_i, read = np.empty(0, np.int64), np.empty(0, np.int64), 0
@@ -87,9 +106,8 @@ def search_block(ids, exact, cells, grid, q_ids, q, k: int):
             order = np.argpartition(-b, want - 1)[:want] if want < len(ids) else np.arange(len(ids))
             order = order[np.lexsort((ids[order], -b[order]))]
             part = order[read:]
-            s, i = own[part] @ whole[r], ids[part]
-            other = i != q_ids[r]
-            best_s, best_i = np.concatenate([best_s, s[other]]), np.concatenate([best_i, i[other]])
+            part = part[ids[part] != q_ids[r]]
+            best_s, best_i = np.concatenate([best_s, _products(own[part], whole[r])]), np.concatenate([best_i, ids[part]])
             top = np.lexsort((best_i, -best_s))[:k]
             best_s, best_i = best_s[top], best_i[top]
             read = want
@@ -106,9 +124,9 @@ def _search(k: int):
         for batch in batches:
             for r in batch.to_pylist():
                 n, dims = r["n"], r["dims"]
-                data = (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["exact"], np.int32).reshape(n, dims),
+                data = (np.frombuffer(r["ids"], np.int64), _wide(r["exact"], n, dims),
                         np.frombuffer(r["cells"], np.uint8).reshape(n, dims), np.frombuffer(r["grid"], np.float64))
-                q = np.frombuffer(r["q_exact"], np.int32).reshape(r["q_n"], dims).astype(np.float64)
+                q = _wide(r["q_exact"], r["q_n"], dims)
                 found = search_block(*data, np.frombuffer(r["q_ids"], np.int64), q, k)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["query_id", "vec_id", "score"])
     return run
@@ -120,7 +138,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
 
     The vectors are packed into blocks once, and so are the queries. Each block of queries meets each block of vectors of
     the same length: it is sent to every slot, while the vectors stay where their slot is; k rows per query and block come
-    back. Null ids, null vectors and vectors with null or non-finite components take no part. An id that occurs more than
+    back. Scores are exact; a component of 2^62 or more after scaling, or a score beyond a long, raises an error. Null ids, null vectors and vectors with null or non-finite components take no part. An id that occurs more than
     once counts once, with its smallest vector. Vectors of another length than the query's are no candidates; a query
     without candidates has no rows. Extra columns are ignored."""
     rows = (vectors.select(F.col(id_col).alias("vec_id"), whole_numbers(F.col(vector_col), scale).alias("x"),
@@ -144,10 +162,10 @@ def _pack_queries(batches):
     """Blocks of queries: as _pack, cut to QUERIES each."""
     for b in _pack(batches):
         r = b.to_pylist()[0]
-        ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["exact"], np.int32).reshape(r["n"], r["dims"])
+        ids, x = np.frombuffer(r["ids"], np.int64), _wide(r["exact"], r["n"], r["dims"])
         for a in range(0, len(ids), QUERIES):
             part = ids[a:a + QUERIES]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r["dims"]], pa.int32()), pa.array([len(part)], pa.int32()), pa.array([part.tobytes()], pa.binary()),
-                 pa.array([x[a:a + QUERIES].tobytes()], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary())],
+                 pa.array([_narrow(x[a:a + QUERIES]).tobytes()], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary())],
                 names=["dims", "n", "ids", "exact", "cells", "grid"])

@@ -142,7 +142,7 @@ def test_circulant_signature():
     assert (table[5, 1:] == table[6, :-1]).all()
 
 
-def test_near_duplicates_odd(odd, none):
+def test_near_duplicates_odd(spark, odd, none):
     got = collected(near_dup.near_duplicates(odd))
     assert len(got) == 11
     by = {r["doc_id"]: r for r in got}
@@ -151,6 +151,12 @@ def test_near_duplicates_odd(odd, none):
         assert by[i] == {"doc_id": i, "n_shingles": 0, "component_id": i, "kept": True}
     assert all(r["component_id"] is None and r["kept"] for r in got if r["doc_id"] is None)
     assert near_dup.near_duplicates(none).count() == 0
+    body = "one two three four five six seven eight nine ten " * 2
+    shared_id = spark.createDataFrame(
+        [(1, body + "x"), (1, body + "y"), (1, "all other words stand in this text here"), (2, body + "x"), (2, "a text of its own that nothing is like"),
+         (3, ""), (3, None), (3, "")], "doc_id long, text string")
+    left = Counter((r["doc_id"], (r["text"] or "-")[:5]) for r in near_dup.drop_near_duplicates(shared_id).collect())
+    assert left == {(1, "one t"): 1, (1, "all o"): 1, (2, "a tex"): 1, (3, "-"): 2}
     kept = near_dup.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 3, 4, 5, 6, 7, 8, None, None])
@@ -171,6 +177,18 @@ def test_language_ignores_labels(spark, shared):
     assert language.language_id(docs, most_rows=400).filter("lang_pred = 'xx'").count() == 0
 
 
+def test_language_sample(spark, shared):
+    """Every language is learned however small its share of the sample, by different texts, whatever the ids."""
+    docs = spark.createDataFrame([(None, f"word{k % 40} text", f"l{k % 3}") for k in range(3000)] + [(1, "the copy", "l0")] * 3000
+                                 + [(2, "once", "rare"), (2, "123", "digits")], "doc_id long, text string, lang string")
+    for most in (1, 4, 40):
+        labels, x = language._sample(docs, most, 200)
+        assert set(labels) == {"l0", "l1", "l2", "rare"} and len(labels) <= max(4, most)
+        assert len({(a, v.tobytes()) for a, v in zip(labels, x)}) == len(labels)
+    assert set(language._sample(docs, 40, 2)[0]) == {"l0", "l1"}
+    assert {r["lang_pred"] for r in language.language_id(docs, most_rows=1).collect()} <= {"l0", "l1", "l2", "rare", "und"}
+
+
 def test_language_odd(odd, none, spark):
     got = {r["doc_id"]: r for r in collected(language.language_id(odd))}
     assert got[3]["lang_pred"] == got[4]["lang_pred"] == got[5]["lang_pred"] == "und" and got[3]["score"] == 0
@@ -230,15 +248,29 @@ def test_piece_distribution():
 def test_search_odd(spark, shared):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [0.5, -0.5]), (1, [0.5, -0.5]), (2, [1.0, 1.0]), (3, [-1.0, 0.25]), (4, None), (5, [nan, 1.0]), (6, [inf, 0.0]),
-            (7, [None, 1.0]), (20, [0.25, 0.0]), (20, [0.25, 0.0]), (None, [1.0, 1.0]), (40, [1.0]), (8, []), (60, [1e30, -1e30])]
+            (7, [None, 1.0]), (20, [0.25, 0.0]), (20, [0.25, 0.0]), (None, [1.0, 1.0]), (40, [1.0]), (8, []), (60, [2.0 ** 40, -2.0 ** 40 + 0.25])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string")
     got = collected(vector_search.top_k(df, F.col("vec_id") % 20 == 0, k=3))
     best = [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 0]
-    assert best[0][1:] == (60, 32 * (1 << 27) * 2) and best[1:] == [(2, 1, 2048), (3, 20, 512)]
+    assert best == [(1, 60, 32 * (1 << 46) + 32 * ((1 << 46) - 16)), (2, 1, 2048), (3, 20, 512)]
     assert {r["query_id"] for r in got} == {0, 20, 60}
     assert vector_search.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_search_of_large_components(spark, shared):
+    """Scores near the end of a long are exact, and none is cut: what does not fit raises."""
+    rows = [(0, [2.0 ** 24, 2.0 ** 24]), (1, [2.0 ** 25, 2.0 ** 25 + 4]), (2, [2.0 ** 25 + 4, 2.0 ** 25]), (3, [-2.0 ** 25, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = collected(vector_search.top_k(df, F.col("vec_id") == 0, k=3))
+    score = (1 << 30) * ((1 << 31) * 2 + 256)
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, score), (2, score), (3, (1 << 30) * (64 - (1 << 31)))]
+    wide = spark.createDataFrame([(0, [2.0 ** 30] * 2), (1, [2.0 ** 30] * 2)], "vec_id long, embedding array<float>")
+    huge = spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<float>")
+    for bad in (wide, huge):
+        with pytest.raises(Exception, match="(?i)long|too large|overflow"):
+            vector_search.top_k(bad, F.col("vec_id") == 0).collect()
+
+
 def test_search_reads_few_exact_vectors():
     rng = np.random.default_rng(2)
     x = rng.integers(-30, 30, (3000, 16))
@@ -272,6 +304,16 @@ def test_shards(spark, shared, texts, odd, none):
     rows = collected(shards.document_shards(odd))
     assert len(rows) == 11 and {r["shard"] for r in rows} <= set(range(8))
     assert shards.document_shards(none).count() == 0
+    even = spark.createDataFrame([(k, f"t{k // 4:02d}") for k in range(64)], "doc_id long, text string")  # cuts at bounds of rows
+    of = {}
+    for r in collected(shards.document_shards(even)):
+        of.setdefault(r["text_crc32"], set()).add(r["shard"])
+    assert len(of) == 16 and sum(len(v) for v in of.values()) <= 16 + 7
+    small = spark.createDataFrame([(k, "x" * 99) for k in range(3)] + [(10 + k, f"g{k // 2:02d}") for k in range(60)], "doc_id long, text string")
+    of = {}
+    for r in collected(shards.document_shards(small)):
+        of.setdefault(r["text_crc32"], set()).add(r["shard"])
+    assert all(len(v) == 1 for c, v in of.items() if c != zlib.crc32(b"x" * 99))
     same = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("hot text").alias("text"))
     check_shards(collected(shards.document_shards(same)), lambda r: "hot text", 9)
 
@@ -294,26 +336,48 @@ def test_splitting_tree():
 
 def test_mixture(spark, shared, texts, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    mix = mixing.mixture(docs, mixing.word_count(F.col("text"))).drop("text").cache()
+    mix = mixing.mixture(docs, mixing.word_count(F.col("text"))).select("row.doc_id", "row.source", "size", "source_size", "target", "draws").cache()
     rows = collected(mix)
     words = dict(duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
-    assert all(r["size_"] == len(WORD.findall(words[r["doc_id"]])) for r in rows)
-    total = sum(r["size_"] for r in rows)
+    assert all(r["size"] == len(WORD.findall(words[r["doc_id"]])) for r in rows)
+    total = sum(r["size"] for r in rows)
     for s in sorted({r["source"] for r in rows}):
         own = [r for r in rows if r["source"] == s]
-        taken = sum(r["size_"] * len(r["draws_"]) for r in own)
-        assert abs(taken - own[0]["target_"]) <= max(r["size_"] for r in own)
-        assert own[0]["source_size_"] == sum(r["size_"] for r in own)
-    assert sum({r["source"]: r["target_"] for r in rows}.values()) == pytest.approx(total)
-    assert max(len(r["draws_"]) for r in rows) <= 3
-    assert {d["shard"] for r in rows for d in r["draws_"]} == set(range(8))
-    out = collected(mixing.mixed_rows(docs).select("doc_id"))
-    assert Counter(r["doc_id"] for r in out) == Counter({r["doc_id"]: len(r["draws_"]) for r in rows if r["draws_"]})
+        taken = sum(r["size"] * len(r["draws"]) for r in own)
+        assert abs(taken - own[0]["target"]) <= max(r["size"] for r in own)
+        assert own[0]["source_size"] == sum(r["size"] for r in own)
+    assert sum({r["source"]: r["target"] for r in rows}.values()) == pytest.approx(total)
+    assert max(len(r["draws"]) for r in rows) <= 3
+    assert {d["shard"] for r in rows for d in r["draws"]} == set(range(8))
+    out = collected(mixing.mixed_rows(docs.coalesce(1)).select("doc_id"))
+    again = collected(mixing.mixed_rows(docs.repartition(5)).select("doc_id"))
+    assert Counter(r["doc_id"] for r in out) == Counter(r["doc_id"] for r in again)
+    assert abs(sum(len(WORD.findall(words[r["doc_id"]])) for r in out) - total) <= 5 * max(r["size"] for r in rows)
     assert mixing.mixture(odd, mixing.word_count(F.col("text"))).count() == 11
-    assert mixing.mixed_rows(odd).columns == odd.columns
     assert mixing.mixed_rows(none).count() == 0
 
 
+def test_mixture_of_clashing_columns(spark, shared):
+    """Extra columns with names that are used inside are carried along unchanged."""
+    names = "rank n left full cuts whole pick upto_hash b_source b_block size draws hash block place row words size_ draws_ a.b".split()
+    docs = spark.createDataFrame([(k, f"w {k} x", "ab"[k % 2], *[f"{c}{k}" for c in names]) for k in range(40)],
+                                 "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in names))
+    out = mixing.mixed_rows(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[3 + k] == f"{c}{r['doc_id']}" for r in rows for k, c in enumerate(names))
+
+
+def test_mixture_of_repeated_ids(spark, shared):
+    """Rows with one id or none, whose texts differ, are drawn one by one, and equal rows never overshoot a target."""
+    rows = [(None if k % 2 else 7, f"w {k} " * 3, "a" if k < 300 else None) for k in range(400)] + [(9, "same words here", "a")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.mixture(docs, mixing.word_count(F.col("text")), identity=("doc_id", "text"))
+    for r in mix.groupBy("row.source").agg(F.sum(F.col("size") * F.size("draws")).alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r["taken"] - r["target"]) <= 6
+    assert mix.filter("size(draws) > 3").count() == 0
+
+
 # --- 8 quality ----------------------------------------------------------------------------------
 
 def plain_signals(t):
