@@ -100,18 +100,16 @@ def search_block(ids, exact, cells, grid, q_ids, q, k: int):
         bound += np.abs(q).sum(axis=1)[:, None] * np.abs(exact).max(initial=0) * 1e-9 + 1e-6
     for r in range(len(q)):
         b = bound[r]
-        best_s, best_i, read = np.empty(0, np.int64), np.empty(0, np.int64), 0
+        best_s, best_i, unread = np.empty(0, np.int64), np.empty(0, np.int64), ids != q_ids[r]
         want = min(len(ids), 4 * k)
-        while read < len(ids):
+        while True:
             order = np.argpartition(-b, want - 1)[:want] if want < len(ids) else np.arange(len(ids))
-            order = order[np.lexsort((ids[order], -b[order]))]
-            part = order[read:]
-            part = part[ids[part] != q_ids[r]]
+            part = order[unread[order]]  # equal bounds may come in another order each time, so what was read is marked
+            unread[order] = False
             best_s, best_i = np.concatenate([best_s, _products(own[part], whole[r])]), np.concatenate([best_i, ids[part]])
             top = np.lexsort((best_i, -best_s))[:k]
             best_s, best_i = best_s[top], best_i[top]
-            read = want
-            rest = np.delete(b, order) if want < len(ids) else np.empty(0)
+            rest = b[unread]
             if len(rest) == 0 or (len(best_s) == k and rest.max() < best_s[-1]):
                 break
             want = min(len(ids), 4 * want)
