@@ -1,88 +1,62 @@
 """Exact ranks and quantiles over weighted values without one task seeing a whole column.
 
-A group is cut into buckets at approximate quantiles, as many as its number of distinct
-values asks for; only the bounds and the count per bucket reach the driver. The running total of those counts gives
-the rank at which each bucket starts, and each bucket is one window partition. The
-bounds only balance the work: the results are exact whatever they are.
+The values are dealt once by ranges of (group, value), so the partitions are in the global order, and a value finds its
+partition by binary search however many there are. One row for each partition and group in it gives the rank at which
+the group goes on in the next partition, and each partition counts on from there. Nothing reaches the driver but the
+sampled bounds of the ranges. The bounds only balance the work: the results are exact whatever they are.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-PER_BUCKET = 200_000  # distinct values that one window partition is meant to hold
-
 
-def _cut(values: DataFrame, keys: list[str], x: str, cnt: str, per_bucket: int):
-    """(values with _bucket, {key: [(bucket, offset, size), ...]})."""
-    spark = values.sparkSession
-    most = max((r["_d"] for r in values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).collect()), default=0)
-    buckets = max(2, math.ceil(most / per_bucket))
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = (values.groupBy(*keys)
-              .agg(F.percentile_approx(x, F.lit(probs), F.lit(max(1000, 10 * buckets))).alias("_bounds")))
-    local = F.broadcast(spark.createDataFrame(bounds.collect(), bounds.schema))  # one row per group
-    tagged = (values.join(local, keys)
-              .withColumn("_bucket", F.expr(f"size(filter(_bounds, b -> b < {x}))"))
-              .drop("_bounds"))
-    parts: dict[tuple, list] = {}
-    sizes = tagged.groupBy(*keys, "_bucket").agg(F.sum(cnt).alias("_size")).collect()
-    for r in sorted(sizes, key=lambda r: r["_bucket"]):
-        row = parts.setdefault(tuple(r[k] for k in keys), [])
-        start = row[-1][1] + row[-1][2] if row else 0
-        row.append((r["_bucket"], start, r["_size"]))
-    return tagged, parts
+from datasteward.sources.shared import materialize
 
 
-def _local(values: DataFrame, keys: list[str], rows: list[tuple], rest: list[tuple]) -> DataFrame:
-    schema = T.StructType([values.schema[k] for k in keys]
-                          + [T.StructField(n, t) for n, t in rest])
-    return values.sparkSession.createDataFrame(rows, schema)
+def _placed(values: DataFrame, keys: list[str], x: str, cnt: str, parts: int | None) -> tuple[DataFrame, DataFrame]:
+    """(values with _part, (keys, _part, _offset, _size): how many rows of the group stand before and in each part)."""
+    n = parts or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(values.repartitionByRange(n, *keys, x).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy(*keys, "_part").agg(F.sum(cnt).alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    return ranged, sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
 
 
 def _before(keys: list[str], x: str, cnt: str):
-    w = (Window.partitionBy(*keys, "_bucket").orderBy(x)
+    w = (Window.partitionBy(*keys, "_part").orderBy(x)
          .rowsBetween(Window.unboundedPreceding, -1))
     return F.col("_offset") + F.coalesce(F.sum(cnt).over(w), F.lit(0))
 
 
 def rank_values(values: DataFrame, keys: list[str], x: str = "x", cnt: str = "cnt",
-                per_bucket: int = PER_BUCKET) -> DataFrame:
+                parts: int | None = None) -> DataFrame:
     """Add ``before`` (rows with a smaller x) and ``avg_rank`` (1-based, ties averaged)."""
-    tagged, parts = _cut(values, keys, x, cnt, per_bucket)
-    rows = [(*k, b, o) for k, ps in parts.items() for b, o, _ in ps]
-    starts = _local(values, keys, rows, [("_bucket", T.IntegerType()), ("_offset", T.LongType())])
-    out = tagged.join(F.broadcast(starts), [*keys, "_bucket"]).withColumn("before", _before(keys, x, cnt))
+    ranged, starts = _placed(values, keys, x, cnt, parts)
+    out = ranged.join(starts.drop("_size"), [*keys, "_part"]).withColumn("before", _before(keys, x, cnt))
     return (out.withColumn("avg_rank", F.col("before") + (F.col(cnt) + 1) / 2)
-            .drop("_bucket", "_offset"))
+            .drop("_part", "_offset"))
 
 
 def quantiles(values: DataFrame, keys: list[str], probs: dict[str, float], x: str = "x",
-              cnt: str = "cnt", per_bucket: int = PER_BUCKET) -> DataFrame:
-    """One row per key with a column per name in ``probs``: linear interpolation at (n-1)p."""
-    values = values.filter(F.col(x).isNotNull())
-    tagged, parts = _cut(values, keys, x, cnt, per_bucket)
-    spots = []
-    for key, ps in parts.items():
-        n = ps[-1][1] + ps[-1][2]
-        for name, p in probs.items():
-            at = (n - 1) * p
-            lo = math.floor(at)
-            for end, pos in (("lo", lo), ("hi", min(lo + 1, n - 1))):
-                b, o, _ = next(t for t in ps if t[1] <= pos < t[1] + t[2])
-                spots.append((*key, b, o, name, end, pos, at - lo))
-    spot = _local(values, keys, spots, [
-        ("_bucket", T.IntegerType()), ("_offset", T.LongType()), ("_name", T.StringType()),
-        ("_end", T.StringType()), ("_pos", T.LongType()), ("_frac", T.DoubleType())])
-    needed = spot.select(*keys, "_bucket", "_offset").distinct()
-    ranked = (tagged.join(F.broadcast(needed), [*keys, "_bucket"])
+              cnt: str = "cnt", parts: int | None = None) -> DataFrame:
+    """One row per key with a column per name in ``probs``: linear interpolation at (n-1)p.
+
+    Only the partitions in which a wanted position falls are counted through."""
+    ranged, starts = _placed(values.filter(F.col(x).isNotNull()), keys, x, cnt, parts)
+    starts = materialize(starts)
+    total = starts.groupBy(*keys).agg(F.sum("_size").alias("_n"))
+    at = {name: (F.col("_n") - 1) * F.lit(p) for name, p in probs.items()}
+    spots = F.array(*[F.struct(F.lit(name).alias("_name"), F.lit(end).alias("_end"), (a - F.floor(a)).alias("_frac"),
+                               F.least(F.floor(a) + k, F.col("_n") - 1).alias("_pos"))
+                      for name, a in at.items() for k, end in enumerate(("lo", "hi"))])
+    spot = (starts.join(total, keys).withColumn("_s", F.explode(spots)).select("*", "_s.*")
+            .filter((F.col("_pos") >= F.col("_offset")) & (F.col("_pos") < F.col("_offset") + F.col("_size"))))
+    needed = spot.select(*keys, "_part", "_offset").distinct()
+    ranked = (ranged.join(needed, [*keys, "_part"])
               .withColumn("_before", _before(keys, x, cnt))
-              .select(*keys, "_bucket", F.col(x).alias("_x"), F.col(cnt).alias("_c"), "_before"))
-    found = (ranked.join(F.broadcast(spot.drop("_offset")), [*keys, "_bucket"])
+              .select(*keys, "_part", F.col(x).alias("_x"), F.col(cnt).alias("_c"), "_before"))
+    found = (ranked.join(spot.select(*keys, "_part", "_name", "_end", "_frac", "_pos"), [*keys, "_part"])
              .filter((F.col("_pos") >= F.col("_before"))
                      & (F.col("_pos") < F.col("_before") + F.col("_c"))))
 

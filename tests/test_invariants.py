@@ -3,26 +3,27 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from datasteward.functions.vectors import cosine_vec
-from datasteward.operators import cluster, harmonize, health, lifecycle, memory, ranks, retrieval, semantic
+from datasteward.operators import cluster, harmonize, health, lifecycle, memory, ranks, retrieval, semantic, stats
 from datasteward.operators import catalog as cat
 from datasteward.operators import validate as vd
 
 
-@pytest.mark.parametrize("per_bucket", [7, 10 ** 6])
-def test_quantiles_and_ranks(spark, per_bucket):
+@pytest.mark.parametrize("parts", [1, 13])
+def test_quantiles_and_ranks(spark, parts):
     rng = random.Random(1)
     data = {"a": [rng.choice([1.0, 2.0, 2.0, 5.0]) for _ in range(300)], "b": [rng.gauss(0, 1e6) for _ in range(501)], "c": [7.0]}
     rows = [(k, x) for k, xs in data.items() for x in xs]
     v = spark.createDataFrame(rows, "k string, x double").groupBy("k", "x").agg(F.count(F.lit(1)).alias("cnt"))
-    q = {r["k"]: r for r in ranks.quantiles(v, ["k"], {"p10": 0.1, "p50": 0.5, "p99": 0.99}, per_bucket=per_bucket).collect()}
+    q = {r["k"]: r for r in ranks.quantiles(v, ["k"], {"p10": 0.1, "p50": 0.5, "p99": 0.99}, parts=parts).collect()}
     for k, xs in data.items():
         for name, p in (("p10", 10), ("p50", 50), ("p99", 99)):
             assert q[k][name] == pytest.approx(np.percentile(xs, p))
-    got = {(r["k"], r["x"]): r["avg_rank"] for r in ranks.rank_values(v, ["k"], per_bucket=per_bucket).collect()}
+    got = {(r["k"], r["x"]): r["avg_rank"] for r in ranks.rank_values(v, ["k"], parts=parts).collect()}
     for k, xs in data.items():
         s = sorted(xs)
         for x in set(xs):
@@ -161,6 +162,38 @@ def test_no_move_gains(spark, one_task):
                 assert _modularity(pairs, {**found, x: c}) <= now + 1e-12
 
 
+@pytest.mark.parametrize("method", ["pearson", "spearman"])
+def test_correlation_matrix(spark, method):
+    """Against pandas, with values missing here and there, ties, a constant column, an empty one, and more than a block."""
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(200, 4)) @ rng.normal(size=(4, 7)) + 1e6
+    a[:, 2] = np.round(a[:, 2])
+    a[:, 5], a[:, 6] = 7.1, np.nan
+    a[rng.random(200) < 0.2, 1] = np.nan
+    a[rng.random(200) < 0.1, 3] = np.inf
+    names = [f"c{k}" for k in range(7)]
+    df = spark.createDataFrame([[float(x) for x in row] for row in a], names)
+    got = {(r["column_a"], r["column_b"]): r for r in stats.correlation_matrix(df, method=method).collect()}
+    assert list(stats.numeric_columns(df)) == names and len(got) == 21
+    clean = pd.DataFrame(np.where(np.isfinite(a), a, np.nan), columns=names)
+    want = clean.corr(method=method)
+    for (x, y), r in got.items():
+        assert r["n"] == clean[[x, y]].dropna().shape[0]
+        if "c5" in (x, y) or "c6" in (x, y):
+            assert r["r"] == 0 and r["verdict"] == (stats.TOO_FEW if "c6" in (x, y) else stats.NO_VARIANCE)
+        else:
+            assert abs(r["r"] - want.loc[x, y]) < 1e-9
+
+
+def test_correlations_of_many_columns(spark):
+    wide = spark.createDataFrame([[float((k * k + i * 7) % 11) for k in range(300)] for i in range(20)], [f"c{k}" for k in range(300)])
+    got = stats.correlation_matrix(wide)
+    assert got.count() == 300 * 299 // 2
+    x = np.array(wide.collect())
+    r = got.filter("column_a = 'c3' and column_b = 'c290'").first()
+    assert abs(r["r"] - np.corrcoef(x[:, 3], x[:, 290])[0, 1]) < 1e-9
+
+
 def test_vector_search(spark, monkeypatch):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(200, 8))
