@@ -101,8 +101,8 @@ def postings(corpus: DataFrame, id: str = "id", text: str = "text") -> DataFrame
 
 
 def corpus_totals(corpus: DataFrame, text: str = "text") -> tuple[int, float]:
-    """Number of documents and their average length in words."""
-    size = corpus.select(text).select(F.size(tx.tokenize(F.col(text))).alias("dl"))
+    """Number of documents and their average length in words; a null text has none."""
+    size = corpus.select(text).select(F.size(F.coalesce(tx.tokenize(F.col(text)), F.array().cast("array<string>"))).alias("dl"))
     r = size.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     return r["n"], r["avgdl"] or 1.0
 
@@ -145,6 +145,7 @@ def top_k(scores: DataFrame, k: int, score: str, id: str = "id") -> DataFrame:
 
 
 def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """Scores every document that shares a term; ``keyword_index.search`` gives the same from a stored index and reads less."""
     return top_k(bm25_scores(corpus, queries), k, "bm25")
 
 
