@@ -18,6 +18,8 @@ MARK = 0xFF  # stands for the word mark of the model; no UTF-8 text holds this b
 CHUNK_BYTES = 300_000  # text per NumPy round
 KEPT_EDGES = 2_000_000  # lattice edges that a task keeps for words it may meet again
 
+DRAW_BITS = 30  # of a random number and of the bounds it is held against
+
 
 def model_tables(path: str, alpha: float) -> dict:
     """What encoding and decoding need of a model: the trie of its pieces, their log weights, the bytes of every id.
@@ -87,7 +89,7 @@ class Segmenter:
         self.first = np.empty(0, np.int64)  # first edge that ends in a node
         self.source = np.empty(0, np.int32)  # of each edge
         self.piece = np.empty(0, np.int32)
-        self.upto = np.empty(0, np.float32)  # cumulative probability among the edges of a node
+        self.upto = np.empty(0, np.int32)  # cumulative probability among the edges of a node, times 2 ** DRAW_BITS
 
     def _edges(self, buf: np.ndarray, room: np.ndarray):
         """(start, length, piece) of all pieces in the words; bytes where a character has no piece."""
@@ -145,16 +147,17 @@ class Segmenter:
         into = np.diff(bounds)  # edges of a node stand together
         first = np.zeros(n, np.int64)
         first[dst[heads]] = heads
-        total = np.cumsum(share)
-        upto = total - np.repeat(total[heads] - share[heads], into)
-        upto[bounds[1:] - 1] = 2.0  # the last edge of a node takes what is left
+        part = np.rint(share * (1 << DRAW_BITS)).astype(np.int64)  # whole, so a bound does not hang on what stands before it
+        total = np.cumsum(part)
+        upto = total - np.repeat(total[heads] - part[heads], into)
+        upto[bounds[1:] - 1] = 1 << DRAW_BITS  # the last edge of a node takes what is left
         nodes, edges = len(self.first), len(self.source)
         self.base = np.concatenate([self.base, begin + np.arange(len(new)) + nodes])
         self.length = np.concatenate([self.length, length])
         self.first = np.concatenate([self.first, first + edges])
         self.source = np.concatenate([self.source, (src + nodes).astype(np.int32)])
         self.piece = np.concatenate([self.piece, piece])
-        self.upto = np.concatenate([self.upto, upto.astype(np.float32)])
+        self.upto = np.concatenate([self.upto, upto.astype(np.int32)])
 
     def encode(self, texts: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids per text); the key of a text and the place in it give every random number."""
@@ -181,12 +184,12 @@ class Segmenter:
         while len(live):
             at = node[live]
             u = mix(key[live] + (place[live] + at - base[live]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            u = (u >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
+            u = (u >> np.uint64(64 - DRAW_BITS)).astype(np.int32)
             edge = self.first[at]
-            more = np.flatnonzero(u > self.upto[edge])
+            more = np.flatnonzero(u >= self.upto[edge])
             while len(more):
                 edge[more] += 1
-                more = more[u[more] > self.upto[edge[more]]]
+                more = more[u[more] >= self.upto[edge[more]]]
             steps.append((live, self.piece[edge]))
             node[live] = to = self.source[edge]
             live = live[to > base[live]]

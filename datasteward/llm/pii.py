@@ -84,6 +84,14 @@ def base_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
+def names_secret(before: str) -> bool:
+    """Whether the identifier at the end of ``before``, in quotes or not, ends in a word for a secret: password, DB_PASSWORD,
+    aws_secret_access_key, "api-key", userToken."""
+    name = re.search(r"[A-Za-z0-9_.-]+$", before.rstrip("\"'"))
+    parts = [x.lower() for x in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", name.group())] if name else []
+    return any(joint.join(parts[-n:]) in SECRET_WORDS for n in (1, 2) for joint in ("", "_"))
+
+
 def further_spans(text: str) -> list[tuple[str, int, int]]:
     """Candidates beyond the base patterns, in the order of their priority."""
     out = []
@@ -105,9 +113,8 @@ def further_spans(text: str) -> list[tuple[str, int, int]]:
         at = text.find(sign)
         while at >= 0:
             left = at - 1 if at and text[at - 1] == " " else at
-            word = re.search(r"[A-Za-z_]{1,20}$", text[max(0, left - 20):left])
             value = VALUE.match(text, left)
-            if word and value and word.group().lower() in SECRET_WORDS:
+            if value and names_secret(text[max(0, left - 80):left]):
                 out.append(("secret", *value.span(1)))
             at = text.find(sign, at + 1)
     return out
@@ -264,6 +271,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def digests(found: DataFrame) -> DataFrame:
+    """The counts and digests of ``find_personal_data``'s rows, any of which may repeat; an empty list of spans counts none."""
     base = F.filter("spans", lambda s: s["base"])
 
     def count(kind):

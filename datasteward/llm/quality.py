@@ -58,7 +58,8 @@ def _signals(texts: pa.Array) -> pa.Array:
 
 def signals(text) -> F.Column:
     """The signals of a text column as one struct; whole texts, one Arrow batch at a time."""
-    return F.arrow_udf(_signals, SIGNALS)(text)
+    # not deterministic to the optimizer, which else computes them once more below every filter
+    return F.arrow_udf(_signals, SIGNALS).asNondeterministic()(text)
 
 
 def base_failed():
