@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,8 +54,21 @@ DATE_START = r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})"
 # every white-space character that a text can start or end with
 WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
                + "\u2028\u2029\u202f\u205f\u3000")
-_ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+
+
+@cache
+def letters_and_marks() -> tuple[str, str]:
+    """(characters, what they become): every letter that is one character with marks becomes this character; the marks
+    themselves, which stand behind, become nothing. Letters without a mark, such as \u0142, are not among them."""
+    letters, marks = [], []
+    for c in map(chr, range(0x80, 0x110000)):
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+        elif unicodedata.decomposition(c):
+            bare = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+            if len(bare) == 1 and bare != c:
+                letters.append((c, bare))
+    return "".join([c for c, _ in letters] + marks), "".join(b for _, b in letters)
 
 
 def strip(v: Column) -> Column:
@@ -79,7 +94,9 @@ def value_key(v: Column, how: str = "upper") -> Column:
 
 
 def strip_accents(v: Column) -> Column:
-    return F.translate(v, _ACCENTED, _PLAIN)
+    """Without the marks on letters, whether they are one character or several. Syllables that decompose into several
+    letters stay whole."""
+    return F.translate(v, *letters_and_marks())
 
 
 def normalize_text(v: Column) -> Column:

@@ -45,6 +45,14 @@ def b3(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.normalize_text(F.col("text")).alias("normalized"))
 
 
+# letters with marks of many languages in place of plain ones, one of them with a combining mark, and letters without any
+@R.add("b3_fold_letters", """
+SELECT p_partkey, strip_accents(lower(replace(translate(p_name, 'scoanzit', 'şčőăńžįť'), 'e', 'e' || chr(769)) || ' łøđ')) AS normalized FROM part""")
+def b3_letters(spark, sf):
+    marked = F.replace(F.translate("p_name", "scoanzit", "şčőăńžįť"), F.lit("e"), F.lit("e\u0301"))
+    return table(spark, sf, "part").select("p_partkey", tx.normalize_text(F.concat(marked, F.lit(" łøđ"))).alias("normalized"))
+
+
 @R.add("b4_parse_number", f"""WITH {DIRTY_SQL}
 SELECT p_partkey, {q_num('dirty_number')} AS number, {q_num('dirty_name')} AS name_number FROM dirty""")
 def b4(spark, sf):

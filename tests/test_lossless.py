@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from datasteward.functions import text as tx
 from datasteward.operators import cells, feasibility, harmonize, profile, validate
 from datasteward.sources import readers
 from datasteward.streaming import streams
@@ -86,3 +87,10 @@ def test_case_text_without_codes(spark):
     lines = [r["line"] for r in harmonize.case_text_lines(df, "v", codes, "X", "x").orderBy("part").collect()]
     assert lines == ["-- v to X (x), 1 codes\nCASE", "    WHEN \"v\" IN ('A', 'a') THEN 'A'  -- it's",
                      "    ELSE NULL  -- to be reviewed\nEND AS \"v_canonico\""]
+
+
+def test_marks_fold_in_every_language(spark):
+    texts = ["Şeker ŐRÜLT čaj", "Żółć łódź", "e\u0301cole n\u0303", "İstanbul", "ǻ ṩ ậ ἄλφα Ёлка", "日本 한국어", "øđß", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(tx.normalize_text(F.col("t"))).collect()]
+    assert got == ["seker orult caj", "zołc łodz", "ecole n", "istanbul", "a s a αλφα елка", "日本 한국어", "øđß", "", None]
