@@ -1,28 +1,24 @@
 """Norm retrieval: chunks, BM25, vectors, hybrid ranking, backing, evaluation.
 
-Keyword scores are sparse: only documents that share a term with a query are joined. Vector
-scores scan the documents once per block of queries; a task keeps its best k per query,
-so the scan emits k rows per query and task, never all pairs.
+Keyword scores are sparse: only documents that share a term with a query are joined. Vectors are
+found by an index in blocks; queries are a table in both.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from datasteward.functions import text as tx
+from datasteward.functions.vectors import cosine_vec
+from datasteward.operators import vector_index
+from datasteward.operators.ranks import top_k
 from datasteward.sources.shared import materialize
 
 # Chunking and ranking parameters.
 CHUNK_SIZE, CHUNK_OVERLAP, MIN_CHUNK, MIN_DOCUMENT = 800, 100, 30, 50
 K1, B = 1.5, 0.75
 BM25_WEIGHT, COSINE_WEIGHT, BACKING_THRESHOLD = 0.4, 0.6, 0.65
-QUERY_BLOCK = 2000  # queries held by every task of a scan
 SPACE = r"(?U)^\s+|\s+$"
 
 
@@ -134,16 +130,6 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     return t.groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
 
 
-def top_k(scores: DataFrame, k: int, score: str, id: str = "id") -> DataFrame:
-    """Best k per query; scores that agree to nine decimals are ties and go by id.
-
-    Sums of a distributed job may differ in the last digits from run to run, so the order
-    must not hang on them. Plans a partial limit before the shuffle.
-    """
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round(score, 9)), id)
-    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Scores every document that shares a term; ``keyword_index.search`` gives the same from a stored index and reads less."""
     return top_k(bm25_scores(corpus, queries), k, "bm25")
@@ -151,105 +137,49 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 # --- vectors and hybrid -------------------------------------------------------------------
 
-def _blocks(queries: DataFrame, columns: list[str]) -> Iterator[list]:
-    """Queries in blocks of a fixed size, ordered by id, so that a task holds one block."""
-    last = None
-    while True:
-        q = queries if last is None else queries.filter(F.col("query_id") > last)
-        rows = q.select(*columns).orderBy("query_id").limit(QUERY_BLOCK).collect()
-        if rows:
-            yield rows
-            last = rows[-1]["query_id"]
-        if len(rows) < QUERY_BLOCK:
-            return
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-
-def _scan(rows: list, k: int, hybrid: bool):
-    """The function that one task runs over its documents for one block of queries."""
-    ids = [r["query_id"] for r in rows]
-    pos = {q: i for i, q in enumerate(ids)}
-    unit = _unit(np.array([list(r["embedding"]) for r in rows], dtype="float64"))
-    tags = [r["tag"] if hybrid else None for r in rows]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            cos = _unit(np.vstack(pdf["embedding"].to_numpy()).astype("float64")) @ unit.T
-            total, key = cos, np.zeros_like(cos)
-            if hybrid:
-                for d, pairs in enumerate(pdf["sparse"]):
-                    for p in (pairs if pairs is not None else ()):
-                        key[d, pos[p["query_id"]]] = p["bm25"]
-                total = key * BM25_WEIGHT + np.maximum(cos, 0.0) * COSINE_WEIGHT
-                for j, tag in enumerate(tags):
-                    if tag is not None:
-                        out = [tag not in (t if t is not None else ()) for t in pdf["tags"]]
-                        total[np.array(out), j] = -np.inf
-            doc = pdf["id"].to_numpy()
-            for j in range(len(ids)):
-                # keep everything that can be among the best k, ties included, then order by id
-                col = np.round(total[:, j], 9)
-                cut = np.partition(col, -k)[-k] if len(col) > k else -np.inf
-                keep = np.flatnonzero((col >= cut) & (col > -np.inf))
-                part = pd.DataFrame({"query_id": [ids[j]] * len(keep), "id": doc[keep], "order": col[keep], "score": total[keep, j],
-                                     "cosine": cos[keep, j], "bm25": key[keep, j]})
-                best = part if best is None else pd.concat([best, part], ignore_index=True)
-            best = (best.sort_values(["query_id", "order", "id"], ascending=[True, False, True])
-                    .groupby("query_id", sort=False).head(k))
-        if best is not None and len(best):
-            yield best.drop(columns="order")
-
-    return run
-
-
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Best k vectors by cosine per query: (id, embedding) against (query_id, embedding)."""
-    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", vectors.schema["id"].dataType),
-                           *[T.StructField(c, T.DoubleType()) for c in ("score", "cosine", "bm25")]])
-    found = None
-    for rows in _blocks(queries, ["query_id", "embedding"]):
-        part = vectors.select("id", "embedding").mapInPandas(_scan(rows, k, False), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], schema)
-    return top_k(found.select("query_id", "id", F.col("score").alias("cosine")), k, "cosine")
+    """Best k vectors by cosine per query: (id, embedding) against (query_id, embedding), by an index made for them."""
+    return vector_index.search(vector_index.build_index(vectors.select("id", "embedding")), queries, k).drop("score")
 
 
 def hybrid_search(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Keyword and vector ranking combined, best k per query.
 
-    corpus: (id, source, text, embedding, tags); queries: (query_id, text, embedding, tag). The
+    corpus: (id, source, text, embedding, tags), ids unique; queries: (query_id, text, embedding, tag). The
     keyword score is divided by its maximum over the candidates of the query; a tag limits
     the candidates, while document frequencies stay those of the whole corpus.
+
+    A document without a shared term is among the best k only if it is among the best k by vector. Those and the best k
+    by keywords give the score that the k-th best reaches at least, and of the other documents with a shared term only
+    those are compared whose keywords could reach it with a cosine of 1. A null or broken vector has cosine 0: its document
+    is found by its keywords, and its query finds by keywords only.
     """
-    corpus, sparse = materialize(corpus), materialize(bm25_scores(corpus, queries))
-    cand = sparse.join(queries.select("query_id", "tag"), "query_id")
+    corpus = materialize(corpus.select("id", "source", "text", "tags", F.when(vector_index.usable(F.col("embedding")), F.col("embedding")).alias("embedding")))
+    queries = materialize(queries.select("query_id", "text", "tag", F.when(vector_index.usable(F.col("embedding")), F.col("embedding")).alias("embedding")))
+    cand = materialize(bm25_scores(corpus, queries))
     if queries.filter("tag is not null").limit(1).count():
-        cand = (cand.join(corpus.select("id", "tags"), "id")
+        cand = (cand.join(queries.select("query_id", "tag"), "query_id").join(corpus.select("id", "tags"), "id")
                 .filter(F.col("tag").isNull() | F.array_contains("tags", F.col("tag"))))
     top = cand.groupBy("query_id").agg(F.max("bm25").alias("m")).filter("m > 0")
     share = materialize(cand.join(top, "query_id").select("query_id", "id", (F.col("bm25") / F.col("m")).alias("bm25")))
-    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", corpus.schema["id"].dataType),
-                           *[T.StructField(c, T.DoubleType()) for c in ("score", "cosine", "bm25")]])
-    found = None
-    for rows in _blocks(queries, ["query_id", "embedding", "tag"]):
-        mine = share.filter(F.col("query_id").between(rows[0]["query_id"], rows[-1]["query_id"]))
-        # the keyword scores of one document: at most one entry per query of the block
-        per_doc = mine.groupBy("id").agg(F.collect_list(F.struct("query_id", "bm25")).alias("sparse"))
-        docs = corpus.select("id", "embedding", "tags").join(per_doc, "id", "left")
-        part = docs.mapInPandas(_scan(rows, k, True), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = corpus.sparkSession.createDataFrame([], schema)
-    return (top_k(found, k, "score").join(corpus.select("id", "source", "text"), "id")
-            .select("query_id", "rank", "id", "source", "text", "score", F.greatest("cosine", F.lit(0.0)).alias("cosine"), "bm25"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = (pairs.join(corpus.select("id", F.col("embedding").alias("v")), "id")
+                .join(queries.select("query_id", F.col("embedding").alias("w")), "query_id"))
+        both = both.select("query_id", "id", "bm25", F.greatest(cosine_vec(F.col("v"), F.col("w")), F.lit(0.0)).alias("cosine"))
+        return both.withColumn("score", F.col("bm25") * BM25_WEIGHT + F.col("cosine") * COSINE_WEIGHT)
+
+    near = vector_index.search(vector_index.build_index(corpus), queries, k, COSINE_WEIGHT, 0.0)
+    first = near.select("query_id", "id").unionByName(top_k(share, k, "bm25").select("query_id", "id")).distinct()
+    first = first.join(share, ["query_id", "id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    first = materialize(top_k(scored(first), k, "score"))
+    least = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+    rest = (share.join(least, "query_id", "left")
+            .filter(F.col("least").isNull() | (F.col("bm25") * BM25_WEIGHT + COSINE_WEIGHT >= F.col("least") - vector_index.MARGIN))
+            .select("query_id", "id", "bm25").join(first.select("query_id", "id"), ["query_id", "id"], "left_anti"))
+    best = top_k(first.drop("rank").unionByName(scored(rest)), k, "score")
+    return (best.join(corpus.select("id", "source", "text"), "id")
+            .select("query_id", "rank", "id", "source", "text", "score", "cosine", "bm25"))
 
 
 def backing_queries(concepts: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from datasteward.functions.vectors import cosine_vec
-from datasteward.operators import cluster, harmonize, health, lifecycle, memory, ranks, retrieval, semantic, stats
+from datasteward.operators import cluster, harmonize, health, lifecycle, memory, ranks, retrieval, semantic, stats, vector_index
 from datasteward.operators import catalog as cat
 from datasteward.operators import validate as vd
 
@@ -202,7 +202,7 @@ def test_vector_search(spark, monkeypatch):
     q = df.filter("id % 20 = 10").select(F.col("id").alias("query_id"), "embedding")
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     for block in (2000, 3):  # one block of queries, and several
-        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        monkeypatch.setattr(vector_index, "QUERIES", block)
         got = {}
         for r in retrieval.vector_search(df, q, 4).collect():
             got.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
