@@ -360,7 +360,64 @@ def check_balance(df: DataFrame, ids: list[str], pairs: str = "pickups_deliverie
     return _nested(t, ids, F.array(row("wa", "wb", "weight_demand"), row("ua", "ub", "volume_demand")))
 
 
-def check_skills(df: DataFrame, ids: list[str], have: str, need: str) -> DataFrame:
-    """Rows whose required skills are not all present."""
-    return df.filter(F.size(F.array_except(need, have)) > 0).select(
-        *ids, F.array_join(F.array_sort(F.array_except(need, have)), ",").alias("missing_skills"))
+def _part(df: DataFrame, column: str, name: str, kind: str):
+    """The field of an element, null of the given type where records do not have it."""
+    have = df.schema[column].dataType.elementType.names
+    return (lambda x: x[name]) if name in have else (lambda x: F.lit(None).cast(kind))
+
+
+def check_routing_rules(df: DataFrame, ids: list[str], locations: str = "locations", vehicles: str = "vehicles",
+                        may_skip: str = "allow_skipping_nodes") -> DataFrame:
+    """Rules between the locations and the vehicles of one record, worked out within the row.
+
+    missing_skills: no vehicle has all skills a location requires. capacity_exceeded: unless locations may be skipped, what
+    is picked up or what is delivered, whichever is more, exceeds the capacities together. starts_after_visits and
+    ends_before_visits: a vehicle starts after the first window opens, or ends before the last one closes, of the locations
+    whose skills it has. Null demands count as 0, a vehicle with a null capacity carries anything, null times and skills
+    are not judged, and null lists are empty. Fields a record does not have are null.
+    """
+    need, skills = _part(df, locations, "required_skills", "array<string>"), _part(df, vehicles, "skills", "array<string>")
+    none = F.array().cast("array<string>")
+
+    def served(v: Column, x: Column) -> Column:
+        return F.size(F.array_except(F.coalesce(need(x), none), F.coalesce(skills(v), none))) == 0
+
+    def issue(severity: str, name: Column, kind: str, value: Column) -> Column:
+        return F.struct(F.lit("custom").alias("layer"), F.lit(severity).alias("severity"), name.alias("field_name"), F.lit(kind).alias("issue_type"),
+                        value.cast("string").alias("original_value"), F.lit(None).cast("string").alias("suggested_value"))
+
+    def total(list_: Column, value) -> Column:
+        return F.aggregate(list_, F.lit(0.0), lambda acc, x: acc + value(x))
+
+    t = df.select(*ids, F.coalesce(F.col(locations), F.array()).alias("_l"), F.coalesce(F.col(vehicles), F.array()).alias("_v"),
+                  (F.coalesce(F.col(may_skip), F.lit(False)) if may_skip in df.columns else F.lit(False)).alias("_skip"))
+    l, v = F.col("_l"), F.col("_v")
+    alone = F.filter(l, lambda x: (F.size(F.coalesce(need(x), none)) > 0) & ~F.exists(v, lambda y: served(y, x)))
+    found = [F.transform(alone, lambda x: issue("error", F.concat(F.lit("locations."), x["id"], F.lit(".required_skills")), "missing_skills",
+                                                F.array_join(F.array_sort(need(x)), ",")))]
+
+    def over(what: str) -> Column:
+        demand, room = _part(df, locations, f"{what}_demand", "double"), _part(df, vehicles, f"{what}_capacity", "double")
+        picked = total(l, lambda x: F.greatest(F.coalesce(demand(x), F.lit(0.0)), F.lit(0.0)))
+        brought = total(l, lambda x: F.greatest(-F.coalesce(demand(x), F.lit(0.0)), F.lit(0.0)))
+        load = F.greatest(picked, brought)
+        full = ~F.col("_skip") & ~F.exists(v, lambda y: room(y).isNull()) & (load > total(v, room))
+        return F.array(F.when(full, issue("error", F.lit(f"{locations}.{what}_demand"), "capacity_exceeded", load)))
+
+    found += [over("weight"), over("volume")]
+    opens, closes = _part(df, locations, "time_window_start", "int"), _part(df, locations, "time_window_end", "int")
+    starts, ends = _part(df, vehicles, "start_time", "int"), _part(df, vehicles, "end_time", "int")
+
+    def label(y: Column, name: str) -> Column:
+        return F.concat(F.lit("vehicles."), y["id"], F.lit(f".{name}"))
+
+    def late(y: Column) -> Column:
+        first = F.array_min(F.transform(F.filter(l, lambda x: served(y, x)), opens))
+        return F.when(starts(y) > first, issue("warning", label(y, "start_time"), "starts_after_visits", starts(y)))
+
+    def early(y: Column) -> Column:
+        last = F.array_max(F.transform(F.filter(l, lambda x: served(y, x)), closes))
+        return F.when(ends(y) < last, issue("warning", label(y, "end_time"), "ends_before_visits", ends(y)))
+
+    found += [F.transform(v, late), F.transform(v, early)]
+    return _nested(t, ids, F.concat(*found))

@@ -221,6 +221,31 @@ def g9(spark, sf):
     return _short(validate.check_time_windows(_routes(spark, sf), ["route"], (21600, 79200)))
 
 
+# every other line of an order brings a vehicle that can do what the line needs
+@R.add("g7_routing_rules", """WITH lc AS (SELECT l_orderkey AS route, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, l_partkey % 24 * 3600 AS ws, l_suppkey % 24 * 3600 AS we, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS w,
+ round(l_tax * 100, 0) AS u, l_suppkey % 3 AS m, l_linestatus AS s, l_linenumber AS ln, l_quantity AS q FROM lineitem),
+v AS (SELECT DISTINCT route, 'v' || ln AS id, m, s, q * 1.5 AS wc, 8.0 AS uc, ln * 3600 AS st, q * 1800 AS en FROM lc WHERE ln % 2 = 1),
+need AS (SELECT route, greatest(sum(greatest(w, 0)), sum(greatest(-w, 0))) AS w, sum(u) AS u FROM lc GROUP BY 1), room AS (SELECT route, sum(wc) AS wc, sum(uc) AS uc FROM v GROUP BY 1),
+t AS (SELECT v.route, v.id, st, en, min(ws) AS first, max(we) AS last FROM v JOIN lc ON lc.route = v.route AND lc.m = v.m AND lc.s = v.s GROUP BY v.route, v.id, v.m, v.s, v.wc, st, en)
+SELECT route, 'error' AS severity, 'locations.' || id || '.required_skills' AS field_name, 'missing_skills' AS issue_type FROM lc WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.route = lc.route AND v.m = lc.m AND v.s = lc.s)
+UNION ALL SELECT route, 'error', 'locations.weight_demand', 'capacity_exceeded' FROM need LEFT JOIN room USING (route) WHERE w > coalesce(wc, 0) AND route % 3 <> 0
+UNION ALL SELECT route, 'error', 'locations.volume_demand', 'capacity_exceeded' FROM need LEFT JOIN room USING (route) WHERE u > coalesce(uc, 0) AND route % 3 <> 0
+UNION ALL SELECT route, 'warning', 'vehicles.' || id || '.start_time', 'starts_after_visits' FROM t WHERE st > first
+UNION ALL SELECT route, 'warning', 'vehicles.' || id || '.end_time', 'ends_before_visits' FROM t WHERE en < last""")
+def g7c(spark, sf):
+    li = table(spark, sf, "lineitem")
+    skills = F.array((F.col("l_suppkey") % 3).cast("string"), "l_linestatus")
+    loc = F.struct(F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), skills.alias("required_skills"),
+                   (F.col("l_partkey") % 24 * 3600).cast("int").alias("time_window_start"), (F.col("l_suppkey") % 24 * 3600).cast("int").alias("time_window_end"),
+                   F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("weight_demand"),
+                   F.round(F.col("l_tax") * 100, 0).alias("volume_demand"))
+    veh = F.when(F.col("l_linenumber") % 2 == 1, F.struct(
+        F.concat(F.lit("v"), F.col("l_linenumber").cast("string")).alias("id"), skills.alias("skills"), (F.col("l_quantity") * 1.5).alias("weight_capacity"),
+        F.lit(8.0).alias("volume_capacity"), (F.col("l_linenumber") * 3600).cast("int").alias("start_time"), (F.col("l_quantity") * 1800).cast("int").alias("end_time")))
+    r = li.groupBy(F.col("l_orderkey").alias("route")).agg(F.collect_list(loc).alias("locations"), F.collect_set(veh).alias("vehicles"))
+    return _short(validate.check_routing_rules(r.withColumn("allow_skipping_nodes", F.col("route") % 3 == 0), ["route"]))
+
+
 @R.add("g10_check_balance", f"""WITH {_LOC}, o AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY id, lat, lng, ws, we, w, u) - 1 AS k FROM lc),
 p AS (SELECT a.route, a.k // 2 AS i, a.id AS pa, b.id AS pb FROM o a JOIN o b ON a.route = b.route AND b.k = a.k + 1 WHERE a.k % 2 = 0),
 t AS (SELECT p.route, p.i, a.w + b.w AS w, a.u + b.u AS u FROM p JOIN lc a ON a.route = p.route AND a.id = pa JOIN lc b ON b.route = p.route AND b.id = pb)

@@ -298,6 +298,29 @@ def test_routing_record(spark):
     assert t == {("locations.c1.time_window", "time_window_invalid"), ("locations.c2.time_window", "atypical_hours"),
                  ("locations.c1.time_windows[0]", "time_window_invalid"), ("vehicles.v1.schedule", "vehicle_schedule_invalid")}
     assert [r["original_value"] for r in vd.check_balance(df, ["r"]).collect()] == ["weight_demand", "volume_demand"]
+    # fields that records do not have are not judged, but nothing carries a load without a vehicle
+    assert {r["issue_type"] for r in vd.check_routing_rules(df, ["r"]).collect()} == {"ends_before_visits"}
+    assert vd.check_routing_rules(df.limit(0), ["r"]).count() == 0
+
+
+def test_routing_rules(spark):
+    loc = "array<struct<id:string,required_skills:array<string>,time_window_start:int,time_window_end:int,weight_demand:double,volume_demand:double>>"
+    veh = "array<struct<id:string,skills:array<string>,start_time:int,end_time:int,weight_capacity:double,volume_capacity:double>>"
+    c1, c2 = ("c1", ["cold"], 100, 200, -6.0, 1.0), ("c2", None, 50, 300, 5.0, None)
+    v1, v2 = ("v1", ["cold", "lift"], 80, 200, 5.0, None), ("v2", None, None, 250, 0.5, 9.0)
+    rows = [(1, [c1, c2], [v1, v2], False), (2, [c1, c2], [v1, v2], True), (3, [c1], [v2], None), (4, [c2], None, False), (5, None, [v1], False),
+            (6, [("c3", ["cold", "fork"], None, None, None, None), ("c3", [], 90, 90, -1.0, 0.0)], [v1], False)]
+    df = spark.createDataFrame(rows, f"r int, locations {loc}, vehicles {veh}, allow_skipping_nodes boolean")
+    got = {}
+    for r in vd.check_routing_rules(df, ["r"]).collect():
+        got.setdefault(r["r"], set()).add((r["severity"], r["field_name"], r["issue_type"]))
+    weight, skill = ("error", "locations.weight_demand", "capacity_exceeded"), "missing_skills"
+    times = {("warning", "vehicles.v1.start_time", "starts_after_visits"), ("warning", "vehicles.v1.end_time", "ends_before_visits"),
+             ("warning", "vehicles.v2.end_time", "ends_before_visits")}
+    assert got[1] == {weight} | times and got[2] == times
+    assert got[3] == {("error", "locations.c1.required_skills", skill), weight}
+    assert got[4] == {weight} and 5 not in got
+    assert got[6] == {("error", "locations.c3.required_skills", skill)}
 
 
 def test_layers_stop_at_errors(spark):
