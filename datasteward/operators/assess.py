@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from datasteward.functions import privacy
@@ -68,7 +68,10 @@ def assessment_rollup(assessed: DataFrame) -> DataFrame:
 
 def register_sources(cell_rows: DataFrame, standards: list[semantic.Standard], standard_values: DataFrame, concepts: DataFrame,
                      lists: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, mappings): source, field, concept, classifier and issue nodes with their edges."""
+    """(nodes, edges, mappings): source, field, concept, classifier and issue nodes with their edges.
+
+    Columns of one source with equal clean names are fields of their own: all but the first by name carry the column's name in
+    their id."""
     vf = profile.settled(cell_rows)
     f = materialize(profile.column_facts(vf))
     facts = f.select(*KEYS, F.col("d_lower_ext").alias("unique_count"))
@@ -76,10 +79,13 @@ def register_sources(cell_rows: DataFrame, standards: list[semantic.Standard], s
     quality = profile.field_quality(vf, maps.filter("standard is not null").select(*KEYS, F.col("standard").alias("standard_id")), standard_values)
     src = semantic.infer_context(f.select("source").distinct())
     samples = profile.sample_values(vf, 5)
-    fid = F.concat(F.lit("field:"), "source", F.lit("."), "clean_name")
+    same = Window.partitionBy("source", "clean_name").orderBy("column")
+    ids = maps.select(*KEYS, F.concat(F.lit("field:"), "source", F.lit("."), "clean_name", F.when(
+        F.row_number().over(same) > 1, F.concat(F.lit("#"), "column")).otherwise("")).alias("field_id"))
+    fid = F.col("field_id")
     fields = (f.select(*KEYS, F.col("total").alias("total_count"), (F.col("total") - F.col("n_ext")).alias("null_count"),
                        F.col("d_lower_ext").alias("unique_count"))
-              .join(maps, KEYS).join(quality, KEYS).join(samples, KEYS, "left").join(src.drop("context_label"), "source"))
+              .join(maps, KEYS).join(ids, KEYS).join(quality, KEYS).join(samples, KEYS, "left").join(src.drop("context_label"), "source"))
     field_nodes = fields.select(
         fid.alias("id"), F.lit("field").alias("type"), F.col("clean_name").alias("name"), F.col("source").alias("source_db"),
         F.col("clean_name").alias("column"), "data_type", "standard", "population", "capture_method", "total_count", "null_count",
@@ -96,7 +102,7 @@ def register_sources(cell_rows: DataFrame, standards: list[semantic.Standard], s
     with_codes = fresh.join(coded, "standard", "left_semi")
     classifier = F.concat(F.lit("classifier:"), F.lower("standard"))
     cls_nodes = with_codes.select(classifier.alias("id"), F.lit("classifier").alias("type"), F.col("standard").alias("name"), "standard").distinct()
-    issues = profile.detect_issues(vf).join(maps.select(*KEYS, "clean_name"), KEYS)
+    issues = profile.detect_issues(vf).join(ids, KEYS)
     iid = F.concat(F.lit("issue:"), fid, F.lit(":"), "issue_type")
     issue_nodes = issues.select(iid.alias("id"), F.lit("quality_issue").alias("type"), F.col("issue_type").alias("name"), "issue_type", "severity", "metric_value")
     nodes = reduce(DataFrame.unionByName, [conform(n, NODE_COLUMNS) for n in (source_nodes, field_nodes, fresh, cls_nodes, issue_nodes)])

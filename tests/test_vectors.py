@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from datasteward.functions import privacy, pvalues
 from datasteward.functions import text as tx
-from datasteward.operators import anomalies, cluster, interop, matching, profile, similarity, stats
+from datasteward.operators import anomalies, assess, cluster, interop, matching, profile, similarity, stats
 from datasteward.operators.cells import cells, value_counts
+from datasteward.plans import q_semantic as qs
 
 
 def column(spark, values, name="c", source="t"):
@@ -184,3 +185,12 @@ def test_sensitivity_order(spark):
 
 def test_number_format_of_tied_quantiles(spark):
     assert math.isclose(profile.distribution_summary(column(spark, ["1", "2", "3", "100"])).first()["q1"], 1.75)
+
+
+def test_equal_clean_names_are_fields_of_their_own(spark):
+    sf = "/root/testdata/sf0.001"
+    df = spark.createDataFrame([("M", "F", str(i)) for i in range(12)], "col_sexo string, sexo string, edad string")
+    nodes, edges, maps = assess.register_sources(cells(df, "t"), qs.STANDARDS, qs._codes(spark, sf), qs._concepts(spark), qs._lists(spark, sf))
+    fields = sorted(r["id"] for r in nodes.filter("type = 'field'").collect())
+    assert fields == ["field:t.edad", "field:t.sexo", "field:t.sexo#sexo"] and maps.count() == 3
+    assert sorted(r["src"] for r in edges.filter("type = 'proviene_de'").collect()) == fields
