@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from datasteward.functions import text as tx
 from datasteward.functions.vectors import cosine_vec
-from datasteward.operators import cluster, matching, profile, similarity, stats
+from datasteward.operators import cluster, column_sets, matching, profile, similarity, stats
 from datasteward.operators.cells import atomic_columns, cells_of, value_counts
 from datasteward.plans.base import COLUMNS, DIRTY_SQL, Registry, dirty, q_cells, q_missing, q_num, q_strip, r6, table
 
@@ -171,6 +171,41 @@ def e18c(spark, sf):
     return similarity.equivalence_edges(e18(spark, sf), "field:dirty.dirty_name", "field:part.p_name")
 
 
+# --- a catalog asked by a threshold or by the nearest columns -------------------------------
+
+WIDE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels", "conversations"]
+# scores of all ordered pairs that share a value, by a plain self-join
+_NEAR = f"""{q_cells(*WIDE)}, vf AS (SELECT source, "column", upper({q_strip('value')}) AS v, count(*) AS cnt FROM cells WHERE {q_strip('value')} <> '' GROUP BY ALL),
+sz AS (SELECT source, "column", count(*) AS d, sqrt(sum(CAST(cnt AS DOUBLE) * cnt)) AS nrm FROM vf GROUP BY ALL),
+sh AS (SELECT a.source AS source_a, a."column" AS column_a, b.source AS source_b, b."column" AS column_b, count(*) AS shared,
+  sum(CAST(a.cnt AS DOUBLE) * b.cnt) AS dot FROM vf a JOIN vf b ON a.v = b.v AND (a.source, a."column") <> (b.source, b."column") GROUP BY ALL),
+sc AS (SELECT sh.*, dot / (x.nrm * y.nrm) AS cosine, shared / (x.d + y.d - shared) AS jaccard, shared / least(x.d, y.d) AS overlap, shared / x.d AS containment
+  FROM sh JOIN sz x ON x.source = source_a AND x."column" = column_a JOIN sz y ON y.source = source_b AND y."column" = column_b)"""
+
+
+def _wide(spark, sf):
+    return value_counts(cells_of(_tables(spark, sf, WIDE)), "upper")
+
+
+def _above(measure, least):
+    def run(spark, sf):
+        return column_sets.similar_columns(_wide(spark, sf), least, measure).select(
+            *similarity.PAIR, "shared", r6(F.col("score")).alias("score"))
+    return run
+
+
+for _n, _c, _t in (("e1_cosine_columns", "cosine", 0.6), ("e2_similar_columns", "jaccard", 0.5),
+                   ("e3_overlapping_columns", "overlap", 0.8), ("e7_contained_columns", "containment", 0.9)):
+    _once = "" if _c == "containment" else " AND (source_a, column_a) < (source_b, column_b)"
+    R.add(_n, f"WITH {_NEAR} SELECT {_P}, shared, round({_c}, 6) AS score FROM sc WHERE {_c} >= {_t}{_once}")(_above(_c, _t))
+
+
+@R.add("e1_nearest_columns", f"""WITH {_NEAR}, rk AS (SELECT *, row_number() OVER (PARTITION BY source_a, column_a ORDER BY round(cosine, 9) DESC, source_b, column_b) AS "rank" FROM sc)
+SELECT source_a AS source, column_a AS "column", CAST("rank" AS INTEGER) AS "rank", source_b, column_b, round(cosine, 6) AS score FROM rk WHERE "rank" <= 3""")
+def e1_nearest(spark, sf):
+    return column_sets.nearest_columns(_wide(spark, sf), 3).withColumn("score", r6(F.col("score")))
+
+
 # --- statistics ---------------------------------------------------------------------------
 
 _STATUS = [("F", "O"), ("F", "P"), ("O", "P")]
