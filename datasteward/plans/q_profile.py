@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 from pyspark.sql import functions as F
 
 from datasteward.functions import text as tx
-from datasteward.operators import anomalies, clean, profile
+from datasteward.operators import anomalies, clean, profile, profile_states
 from datasteward.operators.cells import cells_of, column_names
 from datasteward.plans.base import (COLUMNS, DIRTY_SQL, TABLES, Registry, dirty, q_cells, q_grade, q_missing,
                                     q_num, q_strip, r6, table)
@@ -433,3 +434,35 @@ SELECT source, "column", issue_type, severity, CAST(metric_value AS DOUBLE) AS m
 def c13(spark, sf):
     i = profile.detect_issues(_cells(spark, sf, "dirty", *TABLES))
     return i.withColumn("metric_value", r6(F.col("metric_value")))
+
+
+# --- profiles merged from stored states -----------------------------------------------------
+
+def _states(spark, sf):
+    """Events stored by day in two runs, and line items by month of shipping; all parts are merged by the queries."""
+    path = f"{shared_dir(spark)}/profile-states-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events")
+    late = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
+    for run in (~late, late | F.col("ts").isNull()):
+        profile_states.add_states(events.filter(run), "events", F.to_date("ts"), path)
+    profile_states.add_states(table(spark, sf, "lineitem"), "lineitem", F.date_format("l_shipdate", "yyyy-MM"), path)
+    return profile_states.read_states(spark, path)
+
+
+@R.add("c2_state_profile", f"""WITH {q_cells('events', 'lineitem')}, {_SUMMARY_SQL}, e AS (SELECT {_SUMMARY_COLS} FROM d)
+SELECT source, "column", "count", missing, type, mean, std, "min", "max" FROM e""")
+def c2_states(spark, sf):
+    p = profile_states.merged_profile(_states(spark, sf))
+    return p.select("source", "column", "count", "missing", "type", *[r6(F.col(c)).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+@R.add("c9_state_cardinality", f"""WITH {q_cells('events', 'lineitem')} SELECT source, "column", count(*) FILTER (ok) AS n,
+  count(*) FILTER (ok) > 20 AND count(DISTINCT upper({q_strip('value')})) FILTER (ok) > 0.9 * count(*) FILTER (ok) AS high_cardinality
+  FROM (SELECT *, NOT {q_missing('value')} AS ok FROM cells) GROUP BY ALL""")
+def c9_states(spark, sf):
+    return profile_states.merged_cardinality(_states(spark, sf)).select("source", "column", "n", "high_cardinality")
+
+
+@R.add("c3_state_top_values")  # estimates: compared with exact counts in tests/test_profile_states.py
+def c3_states(spark, sf):
+    return profile_states.merged_top_values(_states(spark, sf))
