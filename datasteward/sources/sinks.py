@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +37,14 @@ def read_graph_json(spark: SparkSession, path: str, nodes_schema, edges_schema)
             spark.read.schema(edges_schema).json(f"{path}/edges"))
 
 
-def append_log(df: DataFrame, path: str, day_column: str | None = None) -> None:
-    """Append to an event, run or version log; split by day when a timestamp is given."""
-    if day_column:
-        df.withColumn("day", F.to_date(day_column)).write.mode("append").partitionBy("day").parquet(path)
-    else:
-        df.write.mode("append").parquet(path)
+def append_log(df: DataFrame, path: str, day_column: str | None = None, run_id: str | None = None) -> None:
+    """Append to an event, run or version log; split by day when a timestamp is given.
+
+    With ``run_id`` the rows are the files of that run alone (a column ``run`` when the log is read): a job that is
+    repeated under its id replaces what it wrote and counts once. One log is written either with ids or without."""
+    if run_id is not None and not re.fullmatch(r"[\w-]+", run_id):
+        raise ValueError("run_id takes letters, digits, _ and - only")
+    out = df.withColumn("day", F.to_date(day_column)) if day_column else df
+    w = out.write.mode("append") if run_id is None else out.write.mode("overwrite")
+    w = w.partitionBy("day") if day_column else w
+    w.parquet(path if run_id is None else f"{path}/run={run_id}")
