@@ -363,13 +363,13 @@ fe AS (SELECT vr.name, CASE WHEN mm.concept_id IS NULL THEN 'gap' ELSE 'availabl
 
 @R.add("e24_feasibility", f"WITH {_FEAS} SELECT * FROM fe")
 def e24(spark, sf):
-    n, e, _, _ = catalog(spark, sf)
+    n, e, _, _ = catalog(spark, sf, ("fields",))
     return feasibility.feasibility(_variables(spark, sf), n, e).withColumn("quality_score", F.round(F.col("quality_score") + 1e-9, 6))
 
 
 @R.add("e24_coverage", f"WITH {_FEAS} SELECT count(*) AS total, count(*) FILTER (status = 'available') AS available, count(*) FILTER (status = 'gap') AS gaps, round(count(*) FILTER (status = 'available') / count(*) * 100, 6) AS percentage FROM fe")
 def e24b(spark, sf):
-    n, e, _, _ = catalog(spark, sf)
+    n, e, _, _ = catalog(spark, sf, ("fields",))
     return feasibility.coverage(feasibility.feasibility(_variables(spark, sf), n, e)).withColumn("percentage", r6(F.col("percentage")))
 
 

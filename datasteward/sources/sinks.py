@@ -28,8 +28,9 @@ def read_graph(spark: SparkSession, path: str, nodes_schema=None, edges_schema=N
 
 
 def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    nodes.write.mode("overwrite").json(f"{path}/nodes")
-    edges.write.mode("overwrite").json(f"{path}/edges")
+    """One compressed JSON line per node and edge; names and id prefixes come again on every line."""
+    nodes.write.mode("overwrite").option("compression", "gzip").json(f"{path}/nodes")
+    edges.write.mode("overwrite").option("compression", "gzip").json(f"{path}/edges")
 
 
 def read_graph_json(spark: SparkSession, path: str, nodes_schema, edges_schema) -> tuple[DataFrame, DataFrame]:
