@@ -99,6 +99,21 @@ def test_components_of_long_chains(spark):
     assert all(got[f"x{i}"] == "hub" for i in range(40))
 
 
+@pytest.mark.parametrize("one_task", [1 << 20, 0])
+def test_components_in_one_task_and_in_rounds(spark, one_task):
+    """Chains in any order of names, a hub, repeated and null ids; the rounds keep few tables, whatever the order."""
+    rng = random.Random(5)
+    names = [f"n{i:03d}" for i in rng.sample(range(300), 300)]
+    pairs = list(zip(names[:200], names[1:200])) + [("hub", x) for x in names[210:260]] + [("hub", "hub"), ("a", "not a node")]
+    nodes, edges = _edges(spark, pairs)
+    nodes = nodes.filter("id <> 'not a node'").unionByName(nodes.filter("id in ('hub', 'z')"))
+    nodes = nodes.unionByName(nodes.filter("id = 'z'").limit(1).withColumn("id", F.lit(None).cast("string")))
+    edges = edges.unionByName(edges.limit(1).withColumn("dst", F.lit(None).cast("string")))
+    got = [(r["id"], r["component"]) for r in health.connected_components(nodes, edges, one_task).collect()]
+    want = {x: min(names[:200]) for x in names[:200]} | {x: "hub" for x in ["hub", *names[210:260]]} | {"a": "a", "z": "z", None: None}
+    assert sorted(got, key=str) == sorted([*want.items(), ("hub", "hub"), ("z", "z")], key=str)
+
+
 def test_communities_stay_inside_components(spark):
     pairs = [(a, b) for g in ("a", "b") for i in range(6) for j in range(i) for a, b in [(f"{g}{i}", f"{g}{j}")]] + [("a0", "b0")]
     nodes, edges = _edges(spark, pairs)
