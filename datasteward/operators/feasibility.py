@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from datasteward.operators.catalog import concept_fields, concept_quality, of_type
 from datasteward.operators.semantic import containing_names
+from datasteward.sources.shared import materialize
 
 # Extra keywords of concepts whose name contains the key.
 CONCEPT_WORDS = {
@@ -42,11 +43,12 @@ def _containing_sets(vw: DataFrame, fw: DataFrame) -> DataFrame:
     return inside.select("name", "concept_id").unionAll(around.select("name", "concept_id"))
 
 
-def match_variables(variables: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def match_variables(variables: DataFrame, nodes: DataFrame, edges: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     """(name, concept_id, step): exact name, partial name, field name, field words, keywords.
 
     Concepts with equal names, and equal word sets, are reduced to the first one before any
-    join, so the joins grow with the vocabulary and not with the catalog.
+    join, so the joins grow with the vocabulary and not with the catalog. Each step is written once, because later ones
+    leave out what earlier ones found. ``fields`` are the rows of ``concept_fields``, if the caller has them.
     """
     v = variables.select("name", F.lower("name").alias("low"), F.coalesce("description", F.lit("")).alias("description"))
     c = of_type(nodes, "concept").select(F.col("id").alias("concept_id"), F.lower(F.coalesce("name", F.lit(""))).alias("cname"),
@@ -59,13 +61,15 @@ def match_variables(variables: DataFrame, nodes: DataFrame, edges: DataFrame) ->
     steps = [step(v.join(by_name, F.col("low") == F.col("cname")), 1)]
     inside = containing_names(v.select(F.col("low").alias("name")), by_name.select(F.col("cname").alias("name")))
     steps.append(step(v.join(inside, F.col("low") == F.col("na")).join(by_name, F.col("nb") == F.col("cname")), 2))
-    names = (concept_fields(nodes, edges).select(F.lower("column").alias("fname"), "concept_id").filter("fname <> ''")
-             .groupBy("fname").agg(F.min("concept_id").alias("concept_id")))
+    fields = concept_fields(nodes, edges) if fields is None else fields
+    names = materialize(fields.select(F.lower("column").alias("fname"), "concept_id").filter("fname <> ''")
+                        .groupBy("fname").agg(F.min("concept_id").alias("concept_id")))
     steps.append(step(v.join(names, F.col("low") == F.col("fname")), 3))
-    vw = v.select("name", _words(F.col("low")).alias("vw"))
-    fw = names.select("concept_id", _words(F.col("fname")).alias("fw")).groupBy(F.array_sort("fw").alias("fw")).agg(F.min("concept_id").alias("concept_id"))
-    found = reduce(DataFrame.unionByName, steps).select("name").distinct()
-    steps.append(step(_containing_sets(vw.join(found, "name", "left_anti"), fw), 4))
+    steps = [materialize(reduce(DataFrame.unionByName, steps))]
+    vw = materialize(v.join(steps[0].select("name"), "name", "left_anti").select("name", _words(F.col("low")).alias("vw")))
+    fw = materialize(names.select("concept_id", _words(F.col("fname")).alias("fw"))
+                     .groupBy(F.array_sort("fw").alias("fw")).agg(F.min("concept_id").alias("concept_id")))
+    steps.append(materialize(step(_containing_sets(vw, fw), 4)))
     extra = F.flatten(F.array(*[F.when(F.col("cname").contains(k), F.array(*[F.lit(w) for w in ws])).otherwise(F.array().cast("array<string>"))
                                 for k, ws in CONCEPT_WORDS.items()]))
     kw = (c.select("concept_id", F.array_sort(F.array_distinct(F.concat(_words(F.col("cname")), _words(F.col("definition")), extra))).alias("cw"))
@@ -82,11 +86,11 @@ def match_variables(variables: DataFrame, nodes: DataFrame, edges: DataFrame) ->
 
 def feasibility(variables: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Status of each required variable: available or gap, sources, quality, usable."""
-    fields = concept_fields(nodes, edges)
+    fields = materialize(concept_fields(nodes, edges).select("concept_id", "source_db", "column", "quality_score"))
     q = concept_quality(fields)
     src = fields.select("concept_id", "source_db").distinct().groupBy("concept_id").agg(F.count("source_db").alias("sources"))
     c = of_type(nodes, "concept").select(F.col("id").alias("concept_id"), F.coalesce("review_status", F.lit("approved")).alias("review_status"))
-    m = match_variables(variables, nodes, edges).join(c, "concept_id").join(q, "concept_id", "left").join(src, "concept_id", "left")
+    m = match_variables(variables, nodes, edges, fields).join(c, "concept_id").join(q, "concept_id", "left").join(src, "concept_id", "left")
     t = variables.select("name").join(m, "name", "left").fillna({"total_fields": 0, "avg_score": 0.0, "sources": 0})
     usable = (F.col("total_fields") > 0) & (F.col("avg_score") >= 0.4) & ~F.col("review_status").isin("proposed", "rejected")
     return t.select("name", F.when(F.col("concept_id").isNull(), "gap").otherwise("available").alias("status"), "concept_id", "step",

@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from datasteward.functions import text as tx
+from datasteward.operators import catalog as cat
 from datasteward.operators import cells, feasibility, harmonize, profile, validate
 from datasteward.sources import readers
 from datasteward.streaming import streams
@@ -94,3 +95,18 @@ def test_marks_fold_in_every_language(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(tx.normalize_text(F.col("t"))).collect()]
     assert got == ["seker orult caj", "zołc łodz", "ecole n", "istanbul", "a s a αλφα елка", "日本 한국어", "øđß", "", None]
+
+
+def test_variables_join_the_fields_once(spark, tmp_path):
+    """Every step leaves out what earlier ones found, but none joins the fields with their concepts again."""
+    nodes = cat.conform(spark.createDataFrame(
+        [("c1", "concept", "birth date", None), ("c2", "concept", "town", None), ("f1", "field", None, "home_town"), ("f2", "field", None, "born")],
+        "id string, type string, name string, column string"), cat.NODE_COLUMNS)
+    edges = cat.conform(spark.createDataFrame([("f1", "c2", "implementa"), ("f2", "c1", "implementa")], "src string, dst string, type string"), cat.EDGE_COLUMNS)
+    edges.write.parquet(f"{tmp_path}/edges")
+    edges = spark.read.parquet(f"{tmp_path}/edges")
+    variables = spark.createDataFrame([("birth date", ""), ("born", ""), ("home_town", ""), ("town home", ""), ("x", "the date"), ("y", "")], "name string, description string")
+    got = feasibility.match_variables(variables, nodes, edges)
+    assert not [f for f in got.inputFiles() if "/edges/" in f]
+    assert {r["name"]: (r["concept_id"], r["step"]) for r in got.collect()} == {
+        "birth date": ("c1", 1), "born": ("c1", 3), "home_town": ("c2", 2), "town home": ("c2", 2), "x": ("c1", 5)}
