@@ -24,7 +24,7 @@ def atomic_columns(df: DataFrame) -> list[str]:
 
 def as_text(df: DataFrame, columns: list[str] | None = None, scale: int = 4) -> DataFrame:
     """Every column as text, without loss: two floating-point cells have equal text only if they are equal."""
-    return df.select(*[_text_col(df, name, scale) for name in columns or atomic_columns(df)])
+    return df.select(*[text_of(df, name, scale) for name in columns or atomic_columns(df)])
 
 
 def cells(df: DataFrame, source: str, columns: list[str] | None = None,
@@ -35,7 +35,7 @@ def cells(df: DataFrame, source: str, columns: list[str] | None = None,
     text = as_text(df, columns)
     if ids:
         kept = [F.col(i).alias(f"_id_{i}") for i in ids]
-        text = df.select(*kept, *[_text_col(df, c) for c in columns])
+        text = df.select(*kept, *[text_of(df, c) for c in columns])
         out = text.unpivot([f"_id_{i}" for i in ids], columns, "column", "value")
         out = out.withColumnsRenamed({f"_id_{i}": i for i in ids})
         return out.select(F.lit(source).alias("source"), *ids, "column", "value")
@@ -43,7 +43,7 @@ def cells(df: DataFrame, source: str, columns: list[str] | None = None,
     return out.select(F.lit(source).alias("source"), "column", "value")
 
 
-def _text_col(df: DataFrame, name: str, scale: int = 4):
+def text_of(df: DataFrame, name: str, scale: int = 4):
     c = F.col(f"`{name}`")
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
         fixed = c.try_cast(f"decimal(38,{scale})")

@@ -1,8 +1,8 @@
 """Column profiles from stored states: a new day of a table is read alone, and any range of days is profiled without data.
 
 A state is one row per (source, part, column): counters, an exact decimal sum, squared deviations, extremes, and three of
-Spark's mergeable sketches (distinct values, quantiles, frequent values). Cells are folded into states before the one
-shuffle, which carries states only. States are files by source and part; adding a part again replaces its own files and
+Spark's mergeable sketches (distinct values, quantiles, frequent values). Rows are folded into the states of all their
+columns before the shuffles, which carry states only. States are files by source and part; adding a part again replaces its own files and
 no others, so a repeated job counts nothing twice. The exact profile stays the default elsewhere; here the counters, mean,
 deviation and extremes are exact too, distinct values and quartiles are estimates, and so are the counts of frequent values.
 
@@ -12,49 +12,81 @@ without rows leaves no state. Values above ``LONG_VALUE`` characters are counted
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from datasteward.functions import text as tx
-from datasteward.operators.cells import atomic_columns, cells
+from datasteward.operators.cells import atomic_columns, text_of
 
 KEYS = ["source", "column"]
 LG_DISTINCT = 14  # 16 KB a state, a standard error of 0.8 %
 QUANTILE_K = 800  # about 10 KB a state, ranks within half a per cent
 MOST_FREQUENT = 2048  # values a state follows; exact while a column has no more than three quarters of it
 LONG_VALUE = 200
+COLUMNS_AT_ONCE = 8  # folded by one pass over the rows
 STATE = ("column string, total long, n long, n_num long, fixed_sum decimal(38,8), sum_x double, all_fixed boolean, mean double, m2 double, "
          "min_x double, max_x double, distinct_values binary, quantiles binary, frequent struct<sketch: binary, maxItemsTracked: int, "
          "itemDataType: string, itemDataTypeDDL: string>, source string, part string")
 
 
-def partition_states(cell_rows: DataFrame) -> DataFrame:
-    """States of (source, part, column, value)."""
-    v, s, ok, x = F.col("value"), F.col("_s"), F.col("_ok"), F.col("_x")
-    fixed = x.try_cast("decimal(24,8)")
-    d = cell_rows.withColumn("_s", tx.strip(v)).withColumn("_ok", ~tx.is_missing(v, s=s))
-    d = d.withColumn("_x", F.when(ok, tx.parse_number(v, s)))
+def _plain(kind: T.DataType) -> bool:
+    """Types whose text is never blank, a word for a missing value, or long."""
+    return isinstance(kind, (T.IntegralType, T.DateType, T.TimestampType, T.DoubleType))
+
+
+def _cell(df: DataFrame, i: int) -> dict[str, Column]:
+    """What a state is folded from: the number of a cell, and its texts among the distinct and the frequent values."""
+    kind, c, v = df.schema[f"_c{i}"].dataType, F.col(f"_c{i}"), F.col(f"_v{i}")
+    if isinstance(kind, T.IntegralType):
+        return {"x": c.cast("double"), "key": v, "value": v}
+    if isinstance(kind, (T.DateType, T.TimestampType)):
+        return {"x": F.lit(None).cast("double"), "key": v, "value": v}
+    if isinstance(kind, T.DoubleType):  # -0.0 has the text of 0.0
+        return {"x": F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c + F.lit(0.0)), "key": F.upper(v), "value": v}
+    s = F.col(f"_s{i}")
+    ok = ~tx.is_missing(v, s=s)
     short = F.when(F.length(v) <= LONG_VALUE, v).otherwise(F.concat(F.lit("sha2:"), F.sha2(v, 256)))
-    return d.withColumns({"_key": F.when(ok, F.upper(s)), "_fixed": fixed, "_value": F.when(ok, short)}).groupBy(
-        *KEYS, "part").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("n"), F.count("_x").alias("n_num"),
-        F.try_sum("_fixed").cast("decimal(38,8)").alias("fixed_sum"), F.sum("_x").alias("sum_x"),
-        F.every(x.isNull() | F.coalesce(F.col("_fixed").cast("double") == x, F.lit(False))).alias("all_fixed"),
-        F.avg("_x").alias("mean"), (F.var_pop("_x") * F.count("_x")).alias("m2"),
-        F.min("_x").alias("min_x"), F.max("_x").alias("max_x"),
-        F.hll_sketch_agg("_key", LG_DISTINCT).alias("distinct_values"),
-        F.kll_sketch_agg_double("_x", QUANTILE_K).alias("quantiles"),
-        F.expr(f"approx_top_k_accumulate(_value, {MOST_FREQUENT})").alias("frequent"))
+    return {"x": F.when(ok, tx.parse_number(v, s)), "key": F.when(ok, F.upper(s)), "value": F.when(ok, short)}
+
+
+def _folds(i: int) -> dict[str, Column]:
+    x, fixed, value = f"_x{i}", f"_fixed{i}", f"_value{i}"
+    return {
+        "total": F.count(F.lit(1)), "n": F.count(value), "n_num": F.count(x), "fixed_sum": F.try_sum(fixed).cast("decimal(38,8)"),
+        "sum_x": F.sum(x), "all_fixed": F.every(F.col(x).isNull() | F.coalesce(F.col(fixed).cast("double") == F.col(x), F.lit(False))),
+        "mean": F.avg(x), "m2": F.var_pop(x) * F.count(x), "min_x": F.min(x), "max_x": F.max(x),
+        "distinct_values": F.hll_sketch_agg(f"_key{i}", LG_DISTINCT), "quantiles": F.kll_sketch_agg_double(x, QUANTILE_K),
+        "frequent": F.expr(f"approx_top_k_accumulate({value}, {MOST_FREQUENT})")}
+
+
+def partition_states(df: DataFrame, part: Column, columns: list[str]) -> DataFrame:
+    """(part, column, state) of ``df``: a row is folded into the states of its part as it is read, so no cell becomes a row of its
+    own, and only parts are grouped. A pass folds ``COLUMNS_AT_ONCE`` columns, which bounds the states a task holds."""
+    passes = [columns[at:at + COLUMNS_AT_ONCE] for at in range(0, len(columns), COLUMNS_AT_ONCE)]
+    return reduce(DataFrame.unionByName, [_fold(df, part, own) for own in passes])
+
+
+def _fold(df: DataFrame, part: Column, columns: list[str]) -> DataFrame:
+    at = range(len(columns))
+    d = df.select(part.cast("string").alias("part"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)])
+    d = d.withColumns({f"_v{i}": text_of(d, f"_c{i}") for i in at})
+    d = d.withColumns({f"_s{i}": tx.strip(F.col(f"_v{i}")) for i in at if not _plain(d.schema[f"_c{i}"].dataType)})
+    d = d.select("part", *[c.alias(f"_{name}{i}") for i in at for name, c in _cell(d, i).items()])
+    d = d.withColumns({f"_fixed{i}": F.col(f"_x{i}").try_cast("decimal(24,8)") for i in at})
+    folded = d.groupBy("part").agg(*[f.alias(f"{name}{i}") for i in at for name, f in _folds(i).items()])
+    states = [F.struct(F.lit(c).alias("column"), *[F.col(f"{name}{i}").alias(name) for name in _folds(i)]) for i, c in enumerate(columns)]
+    return folded.select("part", F.explode(F.array(*states)).alias("s")).select("part", "s.*")
 
 
 def add_states(df: DataFrame, source: str, part: Column, path: str, columns: list[str] | None = None) -> None:
     """Store the states of the parts that occur in ``df``; stored states of these parts are replaced, others stay.
 
     Filter ``df`` to the parts wanted, whole, before the call: the filter reaches the scan."""
-    columns = columns or atomic_columns(df)
-    given = df.select(*[F.col(f"`{c}`") for c in columns], part.cast("string").alias("_part_of_row"))
-    rows = cells(given, source, columns, ids=["_part_of_row"]).withColumnRenamed("_part_of_row", "part")
-    (partition_states(rows).repartition("source", "part")
+    states = partition_states(df, part, columns or atomic_columns(df)).withColumn("source", F.lit(source))
+    (states.repartition("source", "part")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "part").parquet(path))
 
 

@@ -97,3 +97,19 @@ def test_odd_tables(spark, tmp_path):
     assert got["value"]["missing"] == 1 and got["source"]["mean"] == 2 and got["column"]["type"] == "numeric"
     ps.add_states(odd.limit(0), "odd", F.col("part"), path)  # no parts, nothing replaced
     assert by_column(ps.merged_cardinality(ps.read_states(spark, path)))["part"]["n"] == 2
+
+
+def test_types_and_many_columns(spark, tmp_path):
+    """Every type has the figures of its text, in several passes over the rows, and no cell becomes a row of its own."""
+    rows = [(k, 2 ** 60 + k, [0.5, -0.0, 1e-5, float("nan"), float("inf"), 1e17, None][k % 7], ["A", "NA", " 1.5 ", None][k % 4]) for k in range(40)] + [(None,) * 4]
+    t = spark.createDataFrame(rows, "i int, l long, d double, s string").selectExpr(
+        "i", "l", "d", "s", "cast(d as float) as f", "cast(i as decimal(9,3)) as m", "i > 3 as b", "date_add(date'2024-01-01', i) as day",
+        "timestamp_seconds(i) as ts", "s as `odd name`", "cast(i % 3 as string) as part")
+    whole = ps.partition_states(t, F.col("part"), t.columns)
+    assert "Expand" not in whole._jdf.queryExecution().executedPlan().toString() and len(t.columns) > ps.COLUMNS_AT_ONCE
+    ps.add_states(t, "t", F.col("part"), str(tmp_path / "s"))
+    got, want = by_column(ps.merged_profile(ps.read_states(spark, str(tmp_path / "s")))), by_column(profile.distribution_summary(cells(t, "t")))
+    assert set(got) == set(want)
+    for c, w in want.items():
+        for name in ("count", "unique", "missing", "type", "mean", "std", "min", "max"):
+            assert got[c][name] == (pytest.approx(w[name], rel=1e-9) if isinstance(w[name], float) else w[name]), (c, name)
