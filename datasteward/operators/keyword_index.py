@@ -1,4 +1,4 @@
-"""A stored keyword index in segments, and exact BM25 search that leaves frequent terms unread where they cannot matter.
+"""A stored keyword index in segments, and exact BM25 search that leaves frequent terms out where they cannot matter.
 
 Postings stand in blocks by (term, bucket of documents), so a frequent term has many rows and none grows with the corpus.
 A block knows its largest term frequency and its shortest document, which bound what a term can add to a score. A
@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from datasteward.functions import text as tx
+from datasteward.operators.keyword_scores import MARGIN, numbered_terms, pair_scores
 from datasteward.operators.retrieval import B, K1, query_terms, top_k
 from datasteward.sources.shared import materialize, shared_dir
 
 DOCS_PER_BLOCK = 4096
 SEEDS = 20  # times k postings of the rarest terms set the first threshold
-MARGIN = 1e-6  # far above the rounding of a sum of scores
+MOST_SEEDS = 2000  # times k postings of one term are read for it at most
 
 
 @dataclass(frozen=True)
@@ -73,51 +74,45 @@ def search(index: KeywordIndex, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Postings of a query's rarest terms give k documents and the score that the k-th best reaches at least. Terms whose
     bounds together stay below it cannot lift a document on their own: only documents with one of the other terms are
-    candidates, and of those terms only the blocks that hold a candidate are read. Queries stay a table throughout. A query
+    candidates, and the weak terms are added up only in blocks that hold a candidate. Queries stay a table throughout. A query
     without words, or without a known word, has no rows."""
     live = index.live()
     size = live.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     n_docs, avgdl = size["n"], size["avgdl"] or 1.0
     q = query_terms(queries)
-    blocks = index.blocks().join(q.select("term").distinct(), "term", "left_semi")
+    names = numbered_terms(q)
+    blocks = index.blocks().join(names, "term")
     whole = index.docs().count() == n_docs
     if whole:
-        known = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+        known = blocks.groupBy("t").agg(F.sum("n").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
     else:  # replaced documents neither count nor bound
-        entries = blocks.select("seq", "term", "bucket", F.explode("entries").alias("e")).select("seq", "term", "bucket", "e.*")
+        entries = blocks.select("seq", "t", F.explode("entries").alias("e")).select("seq", "t", "e.*")
         entries = materialize(entries.join(live.select("seq", "id"), ["seq", "id"], "left_semi"))
-        known = entries.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+        known = entries.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = materialize(q.join(known, "term").select("query_id", "term", "df", (F.col("qtf") * idf).alias("weight"))
-                        .join(known.select("term", _impact(F.col("max_tf"), F.col("min_dl"), avgdl).alias("most")), "term")
-                        .withColumn("bound", F.col("weight") * F.col("most")).drop("most"))
-
-    def read(asked: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-        """(query_id, id, seq, bucket, part) of the postings of (query_id, term, weight); of the wanted blocks only."""
+    terms = materialize(q.join(names, "term").join(known, "t").select(
+        "query_id", "t", "term", "df", (F.col("qtf") * idf).alias("weight"), _impact(F.col("max_tf"), F.col("min_dl"), avgdl).alias("most"))
+        .withColumn("bound", F.col("weight") * F.col("most")).drop("most"))
+
+    def read(wanted: DataFrame | None = None) -> DataFrame:
+        """(id, t, a) of the postings of the wanted terms."""
+        own = blocks if whole else entries
+        own = own if wanted is None else own.join(wanted.select("t").distinct(), "t", "left_semi")
         if whole:
-            own = blocks if wanted is None else blocks.join(wanted, ["seq", "term", "bucket"], "left_semi")
-            own = own.select("seq", "term", "bucket", F.explode("entries").alias("e")).select("seq", "term", "bucket", "e.*")
-        else:
-            own = entries if wanted is None else entries.join(wanted, ["seq", "term", "bucket"], "left_semi")
-        return own.join(asked.select("query_id", "term", "weight"), "term").select(
-            "query_id", "id", "seq", "bucket", "term", (F.col("weight") * _impact(F.col("tf"), F.col("dl"), avgdl)).alias("part"))
+            own = own.select("t", F.explode("entries").alias("e")).select("t", "e.*")
+        return own.select("id", "t", _impact(F.col("tf"), F.col("dl"), avgdl).alias("a"))
 
     rare = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)  # the words of a query
-    seeds = terms.withColumn("read", F.coalesce(F.sum("df").over(rare), F.lit(0))).filter(F.col("read") < SEEDS * k)
-    first = read(seeds).groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    seeds = (terms.withColumn("read", F.coalesce(F.sum("df").over(rare), F.lit(0)))
+             .filter((F.col("read") < SEEDS * k) & (F.col("df") <= MOST_SEEDS * k)))
+    first = (read(seeds).join(seeds.select("query_id", "t", "weight"), "t").groupBy("query_id", "id")
+             .agg(F.sum(F.col("weight") * F.col("a")).alias("score")))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"))
     least = (first.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).groupBy("query_id")
              .agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k).select("query_id", "least"))
     weak = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
-    split = materialize(terms.join(least, "query_id", "left").withColumn("upto", F.sum("bound").over(weak))
-                        .withColumn("strong", F.coalesce(F.col("upto") >= F.col("least") - MARGIN, F.lit(True))))
-    others = split.filter("not strong")
-    rest = others.groupBy("query_id").agg(F.sum("bound").alias("rest"), F.first("least").alias("least"))
-    found = (read(split.filter("strong")).groupBy("query_id", "id", "seq", "bucket").agg(F.sum("part").alias("part"))
-             .join(rest, "query_id", "left").filter("rest is null or part + rest >= least - 1e-6").drop("rest", "least"))
-    found = materialize(found)
-    looked = found.join(others.select("query_id", "term"), "query_id").select("seq", "term", "bucket").distinct()
-    more = read(others, looked).join(found.select("query_id", "id", "seq"), ["query_id", "id", "seq"], "left_semi")
-    scores = (found.select("query_id", "id", "part").unionAll(more.select("query_id", "id", "part"))
-              .groupBy("query_id", "id").agg(F.sum("part").alias("bm25")))
-    return top_k(scores, k, "bm25")
+    split = (terms.join(least, "query_id", "left").withColumn("upto", F.sum("bound").over(weak))
+             .withColumn("least", F.coalesce("least", F.lit(float("-inf")))).withColumn("strong", F.col("upto") >= F.col("least") - MARGIN))
+    rest = F.coalesce(F.sum(F.when(~F.col("strong"), F.col("bound"))).over(Window.partitionBy("query_id")), F.lit(0.0))
+    asked = split.select("query_id", "t", F.col("weight").alias("w"), "strong", rest.alias("rest"), "least")
+    return top_k(pair_scores(read(), asked, n_docs, k).withColumnRenamed("score", "bm25"), k, "bm25")

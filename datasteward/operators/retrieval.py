@@ -1,6 +1,6 @@
 """Norm retrieval: chunks, BM25, vectors, hybrid ranking, backing, evaluation.
 
-Keyword scores are sparse: only documents that share a term with a query are joined. Vectors are
+Keyword scores are sums over common terms, added up in blocks of documents and lists of queries. Vectors are
 found by an index in blocks; queries are a table in both.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from datasteward.functions import text as tx
 from datasteward.functions.vectors import cosine_vec
 from datasteward.operators import vector_index
+from datasteward.operators.keyword_scores import NORM, numbered_terms, pair_scores
 from datasteward.operators.ranks import top_k
 from datasteward.sources.shared import materialize
 
@@ -89,11 +90,13 @@ def hashed_vector(df: DataFrame, id: str, text: str, dims: int = 64) -> DataFram
 
 # --- keyword index ------------------------------------------------------------------------
 
-def postings(corpus: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
-    """(id, term, tf, dl). The document length travels with each posting."""
+def postings(corpus: DataFrame, id: str = "id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, dl). The document length travels with each posting. Of numbered ``terms`` (term, t) only: (id, t, tf, dl)."""
     t = corpus.select(id, text).select(F.col(id).alias("id"), tx.tokenize(F.col(text)).alias("tok"))
     t = t.select("id", F.size("tok").alias("dl"), F.explode("tok").alias("term"))
-    return t.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    if terms is not None:
+        t = t.join(terms, "term")
+    return t.groupBy("id", "term" if terms is None else "t").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def corpus_totals(corpus: DataFrame, text: str = "text") -> tuple[int, float]:
@@ -114,25 +117,26 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return t.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, bm25) of all documents that share a term with a query.
+def bm25_scores(corpus: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, id, bm25) of all documents that share a term with a query; with ``k`` of those that can be among its best k.
 
-    Postings are reduced to the terms of the queries before their frequencies are counted,
+    Words are reduced to those of the queries before their frequencies are counted,
     and a term that is repeated in a query counts as often as it occurs there.
     """
     q = query_terms(queries)
-    post = materialize(postings(corpus).join(q.select("term").distinct(), "term", "left_semi"))
+    terms = numbered_terms(q)
+    post = materialize(postings(corpus, terms=terms))
     n_docs, avgdl = corpus_totals(corpus)
-    idf = bm25_idf(post, n_docs)
+    idf = bm25_idf(post.withColumnRenamed("t", "term"), n_docs).select(F.col("term").alias("t"), "idf")
     f = F.col("tf").cast("double")
-    part = F.col("qtf") * F.col("idf") * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("dl") / avgdl))
-    t = post.join(q.join(idf, "term"), "term")
-    return t.groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
+    part = (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("dl") / avgdl))
+    asked = q.join(terms, "term").join(idf, "t").select("query_id", "t", (F.col("qtf") * F.col("idf")).alias("w"))
+    return pair_scores(post.select("id", "t", part.alias("a")), asked, n_docs, k).withColumnRenamed("score", "bm25")
 
 
 def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Scores every document that shares a term; ``keyword_index.search`` gives the same from a stored index and reads less."""
-    return top_k(bm25_scores(corpus, queries), k, "bm25")
+    """Scores every document that shares a term; ``keyword_index.search`` gives the same from a stored index."""
+    return top_k(bm25_scores(corpus, queries, k), k, "bm25")
 
 
 # --- vectors and hybrid -------------------------------------------------------------------
@@ -224,13 +228,12 @@ def tfidf_rank(docs: DataFrame, queries: DataFrame, k: int | None = 10) -> DataF
     q = (qt.join(size, "query_id").join(terms, "term", "left")
          .select("query_id", "term", (F.col("qtf") / F.col("ql")).alias("qf"), F.coalesce("idf1", fresh).alias("idf1"), "idf0"))
     qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.pow(F.col("qf") * F.col("idf1"), 2))).alias("qnorm"))
-    m = post.join(q.filter("idf0 is not null"), "term")
-    t2 = F.col("tf") * F.col("tf")
-    s = m.groupBy("query_id", "id").agg(
-        F.sum(F.col("qf") * F.col("tf") * F.col("idf1") * F.col("idf1")).alias("dot"),
-        F.sum(t2 * (F.col("idf1") * F.col("idf1") - F.col("idf0") * F.col("idf0"))).alias("fix"))
-    out = (s.join(base, "id").join(qn, "query_id")
-           .select("query_id", "id", (F.col("dot") / (F.col("qnorm") * F.sqrt(F.col("norm2") + F.col("fix")))).alias("score")))
+    known = numbered_terms(q.filter("idf0 is not null"))
+    one, none = F.col("idf1") * F.col("idf1"), F.col("idf0") * F.col("idf0")
+    asked = q.join(known, "term").join(qn, "query_id").select("query_id", "t", (F.col("qf") * one / F.col("qnorm")).alias("w"), (one - none).alias("v"))
+    own = post.join(known, "term").select("id", "t", F.col("tf").alias("a"))
+    lengths = base.select("id", F.lit(NORM).cast("long").alias("t"), F.col("norm2").alias("a"))
+    out = pair_scores(own.unionByName(lengths).filter("id is not null"), asked, n, k)
     return out if k is None else top_k(out, k, "score")
 
 

@@ -1,11 +1,13 @@
 """Search from a stored keyword index against scoring every document that shares a term."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from datasteward.operators import keyword_index as ki
+from datasteward.operators import keyword_scores as ks
 from datasteward.operators import retrieval as rt
 from datasteward.sources.shared import shared_dir
 
@@ -48,3 +50,17 @@ def test_replaced_sources(spark, corpus):
     assert before < {f for f in index.blocks().inputFiles()}  # the old segment stays as it is
     now = rt.replace_sources(df.filter("source is not null"), again).unionByName(df.filter("source is null"))
     assert results(ki.search(index, q, 5)) == results(rt.bm25_search(now, q, 5))
+
+
+def test_only_the_best_pairs_leave_a_block(spark, corpus, monkeypatch):
+    """Of a query that shares a term with every document a block hands on the best, copies included once k are there."""
+    monkeypatch.setattr(ks, "DOCS", 50)
+    monkeypatch.setattr(ks, "QUERIES", 3)
+    df, q = spark.createDataFrame(corpus, DOCS), spark.createDataFrame(QUERIES, "query_id long, text string")
+    pairs, some = rt.bm25_scores(df, q).collect(), rt.bm25_scores(df, q, 2).collect()
+    blocks = -(-len(corpus) // 50)
+    assert max(Counter(r["query_id"] for r in pairs).values()) > 200
+    assert max(Counter(r["query_id"] for r in some).values()) <= 2 * blocks + 8  # other scores that agree to nine decimals
+    order = lambda rows: sorted(rows, key=lambda r: (r["query_id"], -round(r["bm25"], 9), r["id"]))
+    want = [(x, r["id"]) for x in {r["query_id"] for r in pairs} for r in [r for r in order(pairs) if r["query_id"] == x][:2]]
+    assert {(r["query_id"], r["id"]) for r in rt.bm25_search(df, q, 2).collect()} == set(want)
