@@ -86,12 +86,10 @@ def _deal(centres: np.ndarray):
             lists = b.column("embedding")
             x = _unit(lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1))
             zero = ~x.any(axis=1)
-            if len(centres):
-                cos = x @ centres.T
-                near = cos.argmax(axis=1)
-                far = cos[np.arange(len(x)), near]
-            else:
-                near, far = np.zeros(len(x), int), np.zeros(len(x))
+            near, far = np.zeros(len(x), int), np.zeros(len(x))
+            for at in range(0, len(x) if len(centres) else 0, BLOCK):  # cosines of a block's rows with all centres at a time
+                cos = x[at:at + BLOCK] @ centres.T
+                near[at:at + BLOCK], far[at:at + BLOCK] = cos.argmax(axis=1), cos.max(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [*[c for c, name in zip(b.columns, b.schema.names, strict=True) if name != "embedding"],
                  pa.array(np.where(zero, -1, near), pa.int32()), pa.array(far), pa.array([r.tobytes() for r in x], pa.binary())],
@@ -194,26 +192,26 @@ def _bounds(k: int | None, weight: float, floor: float):
 
 def _read(k: int, weight: float, floor: float, dims: int, tagged: bool):
     """(query_id, id, score, cosine): the k best rows of one block for each query that asks for it, ties included."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                x = np.frombuffer(batch.column("vectors")[i].as_py(), np.float64).reshape(-1, dims)
-                asked, ids = batch.column("asked")[i].values, batch.column("ids")[i].values
-                q = _unit(asked.field("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(asked), -1))
-                cosine = q @ x.T
-                score = weight * np.maximum(cosine, floor)
-                order = np.round(score, 9)
-                wanted = asked.field("tag").to_pylist()
-                if any(t is not None for t in wanted):
-                    has = [set(t or ()) for t in batch.column("tags")[i].as_py()] if tagged else [set()] * len(x)
-                    inside = {t: np.array([t in h for h in has]) for t in set(wanted) - {None}}
-                    for j, t in enumerate(wanted):
-                        if t is not None:
-                            order[j, ~inside[t]] = -np.inf
-                cut = np.partition(order, -k, axis=1)[:, -k] if len(x) > k else np.full(len(q), -np.inf)
-                row, col = np.nonzero((order >= cut[:, None]) & (order > -np.inf))
-                yield pa.RecordBatch.from_arrays([asked.field("query_id").take(pa.array(row)), ids.take(pa.array(col)), pa.array(score[row, col]),
-                                                  pa.array(cosine[row, col])], names=["query_id", "id", "score", "cosine"])
+    def run(block: pa.Table, asked: pa.Table) -> pa.Table:
+        if not (len(block) and len(asked)):
+            return pa.table({"query_id": asked["query_id"].slice(0, 0), "id": pa.array([], block.schema.field("ids").type.value_type),
+                             "score": pa.array([], pa.float64()), "cosine": pa.array([], pa.float64())})
+        x = np.frombuffer(block["vectors"][0].as_py(), np.float64).reshape(-1, dims)
+        ids = block["ids"][0].values
+        q = _unit(asked["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(asked), -1))
+        cosine = q @ x.T
+        score = weight * np.maximum(cosine, floor)
+        order = np.round(score, 9)
+        wanted = asked["tag"].to_pylist()
+        if any(t is not None for t in wanted):
+            has = [set(t or ()) for t in block["tags"][0].as_py()] if tagged else [set()] * len(x)
+            inside = {t: np.array([t in h for h in has]) for t in set(wanted) - {None}}
+            for j, t in enumerate(wanted):
+                if t is not None:
+                    order[j, ~inside[t]] = -np.inf
+        cut = np.partition(order, -k, axis=1)[:, -k] if len(x) > k else np.full(len(q), -np.inf)
+        row, col = np.nonzero((order >= cut[:, None]) & (order > -np.inf))
+        return pa.table({"query_id": asked["query_id"].take(pa.array(row)), "id": ids.take(pa.array(col)), "score": score[row, col], "cosine": cosine[row, col]})
     return run
 
 
@@ -252,11 +250,11 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 5, weight: float = 1
     schema = T.StructType([asks.schema["query_id"], T.StructField("id", index.ids)]).add("score", T.DoubleType()).add("cosine", T.DoubleType())
 
     def read(pairs: DataFrame) -> DataFrame:
-        asked = (pairs.select("query_id", "block").join(asks, "query_id")
-                 .groupBy("block", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).alias("chunk"))
-                 .agg(F.collect_list(F.struct("query_id", "embedding", "tag")).alias("asked")))  # about QUERIES at most
-        own = blocks.select("block", "ids", "vectors", *(["tags"] if tagged else [])).join(asked, "block").drop("block", "chunk")
-        return top_k(own.mapInArrow(_read(k, weight, floor, index.dims, tagged), schema), k, "score").drop("rank")
+        asked = pairs.select("query_id", "block").join(asks, "query_id").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)))
+        own = blocks.select("block", "ids", "vectors", *(["tags"] if tagged else [])).join(asked.select("block", "chunk").distinct(), "block")
+        own = own.withColumnsRenamed({"block": "own_block", "chunk": "own_chunk"})
+        found = own.groupBy("own_block", "own_chunk").cogroup(asked.groupBy("block", "chunk"))  # one block and about QUERIES queries in a group
+        return top_k(found.applyInArrow(_read(k, weight, floor, index.dims, tagged), schema), k, "score").drop("rank")
 
     near = blocks_for(index, asks, k, weight, floor)
     higher = Window.partitionBy("query_id").orderBy(F.desc("most"), "block").rowsBetween(Window.unboundedPreceding, -1)  # k rows a list at most
