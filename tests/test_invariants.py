@@ -177,6 +177,18 @@ def test_no_move_gains(spark, one_task):
                 assert _modularity(pairs, {**found, x: c}) <= now + 1e-12
 
 
+def test_context_lists_ends_of_repeated_nodes_once(spark):
+    """Both directions, repeated ids, names that are null, and links to another community or to no member."""
+    nodes = cat.conform(spark.createDataFrame([("a", "concept", "A"), ("b", "field", "B"), ("b", "field", "B"), ("c", "field", None), ("d", "field", "D"), ("s", "source", "S")],
+                                              "id string, type string, name string"), cat.NODE_COLUMNS)
+    edges = cat.conform(spark.createDataFrame([("b", "a", "implementa"), ("c", "a", "implementa"), ("b", "c", "equivalente_a"), ("d", "a", "implementa"), ("b", "s", "proviene_de")],
+                                              "src string, dst string, type string"), cat.EDGE_COLUMNS)
+    members = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "a"), ("d", "d")], "id string, community string")
+    got = sorted(tuple(r) for r in health.community_context(members, nodes, edges).collect())
+    b = ("a", "b", "- [field] B | conexiones: implementa->A")
+    assert got == [("a", "a", "- [concept] A | conexiones: B->implementa"), b, b, ("a", "c", "- [field] c | conexiones: B->equivalente_a, implementa->A"), ("d", "d", "- [field] D")]
+
+
 @pytest.mark.parametrize("method", ["pearson", "spearman"])
 def test_correlation_matrix(spark, method):
     """Against pandas, with values missing here and there, ties, a constant column, an empty one, and more than a block."""
