@@ -189,6 +189,17 @@ def test_context_lists_ends_of_repeated_nodes_once(spark):
     assert got == [("a", "a", "- [concept] A | conexiones: B->implementa"), b, b, ("a", "c", "- [field] c | conexiones: B->equivalente_a, implementa->A"), ("d", "d", "- [field] D")]
 
 
+def test_orphans_are_looked_for_once_and_not_broadcast(spark, monkeypatch):
+    calls, orphans = [], health.orphans
+    monkeypatch.setattr(health, "orphans", lambda n, e: (calls.append(orphans(n, e)), calls[-1])[1])
+    nodes = cat.conform(spark.createDataFrame([("concept:1", "concept", "red bolt"), ("f1", "field", "red_bolt_old"), ("f2", "field", "x"), ("f3", "field", "y"), ("k", "classifier", "K"),
+                                               ("s", "source", "S")], "id string, type string, name string"), cat.NODE_COLUMNS)
+    edges = cat.conform(spark.createDataFrame([("f3", "s", "proviene_de")], "src string, dst string, type string"), cat.EDGE_COLUMNS)
+    got = {r["id"]: (r["type"], r["suggested_concept"], r["action"]) for r in health.orphan_actions(nodes, edges).collect()}
+    assert got == {"f1": ("field", "concept:1", "link_implementa"), "f2": ("field", None, "manual"), "concept:1": ("concept", None, "manual"), "k": ("classifier", None, "manual")}
+    assert len(calls) == 1 and "Broadcast" not in calls[0]._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("method", ["pearson", "spearman"])
 def test_correlation_matrix(spark, method):
     """Against pandas, with values missing here and there, ties, a constant column, an empty one, and more than a block."""
