@@ -177,6 +177,33 @@ def test_no_move_gains(spark, one_task):
                 assert _modularity(pairs, {**found, x: c}) <= now + 1e-12
 
 
+def test_communities_do_not_depend_on_the_order_of_rows(spark):
+    """Neither in one task nor in rounds, whatever the partitions and the order of the links."""
+    rng = random.Random(11)
+    pairs = [(f"n{a:03d}", f"n{b:03d}") for a in range(80) for b in range(a) if rng.random() < (0.3 if a // 8 == b // 8 else 0.02)]
+    for one_task in (1 << 20, 40):
+        found = set()
+        for parts in (1, 3):
+            nodes, edges = _edges(spark, pairs)
+            edges = edges.repartition(parts, F.rand(parts))
+            found.add(tuple(sorted(map(tuple, health.communities(nodes.repartition(parts, F.rand(parts)), edges, one_task=one_task).collect()))))
+        assert len(found) == 1
+
+
+def test_rounds_of_communities_are_few(spark, monkeypatch):
+    """Simultaneous moves end when they add little, and reach the modularity of single moves all but for little."""
+    looks, moves = [], health._moves
+    monkeypatch.setattr(health, "_moves", lambda *a: (looks.append(1), moves(*a))[1])
+    rng = random.Random(6)
+    pairs = [(f"c{i:02d}", f"x{i:02d}_{j}") for i in range(40) for j in range(8)]
+    pairs += [(f"x{rng.randrange(40):02d}_{rng.randrange(8)}", f"x{rng.randrange(40):02d}_{rng.randrange(8)}") for _ in range(160)]
+    alone = {r["id"]: r["community"] for r in health.communities(*_edges(spark, pairs)).collect()}
+    assert not looks
+    found = {r["id"]: r["community"] for r in health.communities(*_edges(spark, pairs), one_task=100).collect()}
+    assert 0 < len(looks) <= 40 and set(found) == set(alone)
+    assert _modularity(pairs, found) >= _modularity(pairs, alone) - 0.02
+
+
 def test_context_lists_ends_of_repeated_nodes_once(spark):
     """Both directions, repeated ids, names that are null, and links to another community or to no member."""
     nodes = cat.conform(spark.createDataFrame([("a", "concept", "A"), ("b", "field", "B"), ("b", "field", "B"), ("c", "field", None), ("d", "field", "D"), ("s", "source", "S")],
