@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from datasteward.sources.shared import materialize
+
 # The node and edge types of the graph.
 NODE_TYPES = ["concept", "field", "classifier", "operation", "context", "source", "normative",
               "anonymization", "quality_issue", "insight"]
@@ -153,23 +155,29 @@ def concept_context(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         return df.select("concept_id", F.lit(section).alias("section"), F.col(ref).alias("ref_id"),
                          detail.cast("string").alias("detail"), s.alias("score"))
 
-    def linked(kind: str, direction: str = "out") -> DataFrame:
-        return neighbors(nodes, edges, kind, direction).withColumnRenamed("id", "concept_id").join(concepts, "concept_id", "left_semi")
+    # the neighbours of all kinds look up their names together, so the nodes move once
+    kinds = [("classifier", "usa_clasificador", "src", "dst"), ("normative", "respaldado_por", "src", "dst"),
+             ("context", "tiene_contexto", "src", "dst"), ("composite", "compone", "dst", "src"), ("derived_from", "deriva_de", "dst", "src")]
+    ends = F.coalesce(*[F.when(F.col("type") == k, F.struct(F.lit(section).alias("section"), F.col(own).alias("concept_id"), F.col(other).alias("neighbor_id")))
+                        for section, k, own, other in kinds])
+    near = (edges.filter(F.col("type").isin([k for _, k, _, _ in kinds])).select(ends.alias("e"), "operation").select("e.*", "operation")
+            .join(large(nodes.select(F.col("id").alias("neighbor_id"), "name")), "neighbor_id").join(concepts, "concept_id", "left_semi"))
+    near = materialize(near.select("section", "concept_id", "neighbor_id", "name", "operation"))
 
     issues = (links(edges, "tiene_issue").select(F.col("src").alias("id"), F.col("dst").alias("issue_id"))
               .join(large(of_type(nodes, "quality_issue").select(F.col("id").alias("issue_id"), "issue_type", "severity")), "issue_id"))
     with_issue = large(fields.select("id", "concept_id")).join(issues, "id")
-    meanings = linked("tiene_contexto")
+    meanings = near.filter("section = 'context'")
     several = meanings.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("concept_id")
     quality = concept_quality(fields)
     parts = [
         rows(fields, "field", "id", F.coalesce("source_db", F.lit("")), F.col("quality_score")),
         rows(with_issue, "quality_issue", "issue_id", F.col("severity")),
-        rows(linked("usa_clasificador"), "classifier", "neighbor_id", F.col("name")),
-        rows(linked("respaldado_por"), "normative", "neighbor_id", F.col("name")),
+        near.filter("section <> 'context'").select(
+            "concept_id", "section", F.col("neighbor_id").alias("ref_id"),
+            F.when(F.col("section") == "composite", F.col("operation")).otherwise(F.col("name")).alias("detail"),
+            F.lit(None).cast("double").alias("score")),
         rows(large(meanings).join(several, "concept_id", "left_semi"), "context_conflict", "neighbor_id", F.col("name")),
-        rows(linked("compone", "in"), "composite", "neighbor_id", F.col("operation")),
-        rows(linked("deriva_de", "in"), "derived_from", "neighbor_id", F.col("name")),
         rows(quality, "quality_summary", "concept_id", F.col("total_fields"), F.col("avg_score"))]
     return reduce(DataFrame.unionByName, parts)
 
