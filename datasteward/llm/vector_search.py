@@ -150,7 +150,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
     data = blocks.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)))
     sent = (asked.select("dims", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact"))
             .withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")))))
-    found = data.join(sent, ["slot", "dims"]).mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    # sorted, never broadcast: the size guessed for the queries' file knows nothing of their copies for all slots, which would pass
+    # through the driver; the queries stream past the blocks of their slot
+    found = sent.hint("merge").join(data, ["slot", "dims"]).mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
