@@ -9,8 +9,12 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from datasteward.functions import text as tx
 from datasteward.operators.keyword_scores import MARGIN, numbered_terms, pair_scores
@@ -18,6 +22,7 @@ from datasteward.operators.retrieval import B, K1, query_terms, top_k
 from datasteward.sources.shared import materialize, shared_dir
 
 DOCS_PER_BLOCK = 4096
+WORDS = 1 << 20  # words that are counted at a time
 SEEDS = 20  # times k postings of the rarest terms set the first threshold
 MOST_SEEDS = 2000  # times k postings of one term are read for it at most
 
@@ -52,19 +57,49 @@ def build_index(corpus: DataFrame, path: str | None = None) -> KeywordIndex:
     seq = 0 if path is None else (index.docs().agg(F.max("seq")).first()[0] + 1)
     words = materialize(corpus.select("id", "source", F.coalesce(tx.tokenize(F.col("text")), F.array().cast("array<string>")).alias("tok")))
     buckets = max(1, -(-words.count() // DOCS_PER_BLOCK))
-    t = words.select("id", F.size("tok").alias("dl"), F.explode("tok").alias("term"))
-    post = t.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    blocks = (post.groupBy("term", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"))
-              .agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
-                   F.collect_list(F.struct("id", "tf", "dl")).alias("entries")))  # at most the documents of a bucket
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (blocks.repartitionByRange(n, "term", "bucket").sortWithinPartitions("term", "bucket").withColumn("seq", F.lit(seq))
-     .write.mode("append").partitionBy("seq").parquet(f"{index.path}/blocks"))
+    schema = T.StructType([words.schema["id"], T.StructField("dl", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    post = words.select("id", "tok").mapInArrow(_postings, schema).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+    # dealt once, into the order in which the blocks are written
+    blocks = (post.repartitionByRange(n, "term", "bucket").groupBy("term", "bucket")
+              .agg(F.collect_list(F.struct("id", "tf", "dl")).alias("entries"))  # at most the documents of a bucket
+              .withColumn("entries", _once(F.col("entries"))))
+    (blocks.select("term", "bucket", F.size("entries").cast("long").alias("n"), F.array_max(F.transform("entries", lambda e: e["tf"])).alias("max_tf"),
+                   F.array_min(F.transform("entries", lambda e: e["dl"])).alias("min_dl"), "entries")
+     .sortWithinPartitions("term", "bucket").withColumn("seq", F.lit(seq)).write.mode("append").partitionBy("seq").parquet(f"{index.path}/blocks"))
     (words.select("id", "source", F.size("tok").alias("dl"), F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"), F.lit(seq).alias("seq"))
      .write.mode("append").partitionBy("seq").parquet(f"{index.path}/docs"))
     return index
 
 
+def _postings(batches):
+    """(id, dl, term, tf) of documents (id, tok): the words of a document are counted where it lies."""
+    for batch in batches:
+        lengths = pc.list_value_length(batch.column("tok")).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(lengths) - lengths) // WORDS
+        starts = np.flatnonzero(np.r_[True, np.diff(part) != 0])
+        for a, b in zip(starts, [*starts[1:], len(lengths)], strict=True):
+            tok, own = batch.column("tok").slice(a, b - a), pa.array(lengths[a:b], pa.int32())
+            words = pc.list_flatten(tok).dictionary_encode()
+            doc, n = pc.list_parent_indices(tok).to_numpy().astype(np.int64), len(words.dictionary)
+            if n:
+                pair, tf = np.unique(doc * n + words.indices.to_numpy(), return_counts=True)
+                at = pa.array(pair // n)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(a, b - a).take(at), own.take(at), words.dictionary.take(pa.array(pair % n)), pa.array(tf, pa.int64())],
+                    names=["id", "dl", "term", "tf"])
+
+
+def _once(entries: Column) -> Column:
+    """The entries (id, tf, dl) with the postings of a repeated id added up."""
+    ids = F.array_distinct(F.transform(entries, lambda e: e["id"]))
+
+    def added(i):
+        own = F.filter(entries, lambda e: e["id"].eqNullSafe(i))
+        return F.struct(i.alias("id"), F.aggregate(own, F.lit(0).cast("long"), lambda s, e: s + e["tf"]).alias("tf"), own[0]["dl"].alias("dl"))
+    return F.when(F.size(ids) < F.size(entries), F.transform(ids, added)).otherwise(entries)
+
+
 def _impact(tf, dl, avgdl: float):
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 

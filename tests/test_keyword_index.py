@@ -64,3 +64,12 @@ def test_only_the_best_pairs_leave_a_block(spark, corpus, monkeypatch):
     order = lambda rows: sorted(rows, key=lambda r: (r["query_id"], -round(r["bm25"], 9), r["id"]))
     want = [(x, r["id"]) for x in {r["query_id"] for r in pairs} for r in [r for r in order(pairs) if r["query_id"] == x][:2]]
     assert {(r["query_id"], r["id"]) for r in rt.bm25_search(df, q, 2).collect()} == set(want)
+
+
+def test_words_are_counted_where_their_document_lies(spark, monkeypatch):
+    """Repeated ids add up, also null ones, empty and null texts have no postings, and slices of a batch change nothing."""
+    monkeypatch.setattr(ki, "WORDS", 3)
+    rows = [(1, "s", "red red blue"), (1, "s", "red green"), (2, "s", "blue"), (3, "t", None), (4, "t", ""), (None, "t", "red"), (None, "t", "red blue"), (5, "t", "green " * 9)]
+    index = ki.build_index(spark.createDataFrame(rows, "id long, source string, text string").coalesce(1))
+    got = sorted((r.term, r.n, r.max_tf, sorted((e.id or 0, e.tf) for e in r.entries)) for r in index.blocks().collect())
+    assert got == [("blue", 3, 1, [(0, 1), (1, 1), (2, 1)]), ("green", 2, 9, [(1, 1), (5, 9)]), ("red", 2, 3, [(0, 2), (1, 3)])]
